@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+
 #: Settings the operators rely on or that keep results portable.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,3 +33,16 @@ def build_session(app: str = "stratalog", master: str | None = None, **conf: str
     for key, value in (DEFAULTS | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let the executors import this package: the driver serves it as a zip, once a context, unless PYTHONPATH has it."""
+    context = spark.sparkContext
+    if str(ROOT) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_stratalog_shipped", False):
+        target = Path(tempfile.mkdtemp(prefix="stratalog-")) / "stratalog.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for path in sorted((ROOT / "stratalog").rglob("*.py")):
+                archive.write(path, path.relative_to(ROOT))
+        context.addPyFile(str(target))
+        context._stratalog_shipped = True
+    return spark
