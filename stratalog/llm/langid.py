@@ -120,6 +120,22 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, logs.astype(np.float32)
 
 
+def _labels(batch: pa.RecordBatch, langs: list[str], logs: np.ndarray, width: int) -> Iterator[tuple[str, bool, float]]:
+    """(language, has a letter, posterior) of each row."""
+    for _, texts in _parts(batch):
+        grams, first, has_letter = features(texts)
+        if not langs:
+            yield from (("und", bool(ok), 0.0) for ok in has_letter)
+            continue
+        ends = np.append(grams, 0)  # so that an empty last document has a place to sum from
+        sums = np.stack([np.add.reduceat(row[ends].astype(np.float64), np.minimum(first[:-1], len(grams))) for row in logs])
+        sums = np.where(np.diff(first) > 0, sums, 0) + logs[:, width : width + 1]
+        best = sums.argmax(axis=0)
+        odds = 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0)
+        for b, ok, p in zip(best, has_letter, odds, strict=True):
+            yield (langs[b], True, float(p)) if ok else ("und", False, 0.0)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score: the most probable language and its posterior probability.
 
@@ -131,22 +147,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
         for batch in batches:
-            preds, scores = [], []
-            for _, texts in _parts(batch):
-                grams, first, has_letter = features(texts)
-                if not langs:
-                    preds += ["und"] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                ends = np.append(grams, 0)  # so that an empty last document has a place to sum from
-                sums = np.stack([np.add.reduceat(row[ends].astype(np.float64), np.minimum(first[:-1], len(grams))) for row in logs])
-                sums = np.where(np.diff(first) > 0, sums, 0) + logs[:, width : width + 1]
-                best = sums.argmax(axis=0)
-                odds = 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0)
-                preds += [langs[b] if ok else "und" for b, ok in zip(best, has_letter, strict=True)]
-                scores += np.where(has_letter, odds, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = list(_labels(batch, langs, shared.value, width))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p for p, _, _ in found], pa.string()), pa.array([s for _, _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(label, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_score: float = 0.5) -> DataFrame:
+    """The rows whose language is identified with ``least_score`` or more, all columns unchanged; ``und`` goes."""
+    langs, logs = model
+    width = 1 << FEATURE_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [s for _, _, s in _labels(batch, langs, shared.value, width)]
+            yield batch.filter(pa.array([s >= least_score and s > 0 for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import langid, mixing, secret_scan
+from stratalog.llm import decontam, hnsw, langid, lm_scoring, minhash, mixing, secret_scan, substring_dedup
 from stratalog.llm.common import id_fold, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = id_fold(F.col("doc_id"), 3)
@@ -19,6 +27,18 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,7 +48,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_langid": op4_langid, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
+    return {
+        "op1_lm_scoring": op1_lm_scoring, "op2_hnsw": op2_hnsw, "op4_langid": op4_langid, "op5_substring_dedup": op5_substring_dedup, "op6_decontam": op6_decontam, "op7_minhash": op7_minhash, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -143,3 +143,24 @@ def scan_secrets(docs: DataFrame, least_cost: float = 10.0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "redacted"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
+
+
+def redact_secrets(docs: DataFrame, least_cost: float = 10.0) -> DataFrame:
+    """All rows and columns, with each secret in ``text`` replaced and ``n_chars``, where there is one, counted anew."""
+    names = docs.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                texts = batch.column("text").to_pylist()
+                found = [find_spans(t, least_cost) if t else [] for t in texts]
+                texts = [redact(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)]
+                cols = dict(zip(names, batch.columns, strict=True))
+                cols["text"] = pa.array(texts, batch.schema.field("text").type)
+                if "n_chars" in cols:
+                    old = cols["n_chars"].to_pylist()
+                    cols["n_chars"] = pa.array([len(t) if spans else n for t, spans, n in zip(texts, found, old, strict=True)], batch.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], schema=batch.schema)
+
+    return docs.mapInArrow(clean, docs.schema)
