@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import decontam, hnsw, langid, lm_scoring, minhash, mixing, secret_scan, substring_dedup
+from stratalog.llm import decontam, hnsw, html_extract, langid, lm_scoring, minhash, mixing, secret_scan, substring_dedup, warc
 from stratalog.llm.common import id_fold, table
 
 
@@ -19,6 +19,11 @@ def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = id_fold(F.col("doc_id"), 3)
@@ -39,6 +44,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_lm_scoring": op1_lm_scoring, "op2_hnsw": op2_hnsw, "op4_langid": op4_langid, "op5_substring_dedup": op5_substring_dedup, "op6_decontam": op6_decontam, "op7_minhash": op7_minhash, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets,
+        "op1_lm_scoring": op1_lm_scoring, "op2_hnsw": op2_hnsw, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_substring_dedup": op5_substring_dedup, "op6_decontam": op6_decontam, "op7_minhash": op7_minhash, "op8_html": op8_html, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets,
     }
 
 
