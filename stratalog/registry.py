@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.oracles import ORACLES
+from stratalog.queries import QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> callable(spark, sf_dir)."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same rows."""
-    return {}
+    return dict(ORACLES)
