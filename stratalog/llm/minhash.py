@@ -5,9 +5,10 @@ Plan, with nothing but narrow rows between the two passes over texts:
 1. one map over the texts gives each document its set size, a 128-bit digest of the set, 200 minima folded into 40 band keys,
    and a 200-bit sketch of the minima;
 2. documents with equal sets collapse to their smallest id (a keyed minimum), so copies never meet each other again;
-3. band buckets with two members or more give candidates: first one per document, its smallest bucket mate; later every pair
-   of a bucket whose members are still in different components. Sketches prune candidates, whole texts decide;
-4. components come from alternating large-star and small-star.
+3. band buckets with two members or more give candidates. In each of a few rounds, every document that is not in the largest
+   component of one of its buckets meets one pivot of such a component, that whose sketch is nearest; then all members of buckets
+   that still have several components meet, in blocks of texts. Whole texts decide;
+4. components come from alternating large-star and small-star, after each round.
 
 A pair with similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40, about 1e-7. No bucket, group or candidate list is
 capped: large star groups are dealt over salted tasks, and a bucket inside one component needs no more work.
@@ -29,7 +30,11 @@ BANDS, ROWS = 40, 5
 #: Sketch bits that may differ: at similarity 0.8, 20 of 200 do on average; 45 are six standard deviations more.
 MOST_BITS = 45
 #: Star members that one task verifies against one centre.
-STAR_TASK = 4096
+STAR_TASK = 256
+#: Rounds in which the members of a bucket that are apart from its largest component meet a member of it.
+TURNS = 2
+#: Texts of a chunk in the last comparison; a block has two chunks.
+BLOCK = 256
 
 _N = BANDS * ROWS
 _SEEDS = mix64(np.arange(1, 2 * _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -145,6 +150,69 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return dealt.select("center", "id", "role", "text").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
+def compare_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (cluster, id, component) of one cluster and different components with sets alike enough.
+
+    A cluster is dealt to chunks of about BLOCK texts and each pair of chunks to a task's block, so a text travels once a chunk of
+    its cluster rather than once a pair; intersections of a block come from products of its sets' incidence matrices.
+    """
+    id_type = dict(docs.dtypes)["doc_id"]
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    placed = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    placed = placed.select("cluster", "id", "component", "chunk", other.alias("other"))
+    placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "component")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    dealt = placed.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len({c for _, c, _ in held}) > 1:
+                h, first = shingle_sets(pa.array([t for _, _, t in held], pa.string()), k)
+                common = _intersections(h, first)
+                size = np.diff(first)
+                part = np.unique([c for _, c, _ in held], return_inverse=True)[1]
+                alike = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (part[:, None] != part[None, :]) & (size > 0)[:, None]
+                x, y = np.nonzero(np.triu(alike, 1))
+                ids = [i for i, _, _ in held]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in x], kind), pa.array([ids[i] for i in y], kind)], ["a", "b"])
+
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for cluster, i, j, own, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, i, j) != now:
+                    yield from close()
+                    now, held = (cluster, i, j), []
+                held.append((own, component, text))
+        if held:
+            yield from close()
+
+    return dealt.select("cluster", "i", "j", "id", "component", "text").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+
+
+def _intersections(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by slices of the incidence matrix."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    order = np.argsort(h, kind="stable")
+    column = np.cumsum(np.diff(h[order], prepend=h[order[:1]]) != 0)
+    shared = np.bincount(column, minlength=1)[column] > 1  # shingles of one set meet nothing
+    doc, column = doc[order][shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    out = np.zeros((n, n), dtype=np.float32)
+    width = 4096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        low, high = np.searchsorted(column, (a, a + width))
+        part = np.zeros((n, width), dtype=np.float32)
+        part[doc[low:high], column[low:high] - a] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, np.diff(first))
+    return out.astype(np.int64)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), by alternating large-star and small-star.
 
@@ -185,31 +253,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketch = reps.select("rep", *_SKETCH)
     keyed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    buckets = save(keyed.join(full.select("key", "low"), "key"), "mh-buckets")
-
-    def alike(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        left = sketch.select(F.col("rep").alias(a), *(F.col(s).alias(f"l{s}") for s in _SKETCH))
-        right = sketch.select(F.col("rep").alias(b), *(F.col(s).alias(f"r{s}") for s in _SKETCH))
-        apart = sum((F.bit_count(F.col(f"l{s}").bitwiseXOR(F.col(f"r{s}"))) for s in _SKETCH), F.lit(0))
-        return pairs.join(left, a).join(right, b).where(apart <= MOST_BITS).select(a, b)
-
-    tried = save(alike(buckets.groupBy("id").agg(F.min("low").alias("center")).where("center < id"), "center", "id"), "mh-pairs")
-    edges = save(verify(tried, docs, shingle, percent), "mh-edges")
-    found = save(connected_components(edges), "mh-components")
-    named = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    rest = save(named.join(open_keys, "key").join(sketch, F.col("id") == F.col("rep")).drop("rep"), "mh-open")
-    left = rest.select("key", F.col("id").alias("center"), F.col("component").alias("c0"), *(F.col(s).alias(f"l{s}") for s in _SKETCH))
-    right = rest.select("key", F.col("id"), F.col("component").alias("c1"), *(F.col(s).alias(f"r{s}") for s in _SKETCH))
+    buckets = save(keyed.join(full.select("key"), "key"), "mh-buckets")
+
     apart = sum((F.bit_count(F.col(f"l{s}").bitwiseXOR(F.col(f"r{s}"))) for s in _SKETCH), F.lit(0))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("c0") < F.col("c1")) & (apart <= MOST_BITS))
-    across = across.select(F.least("center", "id").alias("center"), F.greatest("center", "id").alias("id")).distinct()
-    across = save(across.join(tried, ["center", "id"], "left_anti"), "mh-pairs")
-    if across.take(1):
-        more = save(verify(across, docs, shingle, percent), "mh-edges")
-        if more.take(1):
-            edges = edges.union(more)
-            found = save(connected_components(edges), "mh-components")
+    named = [sketch.select(F.col("rep").alias(side), *(F.col(s).alias(f"{m}{s}") for s in _SKETCH)) for side, m in (("center", "l"), ("id", "r"))]
+    tried = edges = found = None
+    for turn in range(TURNS):
+        labelled = buckets.withColumn("component", F.col("id")) if found is None else buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        # The pivot of a bucket is a pseudo-random member of its largest component.
+        parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("center"))
+        pivots = parts.groupBy("key").agg(F.max_by(F.struct("component", "center"), F.struct("n", -F.col("component"))).alias("top"), F.count(F.lit(1)).alias("parts"))
+        pivots = pivots.where("parts > 1").select("key", F.col("top.component").alias("own"), F.col("top.center").alias("center"))
+        pairs = labelled.join(pivots, "key").where("component <> own").select("center", "id").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, (F.least("center", "id") == F.col("a")) & (F.greatest("center", "id") == F.col("b")), "left_anti")
+        pairs = pairs.join(named[0], "center").join(named[1], "id").withColumn("apart", apart).where(F.col("apart") <= MOST_BITS)
+        pairs = save(pairs.groupBy("id").agg(F.min_by("center", F.struct("apart", "center")).alias("center")).select("center", "id"), "mh-pairs")
+        if not pairs.take(1):
+            break
+        ordered = pairs.select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
+        tried = ordered if tried is None else tried.union(ordered)
+        new = save(verify(pairs, docs, shingle, percent), "mh-edges")
+        if not new.take(1):
+            continue
+        edges = new if edges is None else edges.union(new)
+        found = save(connected_components(edges), "mh-components")
+    if tried is None:  # no bucket has two members
+        found = buckets.select("id", F.col("id").alias("component")).limit(0)
+    else:
+        # What is left: all members of buckets that are still apart, in blocks of texts, for the whole result.
+        labelled = buckets.withColumn("component", F.col("id")) if found is None else buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        open_keys = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("low")).where("c0 < c1").select("key", "low")
+        rest = save(labelled.join(open_keys, "key"), "mh-open")
+        if rest.take(1):
+            clusters = save(connected_components(rest.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "cluster"), "mh-clusters")
+            more = save(compare_blocks(clusters.join(rest.select("id", "component").distinct(), "id"), docs, shingle, percent), "mh-edges")
+            if more.take(1):
+                edges = more if edges is None else edges.union(more)
+                found = save(connected_components(edges), "mh-components")
+        if found is None:
+            found = buckets.select("id", F.col("id").alias("component")).limit(0)
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("digest", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     labelled = described.select("doc_id", "n_shingles", "digest").where("n_shingles > 0 and doc_id is not null")
     labelled = labelled.join(of_class, (labelled["digest"] == of_class["digest"]) & (F.col("n_shingles") == F.col("n"))).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
