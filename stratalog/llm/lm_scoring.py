@@ -25,6 +25,10 @@ _U = np.uint64
 _BOS, _END = mix64(np.array([0xB05, 0xE0D], dtype=np.uint64))
 #: Context counts fall into bucket 0 (unseen) or 1 + floor(log2(count)), at most 15.
 BUCKETS = 16
+#: Text bytes of a block, about, and hash ranges for each shuffle partition: both keep a task's arrays small.
+BLOCK_BYTES, RANGES = 2 << 20, 4
+#: The hash ranges are asked in so many passes over the texts, so that a fraction of the n-grams is on disk at a time.
+PASSES = 2
 #: One block in so many is held out to learn the weights.
 HELD_BLOCKS = 10
 ITERATIONS = 12
@@ -38,9 +42,10 @@ class Grams:
     counts: list[np.ndarray]
     at: list[np.ndarray]
     owner: np.ndarray
+    first: np.ndarray  # tokens that begin a text
 
 
-def _grams(texts: pa.Array, train: np.ndarray, bits: int) -> Grams:
+def _grams(texts: pa.Array, train: np.ndarray, bits: int, word_bits: int) -> Grams:
     """``train`` says which texts are counted. ``at``: trigram, its context, bigram, its context, unigram of each token."""
     words = words_of(texts, lower=True)
     n = words.counts
@@ -54,22 +59,21 @@ def _grams(texts: pa.Array, train: np.ndarray, bits: int) -> Grams:
     keys, counts, index = [], [], []
     for k in (1, 2, 3):
         at = np.flatnonzero(place >= k - 1)  # windows that end here, inside their document
-        h = flat if k == 1 else windows(flat, k, seed=k)[at - k + 1] >> _U(64 - bits)
+        h = flat >> _U(64 - word_bits) if k == 1 else windows(flat, k, seed=k)[at - k + 1] >> _U(64 - bits)
         distinct, inverse = np.unique(h, return_inverse=True)
         keys.append(distinct)
         counts.append(np.bincount(inverse[train[owner[at]]], minlength=len(distinct)))
-        full = np.zeros(len(flat), dtype=np.int64)
+        full = np.zeros(len(flat), dtype=np.int32)
         full[at] = inverse
         index.append(full)
     asked = np.flatnonzero(place >= 2)
-    return Grams(keys, counts, [index[2][asked], index[1][asked - 1], index[1][asked], index[0][asked - 1], index[0][asked]], owner[asked])
+    return Grams(keys, counts, [index[2][asked], index[1][asked - 1], index[1][asked], index[0][asked - 1], index[0][asked]], owner[asked], place[asked] == 2)
 
 
-def _components(grams: Grams, totals: list[np.ndarray], n_tokens: int, n_types: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight cell of each token, its four estimates [tokens, 4])."""
-    c3, x3, c2, x2, c1 = (totals[k][i].astype(np.float64) for k, i in zip((2, 1, 1, 0, 0), grams.at, strict=True))
-    bos = grams.keys[0][grams.at[3]] == _BOS
-    x2 = np.where(bos, x2 / 2, x2)  # two begin marks a text
+def _components(grams: Grams, totals: list[np.ndarray], part: slice, n_tokens: int, n_types: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight cell of each token of a part, its four estimates [tokens, 4])."""
+    c3, x3, c2, x2, c1 = (totals[k][i[part]].astype(np.float64) for k, i in zip((2, 1, 1, 0, 0), grams.at, strict=True))
+    x2[grams.first[part]] /= 2  # two begin marks a text
     parts = np.empty((len(c1), 4))
     parts[:, 0] = np.divide(c3, x3, out=np.zeros_like(c3), where=x3 > 0)
     parts[:, 1] = np.divide(c2, x2, out=np.zeros_like(c2), where=x2 > 0)
@@ -78,6 +82,10 @@ def _components(grams: Grams, totals: list[np.ndarray], n_tokens: int, n_types:
     return _bucket(x3) * BUCKETS + _bucket(x2), parts
 
 
+def _parts(n: int, most: int = 1 << 16) -> list[slice]:
+    return [slice(a, min(n, a + most)) for a in range(0, n, most)]
+
+
 def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.minimum(1 + np.floor(np.log2(np.maximum(counts, 1))), BUCKETS - 1), 0).astype(np.int64)
 
@@ -136,27 +144,32 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFram
     with nothing to learn from, every estimate but the uniform one is 0. N-gram keys are 64-bit hashes for words and wide enough
     otherwise for one wrong lookup in two million. Other columns are ignored.
     """
-    plan = layout(docs)
+    plan = layout(docs, RANGES, BLOCK_BYTES)
     bits = min(64, plan.word_bits + 20)
+    word_bits = min(64, bits + 8)
     id_type = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text").withColumn("block", block_of(plan)).withColumn("held_out", id_fold(F.col("doc_id"), folds) == held_fold)
 
     def grams_of(table: pa.Table) -> tuple[pa.Table, Grams, np.ndarray]:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # the same order in every phase
         train = ~table.column("held_out").to_numpy().astype(bool)
-        return table, _grams(table.column("text").combine_chunks(), train, bits), train
-
-    def ask(table: pa.Table) -> pa.Table:
-        _, grams, _ = grams_of(table)
-        block = int(table.column("block")[0].as_py())
-        cols: dict[str, list] = {c: [] for c in ("range", "block", "n", "keys", "counts")}
-        for n, keys, counts in zip((1, 2, 3), grams.keys, grams.counts, strict=True):
-            cuts = plan.cuts(keys, 64 if n == 1 else bits)
-            for i in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[i], cuts[i + 1])
-                for c, v in zip(cols, (int(i), block, n, pack_sorted(keys[part]), pack(counts[part])), strict=True):
-                    cols[c].append(v)
-        return pa.table([pa.array(v, t) for v, t in zip(cols.values(), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(cols))
+        return table, _grams(table.column("text").combine_chunks(), train, bits, word_bits), train
+
+    def asker(turn: int):  # noqa: ANN202
+        def ask(table: pa.Table) -> pa.Table:
+            _, grams, _ = grams_of(table)
+            block = int(table.column("block")[0].as_py())
+            cols: dict[str, list] = {c: [] for c in ("range", "block", "n", "keys", "counts")}
+            for n, keys, counts in zip((1, 2, 3), grams.keys, grams.counts, strict=True):
+                cuts = plan.cuts(keys, word_bits if n == 1 else bits)
+                for i in np.flatnonzero(np.diff(cuts)):
+                    if i * PASSES // plan.ranges == turn:
+                        part = slice(cuts[i], cuts[i + 1])
+                        for c, v in zip(cols, (int(i), block, n, pack_sorted(keys[part]), pack(counts[part])), strict=True):
+                            cols[c].append(v)
+            return pa.table([pa.array(v, t) for v, t in zip(cols.values(), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(cols))
+
+        return ask
 
     def answer(table: pa.Table) -> pa.Table:
         """Totals of each key; for held blocks also their part of them. Rows of block -1 have (tokens, types) as totals."""
@@ -183,13 +196,16 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFram
                 for c, v in zip(out, (b, int(rows.column("range")[0].as_py()), n, pack(t), pack(h) if b % HELD_BLOCKS == 0 else None), strict=True):
                     out[c].append(v)
             if n == 1:
-                real = (keys[order][starts] != _BOS) & (sums > 0)
+                real = (keys[order][starts] != _BOS >> _U(64 - word_bits)) & (sums > 0)
                 for c, v in zip(out, (-1, 0, 0, pack(np.array([sums[real].sum(), real.sum()], dtype=np.uint64)), None), strict=True):
                     out[c].append(v)
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(out))
 
-    answers = docs.groupBy("block").applyInArrow(ask, "range int, block bigint, n int, keys binary, counts binary")
-    answers = save(answers.groupBy("range").applyInArrow(answer, "block bigint, range int, n int, totals binary, held binary"), "lm-counts")
+    answers = None
+    for turn in range(PASSES):
+        asked = docs.groupBy("block").applyInArrow(asker(turn), "range int, block bigint, n int, keys binary, counts binary")
+        part = save(asked.groupBy("range").applyInArrow(answer, "block bigint, range int, n int, totals binary, held binary"), "lm-counts")
+        answers = part if answers is None else answers.union(part)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(2, dtype=np.uint64)
@@ -209,9 +225,14 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFram
         _, grams, train = grams_of(table)
         sizes = [len(k) for k in grams.keys]
         totals, held = _answers(counts, "totals", sizes), _answers(counts, "held", sizes)
-        cell, parts = _components(grams, [t - h for t, h in zip(totals, held, strict=True)], n_tokens, n_types)
-        use = train[grams.owner]
-        return pa.table([pa.array([x.tobytes()], pa.binary()) for x in (cell[use].astype(np.uint8), parts[use].astype(np.float32))], ["cells", "parts"])
+        kept = [t - h for t, h in zip(totals, held, strict=True)]
+        out: list[list[bytes]] = [[], []]
+        for part in _parts(len(grams.owner)):
+            cell, parts = _components(grams, kept, part, n_tokens, n_types)
+            use = train[grams.owner[part]]
+            out[0].append(cell[use].astype(np.uint8).tobytes())
+            out[1].append(parts[use].astype(np.float32).tobytes())
+        return pa.table([pa.array(x, pa.binary()) for x in out], ["cells", "parts"])
 
     some = F.expr(f"block % {HELD_BLOCKS} = 0")
     held_answers = answers.where(some & (F.col("block") >= 0))
@@ -225,12 +246,15 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFram
             return pa.table([pa.array([], t) for t in kinds], names)
         table, grams, _ = grams_of(table)
         totals = _answers(counts, "totals", [len(k) for k in grams.keys])
-        cell, parts = _components(grams, totals, n_tokens, n_types)
-        mixed = np.log10((weights[cell] * parts).sum(axis=1))
-        c = totals[0][grams.at[4]].astype(np.float64)
-        base = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
         n = table.num_rows
-        sums = [np.bincount(grams.owner, weights=w, minlength=n) for w in (None, c > 0, base, mixed)]
+        sums = np.zeros((4, n))
+        for part in _parts(len(grams.owner)):
+            cell, parts = _components(grams, totals, part, n_tokens, n_types)
+            mixed = np.log10((weights[cell] * parts).sum(axis=1))
+            c = totals[0][grams.at[4][part]].astype(np.float64)
+            base = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
+            for i, w in enumerate((None, c > 0, base, mixed)):
+                sums[i] += np.bincount(grams.owner[part], weights=w, minlength=n)
         cols = [table.column("doc_id"), table.column("held_out"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(n, n_tokens, dtype=np.int64)), pa.array(sums[2]), pa.array(sums[3])]
         return pa.table(cols, names)
 

@@ -61,12 +61,12 @@ class Layout:
         return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])).astype(np.int64)
 
 
-def layout(docs: DataFrame, ranges_per_partition: int = 2) -> Layout:
+def layout(docs: DataFrame, ranges_per_partition: int = 2, block_bytes: int = BLOCK_BYTES) -> Layout:
     """The layout for these documents, from one scan of text lengths."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     width = partitions(spark)
-    return Layout(blocks=max(2 * width, -(-size // BLOCK_BYTES)), ranges=width * ranges_per_partition, word_bits=max(20, (size // 4).bit_length()))
+    return Layout(blocks=max(2 * width, -(-size // block_bytes)), ranges=width * ranges_per_partition, word_bits=max(20, (size // 4).bit_length()))
 
 
 def block_of(plan: Layout) -> Column:
