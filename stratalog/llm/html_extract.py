@@ -171,12 +171,13 @@ def parse(source: str) -> Page:
     return page
 
 
-FEATURES = 30 + len(BAD) * 2
+FEATURES = 32 + len(BAD) * 2
 
 
 #: For each set of attribute tokens: whether it speaks for an article, and a bit for each theme against.
 _judged: dict[frozenset[str], tuple[int, int]] = {}
 _OUTER = frozenset(("nav", "footer", "aside", "form", "header", "dialog"))
+_NEVER = frozenset(("nav", "footer", "aside", "form", "dialog", "button"))
 
 
 def _judge(attrs: frozenset[str]) -> tuple[int, int]:
@@ -191,7 +192,7 @@ def _judge(attrs: frozenset[str]) -> tuple[int, int]:
 
 def node_features(pages: list[Page]) -> np.ndarray:
     """[nodes of all pages, FEATURES]: own and subtree text, links, tags and punctuation, attribute tokens, depth, siblings, ancestors."""
-    names = "chars own links tags stops own_stops words own_words start depth nth kids paras segs good above_good above_tag own_tags bad above_bad total".split()
+    names = "chars own links tags stops own_stops words own_words start depth nth kids paras segs good above_good above_tag near own_tags bad above_bad total".split()
     held: dict[str, list[int]] = {c: [] for c in names}
     for page in pages:
         n, parents, tag_of = len(page.tags), page.parents, page.tags
@@ -210,6 +211,7 @@ def node_features(pages: list[Page]) -> np.ndarray:
         own_stops, own_words = list(stops), list(words)
         kids, paras, depth, nth = [0] * n, [0] * n, [0] * n, [0] * n
         good, bad, above_good, above_tag, above_bad = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        near = [0] * n  # what the nearest telling node at or above says: 1 against, -1 for an article
         for i in range(n):
             if page.attrs[i]:
                 good[i], bad[i] = _judge(page.attrs[i])
@@ -220,6 +222,11 @@ def node_features(pages: list[Page]) -> np.ndarray:
                 above_good[i] = int(above_good[p] or good[p] or tag_of[p] in ("article", "main"))
                 above_tag[i] = int(above_tag[p] or tag_of[p] in _OUTER)
                 above_bad[i] = above_bad[p] | bad[p]
+                near[i] = near[p]
+            if bad[i] or tag_of[i] in _NEVER:
+                near[i] = 1
+            elif good[i] or tag_of[i] in ("article", "main"):
+                near[i] = -1
         for i in range(n - 1, 0, -1):
             p = parents[i]
             paras[p] += paras[i] + (tag_of[i] == "p")
@@ -230,7 +237,7 @@ def node_features(pages: list[Page]) -> np.ndarray:
             words[p] += words[i]
             segs[p] += segs[i]
         total = [max(1, chars[0])] * n
-        for c, v in zip(names, (chars, page.chars, links, tags, stops, own_stops, words, own_words, start, depth, nth, kids, paras, segs, good, above_good, above_tag, page.n_tags, bad, above_bad, total), strict=True):
+        for c, v in zip(names, (chars, page.chars, links, tags, stops, own_stops, words, own_words, start, depth, nth, kids, paras, segs, good, above_good, above_tag, near, page.n_tags, bad, above_bad, total), strict=True):
             held[c] += v
     v = {c: np.array(x, dtype=np.float32) for c, x in held.items()}
     first = np.cumsum([0, *(len(p.tags) for p in pages)])
@@ -241,13 +248,14 @@ def node_features(pages: list[Page]) -> np.ndarray:
     around = np.where(root, 0, v["chars"][up])
     beside = np.where(root, 0, v["chars"][up] - v["chars"])
     tag = np.array([_TAG_ID.get(x, -1) for p in pages for x in p.tags])
+    outer = np.array([x in _NEVER for p in pages for x in p.tags])
     heading = np.array([x[:1] == "h" and x[1:].isdigit() for p in pages for x in p.tags])
     bad, above_bad = np.array(held["bad"], dtype=np.int64), np.array(held["above_bad"], dtype=np.int64)
     c, w = v["chars"], v["words"]
     cols = [
         np.log1p(c), np.log1p(v["own"]), v["links"] / np.maximum(c, 1), c / v["tags"], v["stops"] / np.maximum(w, 1), v["own_stops"] / np.maximum(v["own_words"], 1), c / np.maximum(w, 1),
         np.log1p(w), np.log1p(v["own_words"]), c / v["total"], v["start"] / v["total"], v["depth"], v["nth"], v["kids"], v["paras"], np.log1p(beside),
-        c / np.maximum(c + beside, 1), v["segs"], w / np.maximum(v["segs"], 1), v["good"], v["above_good"], v["above_tag"], v["own_tags"],
+        c / np.maximum(c + beside, 1), v["segs"], w / np.maximum(v["segs"], 1), v["good"], v["above_good"], v["above_tag"], v["near"], outer, v["own_tags"],
         tag, np.where(root, -1, tag[up]), v["tags"], around / v["total"], np.where(root, 0, v["paras"][up]), heading, (tag == _TAG_ID["article"]) | (tag == _TAG_ID["main"]),
         *((bad >> j) & 1 for j in range(len(BAD))), *((above_bad >> j) & 1 for j in range(len(BAD))),
     ]
@@ -395,7 +403,7 @@ class _Maker:
             tag = r.choice(("div", "div", "section", "dialog"))
             return f"<{tag}{self.attrs('cookie-notice', 'cookie-banner', 'notice', 'gdpr', 'newsletter', 'alert', 'popup')}>{r.choice(('', '<p>'))}{self.words(6, 40)}<button>{self.words(1, 2)}</button></{tag}>"
         if kind == "side":
-            inner = f"<h3>{self.words(1, 4)}</h3>{self.links(2, 8)}" if r.random() < 0.6 else f"<p>{self.words(5, 60)}</p>"
+            inner = r.choice((f"<h3>{self.words(1, 4)}</h3>{self.links(2, 8)}", f"<p>{self.words(5, 60)}</p>", self.words(1, 12), f"<h3>{self.words(1, 4)}</h3><p>{self.words(3, 30)}</p>"))
             return r.choice((f"<aside>{inner}</aside>", f"<aside{self.attrs('sidebar', 'widget', '')}>{inner}</aside>", f"<div{self.attrs('sidebar', 'side-rail', 'widget')}>{inner}</div>"))
         if kind == "form":
             return f"<form{self.attrs('search', 'login', 'signup', '')}>{r.choice(('', '<p>', '<label>'))}{self.words(1, 12)}<input name=q><button>{self.words(1, 2)}</button></form>"
@@ -406,7 +414,7 @@ class _Maker:
         if kind == "related":
             return f"<{r.choice(('div', 'section'))}{self.attrs('related', 'recommended', 'more-stories')}><h3>{self.words(2, 4)}</h3>{self.links(3, 8)}</div></section>"
         if kind == "header":
-            return f"<header{self.attrs('site-header', 'masthead', '')}>{r.choice(('', '<h2>'))}{self.words(1, 10)}{r.choice(('', self.links(2, 5)))}</header>"
+            return f"<header{self.attrs('site-header', 'masthead', '')}>{r.choice(('', '<h1>', '<h2>'))}{self.words(1, 10)}{r.choice(('', self.links(2, 5)))}</header>"
         if kind == "crumbs":
             return f"<div{self.attrs('breadcrumb', 'breadcrumbs')}>{self.links(2, 4)}</div>"
         return f"<div{self.attrs('share', 'social', 'tags')}>{self.links(2, 5)}</div>"
@@ -415,6 +423,8 @@ class _Maker:
         r = self.r
         tag, attrs = r.choice((("article", ""), ("article", ""), ("article", self.attrs("post", "entry", "story")), ("main", ""), ("div", self.attrs("content", "post-content", "article-body", "entry", "main-text")), ("section", self.attrs("content", "story-body", "post")), ("div", "")))
         parts = [f"<{r.choice(('h1', 'h1', 'h2'))}>{self.words(2, 12)}</h1></h2>"] if r.random() < 0.85 else []
+        if parts and r.random() < 0.25:
+            parts = [r.choice((f"<header>{parts[0]}</header>", f"<div class='entry-header'>{parts[0]}</div>", f"<header>{parts[0]}<p>{self.words(2, 9)}</p></header>"))]
         for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
             kind = r.random()
             close = r.choice(("</p>", "</p>", ""))
@@ -431,7 +441,7 @@ class _Maker:
                 parts.append(f"<p>{self.words(5, 40)} <a href='/y'>{self.words(1, 5)}</a> {self.words(5, 30)}</p>")
             else:
                 parts.append(f"<table><tr><td>{self.words(1, 6)}<td>{self.words(1, 6)}</table>")
-        if r.random() < 0.25:  # something that is not the article inside it
+        for _ in range(r.choice((0, 0, 0, 1, 1, 2))):  # something that is not the article inside it
             parts.insert(r.randint(1, len(parts)) if parts else 0, "\x02" + self.junk() + "\x03")
         return f"\x01<{tag}{attrs}>" + "".join(parts) + f"</{tag}>\x04"
 
@@ -451,7 +461,7 @@ _MARKS = re.compile("[\x01-\x04]")
 _SIGN = "\ue000"
 
 
-def training_nodes(pages: int = 600, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_nodes(pages: int = 900, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, labels, weights) of the nodes of generated pages: a node is the article's if most of its subtree's text is."""
     xs, ys, ws = [], [], []
     for i in range(pages):
@@ -500,7 +510,7 @@ _model: Trees | None = None
 
 
 def model() -> Trees:
-    """The trees, trained once a process on 600 generated pages (a fixed seed)."""
+    """The trees, trained once a process on 900 generated pages (a fixed seed)."""
     global _model
     if _model is None:
         _model = boost(*training_nodes())

@@ -21,7 +21,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Names that announce a credential beyond those of ASSIGN, and credentials in the user part of an address.
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|pass(?:phrase|code|word|wd)|credentials?|auth(?:orization)?|bearer|private_?key|client_?secret|access_?key|session_?id|secret|token|api_?key)["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?|://[^\s:/@]{1,64}:)([^\s"'<>,;@]{8,})""",
+    r"""(?:\b(?:pwd|pass(?:phrase|code|word|wd)|credentials?|auth(?:orization)?|bearer|private_?key|client_?secret|access_?key|session_?id|secret|token|api_?key)["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?|\bbearer\x20+|://[^\s:/@]{1,64}:)([^\s"'<>,;@]{8,})""",
     re.IGNORECASE | re.ASCII,
 )
 #: Common words by rough rank: cheap to guess.

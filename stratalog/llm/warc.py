@@ -28,7 +28,7 @@ BLOCK_LINES = 3000
 #: Directory bytes that are broadcast at once; a larger directory is searched in pieces of this size.
 DIRECTORY_BYTES = 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*|\[[^\]]*\])(?::(\d*))?([^#]*)")
+_URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d*))?([^#]*)")
 _CAPTURES = "array<struct<line:string,offset:bigint,length:bigint>>"
 
 
