@@ -31,8 +31,11 @@ BANDS, ROWS = 40, 5
 MOST_BITS = 45
 #: Star members that one task verifies against one centre.
 STAR_TASK = 256
-#: Rounds in which the members of a bucket that are apart from its largest component meet a member of it.
-TURNS = 2
+#: Up to so many rows of ids and places, some 50 bytes each, are broadcast to the texts; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Rounds in which the members of a bucket that are apart from its largest component meet a member of it; the blocks after
+#: them make any number right.
+TURNS = 1
 #: Texts of a chunk in the last comparison; a block has two chunks.
 BLOCK = 256
 
@@ -114,6 +117,13 @@ def _describe(k: int):  # noqa: ANN202
     return describe
 
 
+def _with_texts(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``placed`` with the text of each id; up to BROADCAST_ROWS of it meet the texts where those are read."""
+    placed = save(placed, "mh-placed")
+    small = placed.count() <= BROADCAST_ROWS
+    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(placed) if small else placed, "id")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (center, id), those whose full sets have at least ``percent`` % in common.
 
@@ -123,8 +133,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     stars = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / STAR_TASK).cast("int").alias("salts"))
     members = pairs.join(stars, "center").select("center", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id", F.lit(0).alias("role"))
     centres = stars.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("center").alias("id"), F.lit(-1).alias("role"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    dealt = members.unionByName(centres).join(texts, "id").repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
+    dealt = _with_texts(members.unionByName(centres), docs).repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
@@ -162,8 +171,7 @@ def compare_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     placed = placed.select("cluster", "id", "component", "chunk", other.alias("other"))
     placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "component")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    dealt = placed.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    dealt = _with_texts(placed, docs).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -220,23 +228,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     an edge are absent; self-edges and repeated edges are ignored.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
-    mark = None
-    while True:
+    while not _are_stars(now):
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
         after = save(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "cc-edges")
         drop_saved(now)
         now = after
-        total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(total) == mark:
-            break
-        mark = tuple(total)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u: then every edge leads to its component's smallest id."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).union(edges.select("v", F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("n"))
+    return seen.agg(F.coalesce(F.bool_or(F.expr("out > 1 or (out > 0 and n > out)")), F.lit(False))).first()[0] is False
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
