@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import decontam, hnsw, html_extract, langid, lm_scoring, minhash, mixing, secret_scan, substring_dedup, warc
+from stratalog.llm import decontam, hnsw, html_extract, langid, lm_scoring, minhash, mixing, oracles, secret_scan, substring_dedup, warc
 from stratalog.llm.common import id_fold, table
 
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op3_warc": oracles.WARC, "op5_substring_dedup": oracles.SUBSTRING, "op7_minhash": oracles.MINHASH, "op9_mixing": mixing.ORACLE}
