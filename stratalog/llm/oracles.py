@@ -45,3 +45,38 @@ found as (select id, min(other) as component from reach group by 1)
 select docs.doc_id, coalesce(named.n, 0) as n_shingles, coalesce(component, docs.doc_id) as component_id, coalesce(component, docs.doc_id) = docs.doc_id as kept
 from docs left join named on docs.doc_id = named.doc_id left join found on found.id = named.rep
 """
+
+
+def _template(table: str, key: str) -> str:
+    """Valued template tokens of a table's texts by position; the name rule is put without look-behind."""
+    from stratalog.llm.decontam import UNITS
+
+    space = r"[\x20\x09-\x0D]"
+    text = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3) || chr(4), '    ')"
+    text = rf"regexp_replace({text}, '([\p{{Ll}},;])({space}+)', '\1\2' || chr(4), 'g')"
+    text = rf"replace(regexp_replace({text}, '{space}+\x04(\p{{Lu}}[\p{{L}}\p{{M}}]*)', ' ' || chr(2) || '\1', 'g'), chr(4), '')"
+    text = rf"regexp_replace({text}, '(\d[\d.,:/]*)', chr(1) || '\1', 'g')"
+    text = rf"regexp_replace({text} || ' ', '(\x01[\d.,:/]*){space}?({UNITS})([^\p{{L}}\p{{M}}])', '\1 ' || chr(3) || '\2 \3', 'g')"
+    text = rf"lower(regexp_replace({text}, '(\x01[\d.,:/]*)|([^\p{{L}}\p{{M}}\x01-\x03]+)', ' \1 ', 'g'))"
+    tokens = f"list_filter(regexp_split_to_array({text}, ' +'), lambda t: t <> '')"
+    listed = f"select {key}, {tokens} as tokens from {table} where {key} is not null"
+    return f"select {key}, len(tokens) as size, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from ({listed})"
+
+
+DECONTAM = f"""
+with d as materialized (select *, case when ascii(token) <= 3 then token[1] else token end as kind from ({_template("documents", "doc_id")})),
+i as materialized (select *, case when ascii(token) <= 3 then token[1] else token end as kind from ({_template("benchmark", "item_id")})),
+dw as (select doc_id, pos, string_agg(kind, ' ') over w as key, count(*) over w as n from d window w as (partition by doc_id order by pos rows between current row and 7 following)),
+iw as (select item_id, pos, string_agg(kind, ' ') over w as key, count(*) over w as n from i window w as (partition by item_id order by pos rows between current row and 7 following)),
+shifts as materialized (select distinct doc_id, item_id, dw.pos - iw.pos as shift from dw join iw using (key) where dw.n = 8 and iw.n = 8),
+pairs as (
+  select s.doc_id, s.item_id, s.shift, i.pos, i.size, i.kind, i.token as a, d.token as b, i.pos - row_number() over (partition by s.doc_id, s.item_id, s.shift order by i.pos) as island
+  from shifts s join i on i.item_id = s.item_id join d on d.doc_id = s.doc_id and d.pos = i.pos + s.shift and d.kind = i.kind),
+runs as (select doc_id, item_id, shift, island, any_value(size) as size, count(*) as run, min(pos) as start, count(*) filter (ascii(kind) > 3) as words,
+    count(distinct case when ascii(kind) <= 3 then a end) as n_a, count(distinct case when ascii(kind) <= 3 then b end) as n_b,
+    count(distinct case when ascii(kind) <= 3 then a || '|' || b end) as n_ab, bool_and(ascii(kind) > 3 or a = b) as exact
+  from pairs group by all),
+best as (select * from runs qualify row_number() over (partition by doc_id, item_id, shift order by run desc, start) = 1)
+select doc_id, item_id, max(run) as run, bool_or(exact) as exact from best
+where run >= least(13, size) and n_a = n_ab and n_b = n_ab and words * 2 >= run group by 1, 2
+"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": oracles.WARC, "op5_substring_dedup": oracles.SUBSTRING, "op7_minhash": oracles.MINHASH, "op9_mixing": mixing.ORACLE}
+    return {"op3_warc": oracles.WARC, "op5_substring_dedup": oracles.SUBSTRING, "op6_decontam": oracles.DECONTAM, "op7_minhash": oracles.MINHASH, "op9_mixing": mixing.ORACLE}
