@@ -61,8 +61,3 @@ def drop_saved(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    """The cluster's shuffle width; operators that deal out packed rows use as many buckets."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -25,8 +25,6 @@ _U = np.uint64
 _BOS, _END = mix64(np.array([0xB05, 0xE0D], dtype=np.uint64))
 #: Context counts fall into bucket 0 (unseen) or 1 + floor(log2(count)), at most 15.
 BUCKETS = 16
-#: Text bytes of a block, about, and hash ranges for each shuffle partition: both keep a task's arrays small.
-BLOCK_BYTES, RANGES = 2 << 20, 4
 #: The hash ranges are asked in so many passes over the texts, so that a fraction of the n-grams is on disk at a time.
 PASSES = 2
 #: One block in so many is held out to learn the weights.
@@ -144,7 +142,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFram
     with nothing to learn from, every estimate but the uniform one is 0. N-gram keys are 64-bit hashes for words and wide enough
     otherwise for one wrong lookup in two million. Other columns are ignored.
     """
-    plan = layout(docs, RANGES, BLOCK_BYTES)
+    plan = layout(docs, orders=3)
     bits = min(64, plan.word_bits + 20)
     word_bits = min(64, bits + 8)
     id_type = dict(docs.dtypes)["doc_id"]

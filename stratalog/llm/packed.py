@@ -15,10 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import partitions
-
-#: Text bytes of a document block, about.
-BLOCK_BYTES = 4 << 20
+#: Text bytes of a document block, about, and keys of a hash range, at most about (at six bytes a word).
+BLOCK_BYTES, RANGE_KEYS = 2 << 20, 3 << 19
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -61,12 +59,13 @@ class Layout:
         return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])).astype(np.int64)
 
 
-def layout(docs: DataFrame, ranges_per_partition: int = 2, block_bytes: int = BLOCK_BYTES) -> Layout:
-    """The layout for these documents, from one scan of text lengths."""
-    spark = docs.sparkSession
+def layout(docs: DataFrame, orders: int = 1) -> Layout:
+    """The layout for these documents with ``orders`` windows a word, from one scan of text lengths.
+
+    Both numbers follow the data alone; there is at most one row for each key that a block asks about.
+    """
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    width = partitions(spark)
-    return Layout(blocks=max(2 * width, -(-size // block_bytes)), ranges=width * ranges_per_partition, word_bits=max(20, (size // 4).bit_length()))
+    return Layout(blocks=max(1, -(-size // BLOCK_BYTES)), ranges=max(1, -(-size * orders // (6 * RANGE_KEYS))), word_bits=max(20, (size // 4).bit_length()))
 
 
 def block_of(plan: Layout) -> Column:
