@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
-from stratalog.functions.columns import as_float_vector, guard, split_stamp
+from stratalog.functions.columns import NS, as_float_vector, guard, split_stamp
+from stratalog.functions.flatbuf import Field, decode_table, encode_table
 
 #: Encoding -> (channels, bytes per channel, pixel type); fixed values of the raw-image schema.
 ENCODINGS = {
@@ -30,28 +31,83 @@ ENCODINGS = {
 INFERRED = {("uint8", 1): "8UC1", ("uint8", 3): "8UC3", ("uint16", 1): "16UC1", ("float32", 1): "32FC1"}
 
 
+#: Fields of the payload tables in order of their ids (fixed values of the schemas).
+FLOAT_ARRAY = [Field("values", "floats")]
+RAW_IMAGE = [Field("timestamp", "time"), Field("frame_id", "string"), Field("width", "u32"), Field("height", "u32"), Field("encoding", "string"), Field("step", "u32"), Field("data", "bytes")]
+COMPRESSED_IMAGE = [Field("timestamp", "time"), Field("frame_id", "string"), Field("data", "bytes"), Field("format", "string")]
+_RAW_TYPE = "struct<width:bigint,height:bigint,channels:int,dtype:string,encoding:string,frame_id:string,data:binary>"
+_COMPRESSED_TYPE = "struct<format:string,frame_id:string,sec:bigint,nsec:bigint,data:binary>"
+
+
 def encode_float_array(values: np.ndarray | list[float] | None) -> bytes:
-    """A one-field FlatBuffers table with a float32 vector; None leaves the field out."""
-    if values is None:
-        return struct.pack("<IHHi", 8, 4, 4, 4)
-    data = np.asarray(values, dtype="<f4")
-    # root offset; vtable (size, table size, offset of field 0, padding); table (back to its vtable, on to the vector); vector
-    return struct.pack("<IHHHHiII", 12, 6, 8, 4, 0, 8, 4, len(data)) + data.tobytes()
+    """A table with one float32 vector; None leaves the field out."""
+    return encode_table(FLOAT_ARRAY, {"values": values})
 
 
 def decode_float_array(data: bytes) -> np.ndarray | None:
-    """The vector of a FloatArray buffer, by any writer; None if the field is missing."""
-    root = struct.unpack_from("<I", data, 0)[0]
-    vtable = root - struct.unpack_from("<i", data, root)[0]
-    if struct.unpack_from("<H", data, vtable)[0] <= 4:
-        return None
-    field = struct.unpack_from("<H", data, vtable + 4)[0]
-    if not field:
-        return None
-    at = root + field
-    at += struct.unpack_from("<I", data, at)[0]
-    count = struct.unpack_from("<I", data, at)[0]
-    return np.frombuffer(data, dtype="<f4", count=count, offset=at + 4)
+    """The vector of a float-array buffer, by any writer; None if the field is missing."""
+    return decode_table(FLOAT_ARRAY, data)["values"]
+
+
+def encode_raw_image(pixels: np.ndarray, encoding: str = "", frame_id: str = "") -> bytes:
+    """A raw-image table of packed rows; the encoding is inferred from pixel type and shape where none is given."""
+    channels = 1 if pixels.ndim == 2 else 3
+    name = encoding or INFERRED[str(pixels.dtype), channels]
+    height, width = pixels.shape[:2]
+    step = width * (1 if pixels.ndim == 2 else pixels.shape[2]) * pixels.itemsize
+    return encode_table(RAW_IMAGE, {"frame_id": frame_id, "width": width, "height": height, "encoding": name, "step": step, "data": np.ascontiguousarray(pixels).tobytes()})
+
+
+def encode_compressed_image(data: bytes, stamp_ns: int, image_format: str = "jpeg", frame_id: str = "") -> bytes:
+    """A compressed-image table; the stamp is split into seconds and nanoseconds."""
+    return encode_table(COMPRESSED_IMAGE, {"timestamp": divmod(stamp_ns, NS), "frame_id": frame_id, "data": data, "format": image_format})
+
+
+def _raw_image_row(data: bytes) -> dict:
+    t = decode_table(RAW_IMAGE, data)
+    decode_raw_image(t["width"], t["height"], t["step"], t["encoding"], t["data"] or b"")  # checks the geometry
+    channels, _, kind = ENCODINGS[t["encoding"]]
+    return {"width": t["width"], "height": t["height"], "channels": channels, "dtype": kind, "encoding": t["encoding"], "frame_id": t["frame_id"], "data": t["data"]}
+
+
+def _compressed_image_row(data: bytes) -> dict:
+    t = decode_table(COMPRESSED_IMAGE, data)
+    if t["format"] != "jpeg":
+        raise ValueError(f"expected a jpeg image, not {t['format']}")
+    sec, nsec = t["timestamp"] or (None, None)
+    return {"format": t["format"], "frame_id": t["frame_id"], "sec": sec, "nsec": nsec, "data": t["data"]}
+
+
+def payload_type(schema_name: str) -> str:
+    """The Spark type that a payload decodes to, by the last part of its schema's name; unknown schemas raise."""
+    kinds = {"FloatArray": "array<float>", "RawImage": _RAW_TYPE, "CompressedImage": _COMPRESSED_TYPE}
+    short = schema_name.rpartition(".")[2]
+    if short not in kinds:
+        raise KeyError(f"no decoder for schema {schema_name!r}; known: {sorted(kinds)}")
+    return kinds[short]
+
+
+def decode_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
+    """``df`` with each named binary column decoded by its schema, in one pass over Arrow batches."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    readers = {"FloatArray": decode_float_array, "RawImage": _raw_image_row, "CompressedImage": _compressed_image_row}
+    fields = [StructField(f.name, _parse_datatype_string(payload_type(schemas[f.name]))) if f.name in schemas else f for f in df.schema]
+    kinds = {f.name: to_arrow_type(f.dataType) for f in fields if f.name in schemas}
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = []
+            for f in fields:
+                col = batch.column(f.name)
+                if f.name in schemas:
+                    read = readers[schemas[f.name].rpartition(".")[2]]
+                    col = pa.array([None if b is None else read(b) for b in col.to_pylist()], kinds[f.name])
+                cols.append(col)
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+
+    return df.mapInArrow(decode, StructType(fields))
 
 
 @F.pandas_udf(ArrayType(FloatType()))
@@ -137,7 +193,7 @@ def raw_image(topic: Column, image: Column, publish_time: Column, log_time: Colu
 
 def float_array(topic: Column, values: Column, publish_time: Column, log_time: Column) -> Column:
     """A float-vector message; values are stored with 32 bits."""
-    return _message(topic, "airbot_fbs.FloatArray", publish_time, log_time, F.struct(as_float_vector(values).alias("values")))
+    return _message(topic, "FloatArray", publish_time, log_time, F.struct(as_float_vector(values).alias("values")))
 
 
 def _message(topic: Column, schema: str, publish_time: Column, log_time: Column, payload: Column) -> Column:

@@ -12,8 +12,8 @@ MESSAGES = "episode_id string, channel_id int, topic string, schema_name string,
 ATTACHMENTS = "episode_id string, name string, media_type string, create_time bigint, log_time bigint, data binary"
 METADATA = "episode_id string, name string, metadata map<string,string>"
 
-#: Payload schemas that are known by name: a float vector, a raw image and a compressed image (fixed values).
-PAYLOAD_SCHEMAS = ("airbot_fbs.FloatArray", "foxglove.RawImage", "foxglove.CompressedImage")
+#: Payload schemas that are known, by the last part of their names: a float vector, a raw image and a compressed image (fixed values).
+PAYLOAD_SCHEMAS = ("FloatArray", "RawImage", "CompressedImage")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -127,7 +127,7 @@ select encoding, channels::bigint as channels, itemsize::bigint as itemsize, dty
     "raw_image_check": "select p_partkey, ((p_size % 5 + 1) * (p_size % 3 + 1) * 3)::bigint as n_bytes, 3::bigint as channels, 'uint8' as dtype from part",
     "pixel_sums": "select p_partkey, ((p_size % 5 + 1) * (p_size % 3 + 1) * 3 * ascii('x'))::bigint as total from part",
     "convert_union": f"""
-select event_type as topic, 'airbot_fbs.FloatArray' as schema_name, event_id as log_time, props as payload from events
+select event_type as topic, 'FloatArray' as schema_name, event_id as log_time, props as payload from events
 union all select 'cam' || stream, 'foxglove.CompressedImage', idx, vec_id::varchar from ({_FRAMES}) where stream <> 3""",
     "attachment_media": "select 'color/' || label as name, count(*) as n from embeddings where label % 2 = 0 group by 1",
     "container_roundtrip": f"select user_id::varchar as episode_id, event_type as topic, {_NS} as log_time, event_id as sequence, value from events where event_type in ('click', 'view')",

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.functions.payload import decode_float_arrays
+from stratalog.functions.payload import decode_columns
 from stratalog.operators import assemble as asm
 from stratalog.operators import catalog as cat
 from stratalog.operators import pipeline as pipe
@@ -193,7 +193,9 @@ class SampleDataset(EpisodeDataset):
 def read_samples(spark: SparkSession, paths: list[str], config: DatasetConfig) -> DataFrame:
     """(episode_id, sample_idx, one column per topic and attachment); episodes are numbered in the order of ``paths``."""
     files = src.read_bytes(spark, paths)
-    names = {r.topic for r in src.channels(files).select("topic").distinct().collect()}
+    listed = src.channels(files).join(src.schemas(files), ["episode_id", "schema_id"], "left").select("topic", "name").distinct().collect()
+    schemas = {r.topic: r.name or "" for r in listed}
+    names = set(schemas)
     items = src.attachments(files)
     known = {r.name for r in items.select("name").distinct().collect()}
     topics, attachments = cat.resolve_keys(names, known, config.keys, config.topics, config.attachments)
@@ -201,8 +203,9 @@ def read_samples(spark: SparkSession, paths: list[str], config: DatasetConfig) -
     reverse = config.rearrange.episode == cat.REVERSE and len(paths) == 1
     out = None
     if topics:
-        messages = src.messages(files).withColumn("value", decode_float_arrays("data"))
-        out = asm.assemble(messages, topics, reverse=reverse, strict=config.strict and not attachments)
+        # Payloads are decoded after assembly: values that a later one replaces never are.
+        messages = src.messages(files).withColumnRenamed("data", "value")
+        out = decode_columns(asm.assemble(messages, topics, reverse=reverse, strict=config.strict and not attachments), {t: schemas[t] for t in topics})
     if attachments:
         if reverse:
             raise ValueError("attachments cannot be read from the end")

@@ -371,7 +371,7 @@ def pixel_sums(spark: SparkSession, d: str) -> DataFrame:
 @query
 def convert_union(spark: SparkSession, d: str) -> DataFrame:
     e = m.table(spark, d, "events")
-    messages = e.select(F.lit("e").alias("episode_id"), F.col("event_type").alias("topic"), F.lit("airbot_fbs.FloatArray").alias("schema_name"), F.col("event_id").alias("log_time"), F.col("event_id").alias("publish_time"), F.col("event_id").alias("sequence"), F.col("props").cast("binary").alias("data"))
+    messages = e.select(F.lit("e").alias("episode_id"), F.col("event_type").alias("topic"), F.lit("FloatArray").alias("schema_name"), F.col("event_id").alias("log_time"), F.col("event_id").alias("publish_time"), F.col("event_id").alias("sequence"), F.col("props").cast("binary").alias("data"))
     f = m.frames(spark, d).select(F.lit("e").alias("episode_id"), F.concat(F.lit("cam"), "stream").alias("name"), F.col("idx").alias("pts"), F.col("vec_id").cast("string").cast("binary").alias("data"))
     kinds = f.select("episode_id", "name").distinct().select("episode_id", "name", F.when(F.col("name") == "cam3", "application/json").otherwise("video/mp4").alias("media_type"))
     out, _ = src.convert_videos(messages, kinds, f)
@@ -387,7 +387,7 @@ def attachment_media(spark: SparkSession, d: str) -> DataFrame:
 @query
 def container_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     e = m.msg_log(spark, d)
-    rows = e.select(F.col("episode_id").cast("string").alias("episode_id"), "topic", F.lit("airbot_fbs.FloatArray").alias("schema_name"), "log_time", F.col("log_time").alias("publish_time"), "sequence", pay.encode_float_arrays(F.array(F.col("value").cast("float"))).alias("data"))
+    rows = e.select(F.col("episode_id").cast("string").alias("episode_id"), "topic", F.lit("FloatArray").alias("schema_name"), "log_time", F.col("log_time").alias("publish_time"), "sequence", pay.encode_float_arrays(F.array(F.col("value").cast("float"))).alias("data"))
     read = src.messages(src.to_files(rows), ["click", "view"])
     return read.select("episode_id", "topic", "log_time", "sequence", F.round(pay.decode_float_arrays("data")[0].cast("double"), 2).alias("value"))
 
@@ -401,7 +401,7 @@ def container_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def channel_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = m.msg_log(spark, d).withColumn("schema_name", F.lit("airbot_fbs.FloatArray"))
+    rows = m.msg_log(spark, d).withColumn("schema_name", F.lit("FloatArray"))
     return src.channel_ids(rows).select("episode_id", "topic", F.col("channel_id").cast("bigint").alias("channel_id"))
 
 

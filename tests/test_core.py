@@ -231,6 +231,26 @@ def test_float_array_bytes():
     assert pay.decode_float_array(bytes(b.Output())).tolist() == [1.5, 2.5]
 
 
+def test_image_tables(spark):
+    import numpy as np
+
+    pixels = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    rows = [(pay.encode_raw_image(pixels, frame_id="cam"), pay.encode_compressed_image(b"jj", 1_500_000_000), pay.encode_float_array([1, 2])), (None, None, None)]
+    df = spark.createDataFrame([tuple(None if x is None else bytearray(x) for x in r) for r in rows], "a binary, b binary, c binary")
+    got = pay.decode_columns(df, {"a": "foxglove.RawImage", "b": "foxglove.CompressedImage", "c": "x.FloatArray"}).collect()
+    assert (got[0].a.width, got[0].a.height, got[0].a.channels, got[0].a.encoding, got[0].a.frame_id) == (4, 2, 3, "8UC3", "cam")
+    assert bytes(got[0].a.data) == pixels.tobytes()
+    assert (got[0].b.sec, got[0].b.nsec, bytes(got[0].b.data)) == (1, 500_000_000, b"jj")
+    assert got[0].c == [1.0, 2.0] and got[1].a is None
+    with pytest.raises(KeyError):
+        pay.decode_columns(df, {"a": "Other"})
+    bad = spark.createDataFrame([(bytearray(pay.encode_compressed_image(b"x", 0, "png")),)], "b binary")
+    with pytest.raises(Exception, match="jpeg"):
+        pay.decode_columns(bad, {"b": "CompressedImage"}).collect()
+    with pytest.raises(KeyError):
+        pay.encode_raw_image(np.zeros((1, 1), dtype=np.int64))
+
+
 def test_images(spark):
     for name, (channels, size, _) in pay.ENCODINGS.items():
         pixels = pay.decode_raw_image(2, 3, 2 * channels * size, name, bytes(6 * channels * size))

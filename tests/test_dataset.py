@@ -22,7 +22,7 @@ def root(spark, tmp_path_factory):
     for e, n in (("e0.mcap", 4), ("e1.mcap", 3)):
         for i in range(n):
             for j, topic in enumerate(("/arm", "/eef")):
-                rows.append((e, topic, "airbot_fbs.FloatArray", 10 * i + j, 10 * i + j, i, [float(i), float(j)]))
+                rows.append((e, topic, "FloatArray", 10 * i + j, 10 * i + j, i, [float(i), float(j)]))
     m = spark.createDataFrame(rows, "episode_id string, topic string, schema_name string, log_time bigint, publish_time bigint, sequence bigint, v array<float>")
     m = m.withColumn("data", encode_float_arrays("v")).drop("v")
     a = spark.createDataFrame([(e, "log_stamps", "application/json", 1, 1, bytearray(json.dumps(list(range(n))).encode())) for e, n in (("e0.mcap", 4), ("e1.mcap", 3))], model.ATTACHMENTS)
