@@ -32,7 +32,7 @@ def shard(numbered: DataFrame, world_size: int = 1, rank: int = 0, num_workers:
     if world_size < 1 or num_workers < 1:
         raise ValueError("world_size and num_workers are 1 or more")
     total, part = world_size * num_workers, rank * num_workers + worker_id
-    return numbered.where(F.pmod("pos", F.lit(total)) == part).withColumn("pos", F.floor((F.col("pos") - part) / total).cast("bigint"))
+    return numbered.where(F.pmod("pos", F.lit(total)) == part).withColumn("pos", F.expr(f"(pos - {part}) div {total}"))
 
 
 def skip(numbered: DataFrame, n: int) -> DataFrame:
@@ -44,7 +44,7 @@ def block_shuffle(numbered: DataFrame, block: int, seed: int, key: str) -> DataF
     """out_pos: blocks of ``block`` positions stay in order, rows inside a block in seeded hash order; no Python, one shuffle by block."""
     if block < 1:
         raise ValueError("a block has one row or more")
-    of_block = F.floor(F.col("pos") / block).cast("bigint")
+    of_block = F.expr(f"pos div {block}")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(*hash_order(seed, F.col(key)))).cast("bigint") - 1
     return numbered.withColumn("_block", of_block).withColumn("out_pos", inside + F.col("_block") * block).drop("_block")
 
@@ -142,7 +142,7 @@ def batches(samples: DataFrame, size: int, order: list[str], item: str, episode:
     if size < 1:
         raise ValueError("a batch has one row or more")
     pos = F.row_number().over(Window.partitionBy(episode).orderBy(*order)).cast("bigint") - 1
-    placed = samples.select(episode, F.col(item).alias("_item"), pos.alias("_pos")).withColumn("batch_idx", F.floor(F.col("_pos") / size).cast("bigint"))
+    placed = samples.select(episode, F.col(item).alias("_item"), pos.alias("_pos")).withColumn("batch_idx", F.expr(f"_pos div {size}"))
     held = F.array_sort(F.collect_list(F.struct("_pos", "_item")))  # at most ``size`` rows
     out = placed.groupBy(episode, "batch_idx").agg(F.transform(held, lambda s: s["_item"]).alias("items"))
     return out.where(guard(F.size("items") == size, "the last batch is short")) if strict else out
