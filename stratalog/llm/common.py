@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Tables that save() has written in this process and that were not dropped.
+_saved: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the synthetic tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,13 +55,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+    _saved.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Remove a table that save() wrote and that no later result needs."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+        _saved[:] = [p for p in _saved if p.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that save() wrote in this process; results that were not written or collected yet become unreadable."""
+    while _saved:
+        _delete(spark, _saved.pop())

@@ -276,3 +276,17 @@ def test_pipeline_odd(spark, sf, odd_docs):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_saved_tables_go(spark):
+    from stratalog.llm import common
+
+    a, b = common.save(spark.range(3), "t"), common.save(spark.range(4), "t")
+    assert (a.count(), b.count()) == (3, 4)
+    common.drop_saved(a)
+    assert b.count() == 4
+    path = b.inputFiles()[0]
+    common.release(spark)
+    assert not common._saved
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
