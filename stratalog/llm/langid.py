@@ -17,7 +17,7 @@ FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
 #: The broadcast matrix has 4 bytes for each of 65,536 features a language: 256 MB at this many languages.
 MOST_LANGUAGES = 1000
-_SLICE_CHARS = 1 << 20
+_SLICE_CHARS = 1 << 18
 _letters: np.ndarray | None = None
 
 
@@ -70,12 +70,13 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     """(row offset, texts) with a bounded number of characters each; null texts are empty."""
     start, held, size = 0, [], 0
-    for i, text in enumerate(batch.column("text").to_pylist()):
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= _SLICE_CHARS:
-            yield start, held
-            start, held, size = i + 1, [], 0
+    for row in range(0, batch.num_rows, 256):  # few texts at a time become Python strings
+        for i, text in enumerate(batch.column("text").slice(row, 256).to_pylist(), row):
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= _SLICE_CHARS:
+                yield start, held
+                start, held, size = i + 1, [], 0
     if held:
         yield start, held
 
