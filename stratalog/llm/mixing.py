@@ -15,6 +15,8 @@ from stratalog.llm.common import WORD, save
 
 #: Up to so many source rows (a rank, a name and five numbers each) are broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 100_000
+#: Documents of a shard, about: what one window sorts.
+SHARD_DOCS = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +69,7 @@ def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seat
     return tried.withColumn("_moved", moved).groupBy(*group, party).agg(*(F.first(c).alias(c) for c in kept), (F.first("_base") + F.sum("_moved")).alias(out))
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 16, shard_docs: int = 20_000, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 16, shard_docs: int = SHARD_DOCS, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """How many words of each document the mix takes, repeats counted.
 
     Returns doc_id, source, size, source_size, target, taken, one row per input row; repeated rows stay repeated. Null text has
@@ -98,7 +100,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 16, shard_do
 
 
 #: The same rows by DuckDB, for the default parameters.
-ORACLE = r"""
+ORACLE = rf"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
          md5('17:' || coalesce(doc_id::varchar, '')) as place from documents),
@@ -122,7 +124,7 @@ s2 as (
   from s1, unnest(range(0, coalesce(ceil(target * n * 2 / nullif(v, 0)), 0)::bigint + 2)) as u(k)),
 s3 as (select *, row_number() over (order by quotient desc nulls last, rank, k) as place from s2),
 s4 as (select rank, coalesce(sum(sign(miss)) filter (place <= abs(miss) and quotient is not null), 0)::bigint as moved from s3 group by rank),
-sources as (select s1.*, coalesce(b0, 0) + moved as source_blocks, ceil(n_docs / 20000)::bigint as shards from s1 join s4 using (rank)),
+sources as (select s1.*, coalesce(b0, 0) + moved as source_blocks, ceil(n_docs / {SHARD_DOCS})::bigint as shards from s1 join s4 using (rank)),
 placed as (
   select d.doc_id, d.source, d.size, s.source_size, s.target, d.place, s.rank, s.source_blocks,
     cast('0x' || substr(d.place, 1, 8) as bigint) % s.shards as shard
