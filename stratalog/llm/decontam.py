@@ -2,13 +2,13 @@
 
 Numbers, names and units become typed placeholders, so that a question whose parameters were changed has the template of its
 original. All template windows of the benchmark are hashed; a document's windows are probed at a stride that cannot miss a run of
-``least_run`` tokens. Each hit fixes a diagonal between document and item; along it the run of equal template tokens is measured
-and the values in its placeholders are checked for a one-to-one mapping.
+``least_run`` tokens. Each hit fixes a diagonal between document and item; along it all runs of equal template tokens are measured
+and cut where the values in their placeholders stop to map one to one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import save
@@ -52,13 +52,47 @@ def _windows(tokens: Column, starts: Column, window: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i + 1, window)))
 
 
+def _runs(pairs: DataFrame, least_run: int) -> DataFrame:
+    """(doc_id, item_id, run, exact) of the stretches of each diagonal that count; pairs: (a, b, same, slot) of all its places."""
+    key = ["doc_id", "item_id", "shift", "digest"]  # repeated ids may have other texts
+    rows = pairs.distinct().withColumn("digest", F.xxhash64("pairs"))
+    rows = rows.select(*key, "least", F.posexplode("pairs").alias("at", "p")).select(*key, "least", "at", "p.*")
+    rows = rows.withColumn("live", F.col("same") & F.col("slot"))
+    line = Window.partitionBy(*key).orderBy("at")
+    sofar = line.rowsBetween(Window.unboundedPreceding, 0)
+    # The last place before, with one of the values and not the other: where it is older than the value's last place, that one's own break covers it.
+    for one, other in (("a", "b"), ("b", "a")):
+        last = Window.partitionBy(*key, "live", one).orderBy("at")
+        rows = rows.withColumn(f"clash_{one}", F.when(F.col("live") & (F.lag(other).over(last) != F.col(other)), F.lag("at").over(last) + 1))
+    no = F.when(~F.col("same"), F.col("at") + 1)
+    rows = rows.withColumn("start", F.max(F.coalesce(F.greatest(no, "clash_a", "clash_b"), F.lit(0))).over(sofar))
+    rows = rows.withColumn("copy", F.max(F.when(~F.col("same") | (F.col("slot") & (F.col("a") != F.col("b"))), F.col("at") + 1).otherwise(0)).over(sofar))
+    # Words by half: a row of twice ``least`` or more that is has a half that is.
+    rows = rows.withColumn("near", F.collect_list(~F.col("slot")).over(line.rowsBetween(2 - 2 * least_run, 0)))
+    sizes = F.when(F.size("near") >= F.col("least"), F.sequence(F.col("least"), F.least(F.col("least") * 2 - 1, F.size("near"))))
+    half = F.filter(sizes, lambda k: F.size(F.filter(F.slice("near", -k, k), lambda word: word)) * 2 >= k)
+    rows = rows.withColumn("worded", F.max(F.col("at") + 1 - F.array_min(half)).over(sofar))
+    for c in ("start", "copy"):
+        rows = rows.withColumn(f"{c}_ends", F.coalesce(F.lead(c).over(line) != F.col(c), F.lit(True)) & (F.col("at") + 1 - F.col(c) >= F.col("least")))
+    exact = F.col("copy") <= F.col("start")
+    rows = rows.withColumn("mapped", F.when(F.col("start_ends") & (exact | (F.col("worded") >= F.col("start"))), F.col("start")))
+    around = F.first("mapped", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("copied", F.when(F.col("copy_ends") & F.coalesce(around > F.col("copy"), F.lit(True)), F.col("copy")))
+    rows = rows.where("mapped is not null or copied is not null")
+    return rows.groupBy("doc_id", "item_id").agg(
+        F.max(F.col("at") + 1 - F.least("mapped", "copied")).cast("bigint").alias("run"), F.max(F.col("copied").isNotNull() | (F.col("mapped").isNotNull() & exact)).alias("exact")
+    )
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN) -> DataFrame:
     """(doc_id, item_id, run, exact): pairs of a document and a benchmark item whose passage it holds.
 
-    ``run`` is the longest run of equal template tokens on one diagonal, ``least_run`` or more (or the whole item, if that is
-    shorter; items of under ``window`` tokens are never found). The values of its placeholders map one to one between item and
-    document; ``exact`` says that they are equal. Null texts match nothing; rows without an id are not reported; repeated rows
-    and repeated items give one pair each. Other columns are ignored.
+    Every run of equal template tokens on a diagonal is cut to the longest stretches in which the values of the placeholders map
+    one to one between item and document. Such a stretch counts if it has ``least_run`` tokens or more (or is the whole item, if
+    that is shorter; items of under ``window`` tokens are never found) and holds as many in a row of which half are words. A
+    stretch with equal values needs no words. ``run`` is the longest stretch that counts; ``exact`` says that one has equal values.
+    Null texts match nothing; rows without an id are not reported; repeated rows and repeated items give one pair each. Other
+    columns are ignored.
     """
     items = benchmark.where("item_id is not null").select("item_id", template(F.col("text"), False).alias("tokens"))
     index = items.withColumn("starts", _starts(F.size("tokens"), window, 1)).where("starts is not null")
@@ -90,23 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     found = found.withColumn("d", F.slice("d", first + F.col("shift") + 1, F.col("whole")))
     mark = f"[{NUMBER}{NAME}{UNIT}]"
     kind = lambda t: F.when(t.rlike("^" + mark), F.substring(t, 1, 1)).otherwise(t)
-    same = F.zip_with("i", "d", lambda a, b: kind(a) == kind(b))
-    # The longest run and where it ends, by a fold over the diagonal.
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), F.lit(0).alias("run"), F.lit(0).alias("end"))
-
-    def step(acc: Column, ok: Column) -> Column:
-        now = F.when(ok, acc["now"] + 1).otherwise(0)
-        best = now > acc["run"]
-        return F.struct((acc["at"] + 1).alias("at"), now.alias("now"), F.when(best, now).otherwise(acc["run"]).alias("run"), F.when(best, acc["at"] + 1).otherwise(acc["end"]).alias("end"))
-
-    found = found.withColumn("best", F.aggregate(same, zero, step)).withColumn("run", F.col("best.run"))
+    pairs = F.zip_with("i", "d", lambda a, b: F.struct(a.alias("a"), b.alias("b"), (kind(a) == kind(b)).alias("same"), a.rlike("^" + mark).alias("slot")))
     sizes = items.select("item_id", F.size("tokens").alias("size")).groupBy("item_id").agg(F.max("size").alias("size"))
-    found = found.join(F.broadcast(sizes) if small else sizes, "item_id").where(F.col("run") >= F.least(F.lit(least_run), "size"))
-    begin = F.col("best.end") - F.col("run") + 1
-    pairs = F.zip_with(F.slice("i", begin, F.col("run")), F.slice("d", begin, F.col("run")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    found = found.withColumn("slots", F.array_distinct(F.filter(pairs, lambda p: p["a"].rlike("^" + mark))))
-    one_to_one = (F.size(F.array_distinct(F.col("slots.a"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.b"))) == F.size("slots"))
-    words = F.col("run") - F.size(F.filter(pairs, lambda p: p["a"].rlike("^" + mark)))
-    exact = F.forall("slots", lambda p: p["a"] == p["b"])
-    found = found.where(one_to_one & (words * 2 >= F.col("run"))).select("doc_id", "item_id", F.col("run").cast("bigint").alias("run"), exact.alias("exact"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("exact").alias("exact"))
+    found = found.join(F.broadcast(sizes) if small else sizes, "item_id")
+    return _runs(found.select("doc_id", "item_id", "shift", F.least(F.lit(least_run), "size").alias("least"), pairs.alias("pairs")), least_run)

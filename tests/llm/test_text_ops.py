@@ -190,6 +190,28 @@ def test_decontam_cases(spark, text, hit):
     assert [(r.doc_id, r.item_id) for r in rows] == ([(5, 1)] if hit else [])
 
 
+NUMBERS = "values 1 2 3 4 5 6 7 8 9 10 11 12 13 14 end"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "want"),
+    [
+        # a stretch of 21 tokens maps one to one, though the whole run of 29 does not
+        (ITEM, ITEM.replace("at 9", "at 7", 1).replace(" 80", " 7"), [(21, False)]),
+        # a verbatim part that reaches one more placeholder, with a value that clashes
+        (ITEM, "it was 7 " + ITEM.split(" at ", 1)[1].replace("9", "2", 1), [(21, True)]),
+        (NUMBERS, NUMBERS, [(16, True)]),  # verbatim runs need no words
+        (NUMBERS, NUMBERS.replace("3", "33"), []),
+        # a second run on the same diagonal, where the longest one is all numbers
+        (" ".join(str(i) for i in range(20)) + " but " + ITEM, " ".join(str(i + 50) for i in range(20)) + " and " + ITEM, [(29, True)]),
+    ],
+)
+def test_decontam_stretches(spark, item, text, want):
+    docs = spark.createDataFrame([(5, text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert [(r.run, r.exact) for r in decontam.contaminated(docs, items).collect()] == want
+
+
 def test_decontam_short_items(spark):
     short = "one two three four five six seven eight nine"
     items = spark.createDataFrame([(1, short)], "item_id bigint, text string")
