@@ -54,7 +54,7 @@ def _windows(tokens: Column, starts: Column, window: int) -> Column:
 
 def _runs(pairs: DataFrame, least_run: int) -> DataFrame:
     """(doc_id, item_id, run, exact) of the stretches of each diagonal that count; pairs: (a, b, same, slot) of all its places."""
-    key = ["doc_id", "item_id", "shift", "digest"]  # repeated ids may have other texts
+    key = ["doc_id", "item_id", "shift", "head", "digest"]  # repeated ids may have other texts
     rows = pairs.distinct().withColumn("digest", F.xxhash64("pairs"))
     rows = rows.select(*key, "least", F.posexplode("pairs").alias("at", "p")).select(*key, "least", "at", "p.*")
     rows = rows.withColumn("live", F.col("same") & F.col("slot"))
@@ -80,7 +80,7 @@ def _runs(pairs: DataFrame, least_run: int) -> DataFrame:
     rows = rows.withColumn("copied", F.when(F.col("copy_ends") & F.coalesce(around > F.col("copy"), F.lit(True)), F.col("copy")))
     rows = rows.where("mapped is not null or copied is not null")
     return rows.groupBy("doc_id", "item_id").agg(
-        F.max(F.col("at") + 1 - F.least("mapped", "copied")).cast("bigint").alias("run"), F.max(F.col("copied").isNotNull() | (F.col("mapped").isNotNull() & exact)).alias("exact")
+        F.max(F.col("at") + 1 - F.least("mapped", "copied") - F.when(F.col("head") & (F.least("mapped", "copied") == 0), 1).otherwise(0)).cast("bigint").alias("run"), F.max(F.col("copied").isNotNull() | (F.col("mapped").isNotNull() & exact)).alias("exact")
     )
 
 
@@ -89,14 +89,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
 
     Every run of equal template tokens on a diagonal is cut to the longest stretches in which the values of the placeholders map
     one to one between item and document. Such a stretch counts if it has ``least_run`` tokens or more (or is the whole item, if
-    that is shorter; items of under ``window`` tokens are never found) and holds as many in a row of which half are words. A
+    that is shorter) and holds as many in a row of which half are words. A
     stretch with equal values needs no words. ``run`` is the longest stretch that counts; ``exact`` says that one has equal values.
-    Null texts match nothing; rows without an id are not reported; repeated rows and repeated items give one pair each. Other
+    The first word of an item may be a name or a unit in the document; ``run`` leaves it out then, as it is no equal template token.
+    Items of under ``window`` tokens are found where they stand whole, with equal values. Null texts match nothing; rows without an id are not reported; repeated rows and repeated items give one pair each. Other
     columns are ignored.
     """
     items = benchmark.where("item_id is not null").select("item_id", template(F.col("text"), False).alias("tokens"))
     index = items.withColumn("starts", _starts(F.size("tokens"), window, 1)).where("starts is not null")
     index = index.select("item_id", F.posexplode(_windows(F.col("tokens"), F.col("starts"), window)).alias("item_at", "key"))
+    # What goes before an item decides whether its first word is a placeholder in a document.
+    heads = F.explode(F.transform(F.array(F.lit(NAME), F.lit(UNIT)), lambda m: F.xxhash64(F.concat(F.array(m), F.slice("tokens", 2, window - 1))))).alias("key")
+    index = index.unionByName(items.where(F.size("tokens") >= window).select("item_id", F.lit(0).alias("item_at"), heads))
     index = save(index.distinct(), "dc-index")
     small = index.count() <= BROADCAST_ROWS
     stride = max(1, least_run - window + 1)
@@ -105,7 +109,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     probes = probes.select("doc_id", F.posexplode(_windows(F.col("tokens"), F.col("starts"), window)).alias("nth", "key"))
     hits = probes.join(F.broadcast(index) if small else index, "key").select("doc_id", "item_id", (F.col("nth") * stride - F.col("item_at")).alias("shift"))
     # An item shorter than least_run is whole only where it begins, which the stride may pass over: probe those everywhere.
-    brief = items.where((F.size("tokens") >= window) & (F.size("tokens") < least_run)).select("item_id", F.xxhash64(F.slice("tokens", 1, window)).alias("key"))
+    brief = items.where((F.size("tokens") >= window) & (F.size("tokens") < least_run))
+    brief = brief.select("item_id", F.xxhash64(F.slice("tokens", 1, window)).alias("key")).unionByName(brief.select("item_id", heads))
     brief = save(brief.distinct(), "dc-brief")
     if stride > 1 and brief.take(1):
         every = docs.where("doc_id is not null").select("doc_id", template(F.col("text"), False).alias("tokens"))
@@ -124,7 +129,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     found = found.withColumn("d", F.slice("d", first + F.col("shift") + 1, F.col("whole")))
     mark = f"[{NUMBER}{NAME}{UNIT}]"
     kind = lambda t: F.when(t.rlike("^" + mark), F.substring(t, 1, 1)).otherwise(t)
+    # The first word of an item is the same word if it is taken for a name or unit in the document.
+    head = (first == 0) & F.get("d", F.lit(0)).rlike(f"^[{NAME}{UNIT}]") & (F.substring(F.get("d", F.lit(0)), 2, 1 << 30) == F.get("i", F.lit(0)))
+    found = found.withColumn("head", F.coalesce(head, F.lit(False)))
+    found = found.withColumn("d", F.when(F.col("head"), F.concat(F.slice("i", 1, 1), F.slice("d", 2, F.size("d")))).otherwise(F.col("d")))
     pairs = F.zip_with("i", "d", lambda a, b: F.struct(a.alias("a"), b.alias("b"), (kind(a) == kind(b)).alias("same"), a.rlike("^" + mark).alias("slot")))
     sizes = items.select("item_id", F.size("tokens").alias("size")).groupBy("item_id").agg(F.max("size").alias("size"))
     found = found.join(F.broadcast(sizes) if small else sizes, "item_id")
-    return _runs(found.select("doc_id", "item_id", "shift", F.least(F.lit(least_run), "size").alias("least"), pairs.alias("pairs")), least_run)
+    runs = _runs(found.select("doc_id", "item_id", "shift", "head", F.least(F.lit(least_run), "size").alias("least"), pairs.alias("pairs")), least_run)
+    # Items of under ``window`` tokens: their values too are looked for, at their own length.
+    bare = lambda t: F.when(t.rlike(f"^{NUMBER}"), F.regexp_replace(t, "[.,:/]+$", "")).otherwise(t)
+    worded = lambda at: F.concat(F.array(F.regexp_replace(F.get(at, F.lit(0)), f"^[{NAME}{UNIT}]", "")), F.slice(at, 2, window))
+    tiny = benchmark.where("item_id is not null").select("item_id", F.transform(template(F.col("text"), True), bare).alias("tokens")).where((F.size("tokens") > 0) & (F.size("tokens") < window))
+    tiny = save(tiny.select("item_id", F.size("tokens").alias("n"), F.xxhash64(worded(F.col("tokens"))).alias("key")).distinct(), "dc-tiny")
+    for (n,) in tiny.select("n").distinct().orderBy("n").collect():
+        own = tiny.where(F.col("n") == n).select("item_id", "key")
+        every = docs.where("doc_id is not null").select("doc_id", F.transform(template(F.col("text"), True), bare).alias("tokens"))
+        every = every.withColumn("starts", _starts(F.size("tokens"), n, 1)).where("starts is not null")
+        keys = F.transform("starts", lambda i: F.xxhash64(worded(F.slice("tokens", i + 1, n))))  # noqa: B023
+        every = every.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+        every = every.join(F.broadcast(own) if small else own, "key").select("doc_id", "item_id").distinct()
+        runs = runs.unionByName(every.select("doc_id", "item_id", F.lit(n).cast("bigint").alias("run"), F.lit(True).alias("exact")))
+    return runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("exact").alias("exact"))

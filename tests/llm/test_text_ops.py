@@ -221,6 +221,14 @@ def test_decontam_short_items(spark):
     assert decontam.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_decontam_capital_in_mid_sentence(spark):
+    texts = {8: "What is the best way to cook rice", 10: "What is the best way to cook rice for dinner", 13: "What is the best way to cook rice for dinner on long evenings", 3: "Who is Bob", 2: "costs 5"}
+    items = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    rows = [(100 * shift + n, "x " * shift + "he asked " + t + ". Then") for n, t in texts.items() for shift in range(2)] + [(999, "who is he, and costs 6")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert got == {(100 * shift + n, m) for n in texts for m in texts for shift in range(2) if n == m or (8 <= m <= n)}
+
+
 def test_decontam_brute(spark, sf01, docs, pairs_of):
     """Documents that share 13 template tokens in a row with an item are found, and no others."""
     items = spark.read.parquet(f"{sf01}/benchmark.parquet").collect()
