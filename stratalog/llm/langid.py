@@ -128,8 +128,8 @@ def _labels(batch: pa.RecordBatch, langs: list[str], logs: np.ndarray, width: in
         if not langs:
             yield from (("und", bool(ok), 0.0) for ok in has_letter)
             continue
-        ends = np.append(grams, 0)  # so that an empty last document has a place to sum from
-        sums = np.stack([np.add.reduceat(row[ends].astype(np.float64), np.minimum(first[:-1], len(grams))) for row in logs])
+        # A zero behind the last text, so that an empty last document has a place to sum from.
+        sums = np.stack([np.add.reduceat(np.append(row[grams].astype(np.float64), 0.0), np.minimum(first[:-1], len(grams))) for row in logs])
         sums = np.where(np.diff(first) > 0, sums, 0) + logs[:, width : width + 1]
         best = sums.argmax(axis=0)
         odds = 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0)

@@ -115,6 +115,18 @@ def test_langid_features_are_local():
     assert has.tolist() == [True, False, True]
 
 
+def test_langid_is_the_same_anywhere_in_a_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    width = 1 << langid.FEATURE_BITS
+    logs = np.random.default_rng(1).normal(-9, 0.01, (2, width + 1)).astype(np.float32)
+    logs[:, 0] = [-1, -15]  # feature 0 tells much
+    batches = [["some text"], ["some text", "ab", ""], ["ab", "", "some text"], ["ab", "some text", ""]]
+    got = [list(langid._labels(pa.RecordBatch.from_pydict({"text": b}), ["x", "y"], logs, width))[b.index("some text")] for b in batches]
+    assert all(g[0] == got[1][0] and math.isclose(g[2], got[1][2], rel_tol=1e-9) for g in got)
+
+
 # ---- op5
 
 
