@@ -71,18 +71,66 @@ def test_hnsw_recall(spark):
         assert all(math.isclose(s, scores[i], rel_tol=1e-12) for _, i, s in found)
 
 
-def test_hnsw_graph_recall():
-    """The graph search itself, on one shard too large for a scan."""
+def clusters(rng, n, size, spread):
+    return (rng.normal(size=(n, 1, 32)) + spread * rng.normal(size=(n, size, 32))).reshape(-1, 32)
+
+
+@pytest.mark.parametrize(
+    ("make", "mean", "worst"),
+    [
+        (lambda rng: rng.normal(size=(4000, 32)), 0.97, 0.8),  # one shard, no merging: the hardest kind
+        (lambda rng: clusters(rng, 100, 60, 0.01), 0.99, 0.9),
+        (lambda rng: clusters(rng, 10, 600, 0.01), 0.99, 0.9),
+        (lambda rng: clusters(rng, 30, 200, 1e-4), 0.98, 0.8),
+        (lambda rng: np.concatenate([rng.normal(size=(100, 32)), np.ones((1000, 32)) + 1e-9 * rng.normal(size=(1000, 32))]), 0.99, 0.9),
+        (lambda rng: rng.normal(size=(40, 32)), 1.0, 1.0),  # fewer than the breadth: the graph all the same
+    ],
+)
+def test_hnsw_graph_recall(make, mean, worst):
+    """The graph search itself on one shard, per query."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(4000, 32)).astype(np.float32)
-    a = hnsw._augment(x)
-    layers = hnsw.build_layers(a)
-    assert len(layers) > 1
-    q = rng.normal(size=(50, 32)).astype(np.float32)
-    unit = np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((50, 1), np.float32)], axis=1)
-    found = hnsw.search_layers(a, layers, unit, 200)[:, :20]
-    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(f) & set(b)) for f, b in zip(found.tolist(), best.tolist(), strict=True)]) >= 0.95 * 20
+    x = make(rng)
+    unit, n = hnsw._augment(x), len(x)
+    layers = hnsw.build_layers(unit)
+    assert [len(layer.members) for layer in layers] == sorted((len(layer.members) for layer in layers), reverse=True)
+    ids = rng.choice(n, min(n, 60), replace=False)
+    recall = []
+    for own, member, score in hnsw.nearest_in_shard(x, unit, layers, np.arange(n), np.arange(n + 1), x[ids], ids, 20, hnsw.EF):
+        s = x @ x[own]
+        s[own] = -np.inf
+        assert np.allclose(score, s[member], rtol=1e-12) and (np.diff(score) <= 0).all()
+        recall.append(len(set(member.tolist()) & set(np.lexsort((np.arange(n), -s))[:20].tolist())) / 20)
+    assert np.mean(recall) >= mean and min(recall) >= worst
+
+
+def test_hnsw_every_node_is_reached():
+    """Islands get entries of their own: no node of a layer is out of reach."""
+    rng = np.random.default_rng(2)
+    x = hnsw._augment(clusters(rng, 40, 80, 1e-5))
+    layers = hnsw.build_layers(x)
+    for layer, above in zip(layers, [*layers[1:], None], strict=True):
+        reached = np.zeros(len(layer.members), dtype=bool)
+        first = np.arange(len(above.members)) if above else np.zeros(1, dtype=np.int64)
+        assert above is None or (layer.members[: len(first)] == above.members).all()
+        hnsw._reach(layer.graph, np.concatenate([first, layer.entries]), reached)
+        assert reached.all()
+    graph = np.array([[1], [0], [3], [2], [2]], dtype=np.int32)
+    graph, entries = hnsw._connect(x[:5], graph, np.zeros(1, dtype=np.int64))
+    assert entries.tolist() == [2] and 4 in graph[2:4]
+
+
+def test_hnsw_near_ties(spark):
+    """Vectors closer than single precision tells apart come in the order of double precision."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(50, 8)), np.ones((600, 8)) + 1e-9 * rng.normal(size=(600, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got, want = {}, brute_nearest(rows)
+    for r in hnsw.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert set(got) == set(want)
+    for q, scores in got.items():
+        assert np.allclose(scores, [s for _, s in want[q]], rtol=1e-14, atol=1e-14)
 
 
 def test_hnsw_odd(spark):
