@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -402,21 +404,69 @@ def test_guess_cost():
     assert cost("monkeydragon") < 4
     assert cost("kX9#vQ2!mz") > 10
 
-    def brute_cost(v):  # the same rules by exhaustive search over the first cut
-        best = [0.0] + [1e9] * len(v)
-        for i in range(len(v)):
-            size = 26 if v[i].isalpha() else 10 if v[i].isdigit() else 33
-            best[i + 1] = min(best[i + 1], best[i] + math.log10(size))
-            for j in range(i + 3, len(v) + 1):
-                part = v[i:j]
-                if part in secret_scan.COMMON:
-                    best[j] = min(best[j], best[i] + math.log10(secret_scan.COMMON[part]))
-                if len(set(part)) == 1 and (j == len(v) or v[j] != v[i]):
-                    best[j] = min(best[j], best[i] + math.log10(size * len(part)))
-        return best[-1]
-
-    for v in ("loveyou", "xxlovexx", "zzzzking", "thethethe"):
-        assert math.isclose(cost(v), brute_cost(v))
+    rng = random.Random(3)
+    parts = ["love", "dragon", "Love", "xx", "zzzz", "111", "2019", "03", "-14", "14.03.2019", "qwert", "poiu", "QWe", "asd", "#", "k", "7", "é", "aaaapple"]
+    for _ in range(300):
+        v = "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))[:28]
+        assert math.isclose(cost(v, COST_WORDS), brute_cost(v, COST_WORDS), abs_tol=1e-9), v
+    assert cost("a" * 300_000) < 10 and cost("qw" * 100_000) < 10
+
+
+COST_WORDS = {"love": 3, "dragon": 50, "apple": 700, "king": 12}
+
+
+def brute_cost(v, words):
+    """The rules of the five kinds of segment by exhaustive search, in their own words."""
+    rows = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890"]
+
+    def near(a, b):
+        return any(a in r and b in r and abs(r.index(a) - r.index(b)) == 1 for r in rows)
+
+    def capitals(p):
+        up = [c for c in p if c.isupper()]
+        return 0.3 + 0.3 * min(len(up), len(p) - len(up)) if up else 0
+
+    def is_date(p):
+        d = re.fullmatch(r"(\d{4})(?:[-/._]?(\d\d)(?:[-/._]?(\d\d))?)?", p)
+        if d and d[1][:2] in ("19", "20") and (d[2] is None or 1 <= int(d[2]) <= 12) and (d[3] is None or 1 <= int(d[3]) <= 31):
+            return True
+        d = re.fullmatch(r"(\d\d)[-/._]?(\d\d)[-/._]?((?:19|20)?\d\d)", p)
+        return bool(d and 1 <= int(d[1]) <= 31 and 1 <= int(d[2]) <= 12)
+
+    def kinds(p):
+        size = 26 if p[0].isalpha() else 10 if p[0].isdigit() else 33
+        if len(p) == 1:
+            yield math.log10(size)
+        if p.lower() in words and len(p) >= 3:
+            yield math.log10(words[p.lower()]) + capitals(p)
+        if is_date(p):
+            yield math.log10(36500)
+        if len(p) >= 3 and len(set(p)) == 1:
+            yield math.log10(size * len(p))
+        if len(p) >= 3 and all(near(a, b) for a, b in zip(p.lower(), p.lower()[1:])):
+            yield math.log10(47 * len(p)) + capitals(p)
+
+    best = [0.0] + [math.inf] * len(v)
+    for j in range(1, len(v) + 1):
+        best[j] = min((best[i] + c for i in range(j) for c in kinds(v[i:j])), default=math.inf)
+    return best[-1]
+
+
+def test_secret_values_of_any_kind(spark):
+    """The cost alone decides: letters, digits, short names, long user names; words of the corpus are cheap."""
+    prose = ["the password is important here and credentials: unbelievable too", "all important and unbelievable things happen here"] * 6
+    hits = ["pwd=xkqvzjwmpfhrtbyglncd", "pwd=qzXvbnRtYkLmWpHs", "Authorization: Bearer qzxvbnrtyklmwphs", "passcode: 83920174659301", f"https://{'u' * 90}:x9Kq2vLmP0aa@host/"]
+    df = spark.createDataFrame(list(enumerate(prose + hits)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in secret_scan.scan_secrets(df).collect()}
+    assert [rows[i].n_guess for i in range(len(prose))] == [0] * len(prose)
+    assert [rows[len(prose) + i].n_guess for i in range(len(hits))] == [1] * len(hits)
+    words = secret_scan.learn_words(df)
+    assert words["important"] > len(secret_scan.COMMON) and "xkqvzjwmpfhrtbyglncd" not in words
+    twice = spark.createDataFrame([(i, "pwd=xkqvzjwmpfhrtbyglncd") for i in range(50)], "doc_id bigint, text string")
+    assert {r.n_guess for r in secret_scan.scan_secrets(twice).collect()} == {1}
+    many = " ".join(f"token=abcdef{i}" for i in range(20_000)) + " pwd: xkqvzjwmpfhrtbyglncd"
+    began = time.perf_counter()
+    assert len(secret_scan.find_spans(many)) == 20_001 and time.perf_counter() - began < 5
 
 
 def test_redaction(odd_docs):
