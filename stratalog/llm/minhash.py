@@ -1,17 +1,18 @@
 """MinHash near-duplicate detection: universal hash minima, banding, verification on full sets, connected components.
 
-Plan, with nothing but narrow rows between the two passes over texts:
+Plan, with nothing but narrow rows between the passes over texts:
 
 1. one map over the texts gives each document its set size, a 128-bit digest of the set, 200 minima folded into 40 band keys,
    and a 200-bit sketch of the minima;
 2. documents with equal sets collapse to their smallest id (a keyed minimum), so copies never meet each other again;
-3. band buckets with two members or more give candidates. In each of a few rounds, every document that is not in the largest
-   component of one of its buckets meets one pivot of such a component, that whose sketch is nearest; then all members of buckets
-   that still have several components meet, in blocks of texts. Whole texts decide;
-4. components come from alternating large-star and small-star, after each round.
+3. band buckets with two members or more give candidates. First every document meets one pivot of its buckets, that whose sketch
+   is nearest, if it is near at all; whole texts decide, and components come from alternating large-star and small-star;
+4. then, in each bucket that still spans several components, the members outside its largest component meet all members of other
+   components in that bucket, in blocks of texts: no pair that shares a bucket is left out unless it is in one component already.
 
 A pair with similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40, about 1e-7. No bucket, group or candidate list is
-capped: large star groups are dealt over salted tasks, and a bucket inside one component needs no more work.
+capped. Stars with many members are dealt over salted tasks, and the joins of the component search take nodes with very many edges
+by a broadcast of bounded size. MOST_BITS spares hopeless pairs in the first meeting only; the second one has no such filter.
 """
 
 from __future__ import annotations
@@ -33,11 +34,10 @@ MOST_BITS = 45
 STAR_TASK = 256
 #: Up to so many rows of ids and places, some 50 bytes each, are broadcast to the texts; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in which the members of a bucket that are apart from its largest component meet a member of it; the blocks after
-#: them make any number right.
-TURNS = 1
 #: Texts of a chunk in the last comparison; a block has two chunks.
 BLOCK = 256
+#: A node with this share of all edges, and HEAVY_LEAST of them, is joined by broadcast: at most twice 1 / HEAVY_SHARE such nodes.
+HEAVY_SHARE, HEAVY_LEAST = 1 / 1000, 256
 
 _N = BANDS * ROWS
 _SEEDS = mix64(np.arange(1, 2 * _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -136,42 +136,53 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     dealt = _with_texts(members.unionByName(centres), docs).repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        now, held = None, []
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, first = shingle_sets(batch.column("text"), k)
-                centers, ids, roles = (batch.column(c).to_pylist() for c in ("center", "id", "role"))
+                centers, salts, ids, roles = (batch.column(c).to_pylist() for c in ("center", "salt", "id", "role"))
                 a, b = [], []
-                for i, (center, other, role) in enumerate(zip(centers, ids, roles, strict=True)):
+                for i, (center, salt, other, role) in enumerate(zip(centers, salts, ids, roles, strict=True)):
                     own = h[first[i] : first[i + 1]]
-                    if role < 0:
-                        now, held = center, own.copy()
-                    elif now == center and len(held) and len(own):
-                        both = np.concatenate((held, own))
-                        both.sort()
-                        common = int((both[1:] == both[:-1]).sum())
-                        if 100 * common >= percent * (len(both) - common):
-                            a.append(center)
-                            b.append(other)
+                    if now != (center, salt):
+                        now, held = (center, salt), []
+                    if role < 0:  # the centre comes first; rows of one id may have several texts
+                        held.append(own.copy())
+                        continue
+                    for mine in held if len(own) else ():
+                        if len(mine):
+                            both = np.concatenate((mine, own))
+                            both.sort()
+                            common = int((both[1:] == both[:-1]).sum())
+                            if 100 * common >= percent * (len(both) - common):
+                                a.append(center)
+                                b.append(other)
+                                break
                 kind = batch.schema.field("id").type
                 yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
-    return dealt.select("center", "id", "role", "text").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+    return dealt.select("center", "salt", "id", "role", "text").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
 def compare_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (cluster, id, component) of one cluster and different components with sets alike enough.
+    """Pairs (a, b) of ``members`` (key, id, component, major) of one bucket and different components with sets alike enough.
 
-    A cluster is dealt to chunks of about BLOCK texts and each pair of chunks to a task's block, so a text travels once a chunk of
-    its cluster rather than once a pair; intersections of a block come from products of its sets' incidence matrices.
+    ``major`` marks the members of one component of the bucket. Members are dealt to chunks of about BLOCK texts, major ones apart;
+    each chunk of others meets all chunks, and a task's block is one such pair of chunks. So a text of the major component travels
+    once a chunk of others, and intersections of a block come from products of its sets' incidence matrices.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    placed = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    placed = placed.select("cluster", "id", "component", "chunk", other.alias("other"))
-    placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "component")
-    dealt = _with_texts(placed, docs).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    chunks = lambda major: F.ceil(F.count_if(F.col("major") == major) / BLOCK).cast("int")
+    sizes = members.groupBy("key").agg(chunks(True).alias("n_major"), chunks(False).alias("n_minor")).where("n_minor > 0")
+    placed = members.join(sizes, "key")
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("n_major")).otherwise(F.col("n_minor"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    with_major = F.when(F.col("n_major") > 0, F.transform(upto(F.col("n_major")), lambda j: block(0, F.col("chunk"), j))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
+    among = F.transform(upto(F.col("n_minor")), lambda o: block(1, F.least(F.col("chunk"), o), F.greatest(F.col("chunk"), o)))
+    blocks = F.when(F.col("major"), F.transform(upto(F.col("n_minor")), lambda i: block(0, i, F.col("chunk")))).otherwise(F.concat(with_major, among))
+    placed = placed.select("key", "id", "component", F.explode(blocks).alias("block")).select("key", "block.kind", "block.i", "block.j", "id", "component")
+    dealt = _with_texts(placed, docs).repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -190,15 +201,15 @@ def compare_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            for cluster, i, j, own, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cluster, i, j) != now:
+            for key, which, i, j, own, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, which, i, j) != now:
                     yield from close()
-                    now, held = (cluster, i, j), []
+                    now, held = (key, which, i, j), []
                 held.append((own, component, text))
         if held:
             yield from close()
 
-    return dealt.select("cluster", "i", "j", "id", "component", "text").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
+    return dealt.select("key", "kind", "i", "j", "id", "component", "text").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
 
 
 def _intersections(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -221,19 +232,28 @@ def _intersections(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _join_least(edges: DataFrame, low: DataFrame, heavy: int) -> DataFrame:
+    """``edges`` (u, v) with the m of their u in ``low`` (u, m, n): nodes of ``heavy`` edges or more come by broadcast."""
+    hot = F.broadcast(low.where(F.col("n") >= heavy).select(F.col("u").alias("hot"), F.col("m").alias("hot_m")))
+    told = edges.join(hot, F.col("u") == F.col("hot"), "left")
+    light = told.where("hot is null").select("u", "v").join(low.where(F.col("n") < heavy).select("u", "m"), "u")
+    return light.select("u", "v", "m").union(told.where("hot is not null").select("u", "v", F.col("hot_m").alias("m")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), by alternating large-star and small-star.
 
     Each round is two keyed minima and two joins, written as a table; rounds grow with the logarithm of the size. Ids without
-    an edge are absent; self-edges and repeated edges are ignored.
+    an edge are absent; self-edges and repeated edges are ignored; null ends too.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     while not _are_stars(now):
+        heavy = max(HEAVY_LEAST, int(now.count() * HEAVY_SHARE))
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _join_least(both, low, heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _join_least(large, low, heavy).select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
         after = save(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "cc-edges")
         drop_saved(now)
         now = after
@@ -253,56 +273,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Documents are linked if their sets of distinct ``shingle``-word shingles (A-Z lower-cased) have ``percent`` % of their union
     in common; component_id is the smallest doc_id reachable and kept marks it. A text with fewer words is one shingle; null
     and empty texts have none, link with nothing and are kept. Rows without an id link with nothing and are kept, with a null
-    component_id. Repeated rows share their component, so both are kept or neither. Other columns are ignored.
+    component_id. Repeated rows share their component, so both are kept or neither; rows that share an id but not their text are
+    one document with several texts, and a link of any is its link. An empty table gives no rows; texts of any length are taken
+    whole. Other columns are ignored.
     """
     described = save(docs.select("doc_id", "text").mapInArrow(_describe(shingle), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, digest binary, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in _SKETCH)), "mh-sets")
     linked = described.where("n_shingles > 0 and doc_id is not null")
     classes = save(linked.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")), "mh-classes")
-    reps = linked.join(classes.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "bands", *_SKETCH).dropDuplicates(["rep"])
-    reps = save(reps, "mh-reps")
-    sketch = reps.select("rep", *_SKETCH)
-    keyed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    named = classes.select(F.col("digest").alias("own"), F.col("n_shingles").alias("size"), "rep")
+    of_rep = linked.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("own")) & (F.col("n_shingles") == F.col("size")))
+    reps = save(of_rep.select("rep", "digest", "bands", *_SKETCH).dropDuplicates(["rep", "digest"]), "mh-reps")
+    keyed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key")).distinct()
     full = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = save(keyed.join(full.select("key"), "key"), "mh-buckets")
 
+    # An id with several texts links their classes.
+    several = linked.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
+    same_id = linked.join(several, "doc_id").select("doc_id", F.col("digest").alias("mine"), F.col("n_shingles").alias("own_size")).join(named, (F.col("mine") == F.col("own")) & (F.col("own_size") == F.col("size")))
+    same_id = same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    sketch = reps.select("rep", *_SKETCH)
     apart = sum((F.bit_count(F.col(f"l{s}").bitwiseXOR(F.col(f"r{s}"))) for s in _SKETCH), F.lit(0))
-    named = [sketch.select(F.col("rep").alias(side), *(F.col(s).alias(f"{m}{s}") for s in _SKETCH)) for side, m in (("center", "l"), ("id", "r"))]
-    tried = edges = found = None
-    for turn in range(TURNS):
-        labelled = buckets.withColumn("component", F.col("id")) if found is None else buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        # The pivot of a bucket is a pseudo-random member of its largest component.
-        parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("center"))
-        pivots = parts.groupBy("key").agg(F.max_by(F.struct("component", "center"), F.struct("n", -F.col("component"))).alias("top"), F.count(F.lit(1)).alias("parts"))
-        pivots = pivots.where("parts > 1").select("key", F.col("top.component").alias("own"), F.col("top.center").alias("center"))
-        pairs = labelled.join(pivots, "key").where("component <> own").select("center", "id").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, (F.least("center", "id") == F.col("a")) & (F.greatest("center", "id") == F.col("b")), "left_anti")
-        pairs = pairs.join(named[0], "center").join(named[1], "id").withColumn("apart", apart).where(F.col("apart") <= MOST_BITS)
-        pairs = save(pairs.groupBy("id").agg(F.min_by("center", F.struct("apart", "center")).alias("center")).select("center", "id"), "mh-pairs")
-        if not pairs.take(1):
-            break
-        ordered = pairs.select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b"))
-        tried = ordered if tried is None else tried.union(ordered)
-        new = save(verify(pairs, docs, shingle, percent), "mh-edges")
-        if not new.take(1):
-            continue
-        edges = new if edges is None else edges.union(new)
-        found = save(connected_components(edges), "mh-components")
-    if tried is None:  # no bucket has two members
-        found = buckets.select("id", F.col("id").alias("component")).limit(0)
-    else:
-        # What is left: all members of buckets that are still apart, in blocks of texts, for the whole result.
-        labelled = buckets.withColumn("component", F.col("id")) if found is None else buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("low")).where("c0 < c1").select("key", "low")
-        rest = save(labelled.join(open_keys, "key"), "mh-open")
-        if rest.take(1):
-            clusters = save(connected_components(rest.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "cluster"), "mh-clusters")
-            more = save(compare_blocks(clusters.join(rest.select("id", "component").distinct(), "id"), docs, shingle, percent), "mh-edges")
-            if more.take(1):
-                edges = more if edges is None else edges.union(more)
-                found = save(connected_components(edges), "mh-components")
-        if found is None:
-            found = buckets.select("id", F.col("id").alias("component")).limit(0)
+    left, right = (sketch.select(F.col("rep").alias(side), *(F.col(s).alias(f"{m}{s}") for s in _SKETCH)) for side, m in (("center", "l"), ("id", "r")))
+    pivots = buckets.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("center"))
+    pairs = buckets.join(pivots, "key").where("id <> center").select("center", "id").distinct()
+    pairs = pairs.join(left, "center").join(right, "id").withColumn("apart", apart).where(F.col("apart") <= MOST_BITS)
+    pairs = save(pairs.groupBy("id").agg(F.min_by("center", F.struct("apart", "center")).alias("center")).select("center", "id"), "mh-pairs")
+    edges = verify(pairs, docs, shingle, percent) if pairs.take(1) else same_id.limit(0)
+    found = save(connected_components(edges.union(same_id)), "mh-components")
+
+    labelled = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"))
+    tops = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("members").alias("members")).where("parts > 1")
+    tops = tops.groupBy("n", "members").agg(F.min("key").alias("key"), F.min_by("top", "key").alias("top"))  # buckets of the same members count once
+    apart_yet = save(labelled.join(tops.select("key", "top"), "key").select("key", "id", "component", (F.col("component") == F.col("top")).alias("major")), "mh-open")
+    if apart_yet.take(1):
+        more = save(compare_blocks(apart_yet, docs, shingle, percent), "mh-edges")
+        if more.take(1):
+            to = found.select(F.col("id").alias("of"), "component")
+            ends = more.join(to, F.col("a") == F.col("of"), "left").select(F.coalesce("component", "a").alias("a"), "b")
+            ends = ends.join(to, F.col("b") == F.col("of"), "left").select("a", F.coalesce("component", "b").alias("b"))
+            joined = save(connected_components(ends), "mh-joined").select(F.col("id").alias("old"), F.col("component").alias("new"))
+            every = found.union(joined.join(found, F.col("old") == F.col("id"), "left_anti").select("old", "old"))
+            found = every.join(joined, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("digest", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     labelled = described.select("doc_id", "n_shingles", "digest").where("n_shingles > 0 and doc_id is not null")
     labelled = labelled.join(of_class, (labelled["digest"] == of_class["digest"]) & (F.col("n_shingles") == F.col("n"))).select("doc_id", "n_shingles", F.col("component").alias("component_id"))

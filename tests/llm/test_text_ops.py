@@ -289,6 +289,43 @@ def test_minhash_chain(spark):
     assert got == brute.components(chain, 1)
 
 
+def test_minhash_one_id_with_two_texts(spark):
+    """Rows of one id are one document: a link of either text joins it, whatever the order of rows or partitions."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " x"), (3, b + " y"), (9, b), (2, "something else altogether here"), (5, None)]
+    want = {(5, 59, 3), (7, 60, 3), (3, 60, 3), (9, 59, 3), (2, 3, 2), (5, 0, 5)}
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=2).collect()} == want
+
+
+def test_minhash_just_apart(spark):
+    """A family whose members are near the threshold on both sides, in few buckets: every pair is compared."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    family = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(3, 9)):
+            words[at] = f"x{rng.randint(0, 400)}"
+        family.append((i, " ".join(words)))
+    df = spark.createDataFrame(family, "doc_id bigint, text string")
+    old, minhash.BLOCK = minhash.BLOCK, 16
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=2).collect()}
+    finally:
+        minhash.BLOCK = old
+    assert got == brute.components(family, 2)
+
+
+def test_components_of_heavy_nodes(spark):
+    """Nodes of very many edges go by broadcast: stars with their centre as largest, smallest and middle id, joined by a path."""
+    rows = [(10_000, i) for i in range(1, 800)] + [(20_000, 20_000 + i) for i in range(1, 800)] + [(30_400, 30_000 + i) for i in range(800)] + [(500, 20_005), (20_700, 30_001)] + [(50_000, 50_001)]
+    got = dict(minhash.connected_components(spark.createDataFrame(rows, "a bigint, b bigint")).collect())
+    assert got.pop(50_000) == got.pop(50_001) == 50_000
+    assert set(got.values()) == {1} and len(got) == 800 + 800 + 800
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70), (7, 7), (1, 2)]
     got = dict(minhash.connected_components(spark.createDataFrame(rows, "a bigint, b bigint")).collect())
