@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tables that save() has written in this process and that were not dropped.
 _saved: list[str] = []
+_lock, _cleaning, _before = threading.Lock(), 0, None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,37 +32,62 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, on a local master only, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="stratalog-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin in here remove their shuffle files when they end; nested and concurrent uses keep it on until the last ends."""
+    global _cleaning, _before
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _lock:
+        if not _cleaning:
+            _before = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        _cleaning += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _cleaning -= 1
+            if not _cleaning and _before is None:
+                spark.conf.unset(key)
+            elif not _cleaning:
+                spark.conf.set(key, _before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: this cuts lineage and survives lost executors.
 
     Shuffle files of the write are removed when it ends, so a job of several phases holds one phase's shuffle at a time.
     """
     spark = df.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    try:
-        spark.conf.set(key, "true")
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
     _saved.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """save(), bucketed by ``column``: grouping by it later moves no row of the table."""
+    spark = df.sparkSession
+    path, unique = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    with _cleaned(spark):
+        df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(unique)
+    _saved.append(path)
+    return spark.table(unique)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

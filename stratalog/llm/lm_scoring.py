@@ -2,9 +2,9 @@
 
 Counts of all n-grams of all training texts and the counts that every text needs travel in one exchange: document blocks ask hash
 ranges about their distinct n-grams, stating how often their training texts hold them, and are answered with the totals (see
-packed.py). A tenth of the blocks is held out once more: their n-gram counts without themselves give the estimates on which
-expectation-maximisation learns the weights, one set for each pair of frequency buckets of the two contexts. Each iteration is
-one distributed sum. Scoring then uses the counts of all training texts.
+packed.py). A tenth of the training texts, chosen by hash, is held out once more and dealt to blocks of its own: their n-gram counts
+without themselves give the estimates on which expectation-maximisation learns the weights, one set for each pair of frequency buckets
+of the two contexts. Each iteration is one distributed sum. Scoring then uses the counts of all training texts.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import id_fold, save
-from stratalog.llm.packed import Layout, block_of, layout, pack, pack_sorted, unpack, unpack_sorted
+from stratalog.llm.packed import QUESTION, SUMMARY, Values, answers, deal, exchange, layout, pack, questions, unpack
 from stratalog.llm.textvec import mix64, windows, words_of
 
 _U = np.uint64
@@ -27,8 +27,8 @@ _BOS, _END = mix64(np.array([0xB05, 0xE0D], dtype=np.uint64))
 BUCKETS = 16
 #: The hash ranges are asked in so many passes over the texts, so that a fraction of the n-grams is on disk at a time.
 PASSES = 2
-#: One block in so many is held out to learn the weights.
-HELD_BLOCKS = 10
+#: One training text in so many is held out to learn the weights.
+HELD_SHARE = 10
 ITERATIONS = 12
 
 
@@ -43,7 +43,7 @@ class Grams:
     first: np.ndarray  # tokens that begin a text
 
 
-def _grams(texts: pa.Array, train: np.ndarray, bits: int, word_bits: int) -> Grams:
+def _grams(texts: pa.Array, train: np.ndarray, bits: int) -> Grams:
     """``train`` says which texts are counted. ``at``: trigram, its context, bigram, its context, unigram of each token."""
     words = words_of(texts, lower=True)
     n = words.counts
@@ -57,7 +57,7 @@ def _grams(texts: pa.Array, train: np.ndarray, bits: int, word_bits: int) -> Gra
     keys, counts, index = [], [], []
     for k in (1, 2, 3):
         at = np.flatnonzero(place >= k - 1)  # windows that end here, inside their document
-        h = flat >> _U(64 - word_bits) if k == 1 else windows(flat, k, seed=k)[at - k + 1] >> _U(64 - bits)
+        h = flat if k == 1 else windows(flat, k, seed=k)[at - k + 1] >> _U(64 - bits)
         distinct, inverse = np.unique(h, return_inverse=True)
         keys.append(distinct)
         counts.append(np.bincount(inverse[train[owner[at]]], minlength=len(distinct)))
@@ -88,17 +88,6 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.minimum(1 + np.floor(np.log2(np.maximum(counts, 1))), BUCKETS - 1), 0).astype(np.int64)
 
 
-def _answers(table: pa.Table, column: str, sizes: list[int]) -> list[np.ndarray]:
-    """What a block was answered, by order, in the order of its sorted keys."""
-    rows = sorted(zip(table.column("n").to_pylist(), table.column("range").to_pylist(), table.column(column).to_pylist(), strict=True), key=lambda r: r[:2])
-    out = []
-    for k in (1, 2, 3):
-        parts = [unpack(x) for n, _, x in rows if n == k]
-        out.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
-    assert [len(x) for x in out] == sizes, "answers do not fit the questions"
-    return out
-
-
 def learn_weights(events: DataFrame, iterations: int = ITERATIONS) -> np.ndarray:
     """Weights [cell, 4] by expectation-maximisation over held-out events (cells, parts: packed arrays).
 
@@ -133,108 +122,87 @@ def learn_weights(events: DataFrame, iterations: int = ITERATIONS) -> np.ndarray
     return weights
 
 
+def weights_learn_from(folds: int = 5, held_fold: int = 1) -> Column:
+    """Whether a row (doc_id, text) is of the training texts held out to learn the weights: a tenth by hash, at every size."""
+    return (id_fold(F.col("doc_id"), folds) != held_fold) & (F.pmod(F.xxhash64(F.lit("weights"), "doc_id", "text"), F.lit(HELD_SHARE)) == 0)
+
+
 def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
     The model learns from the texts whose id fold (crc32 of the id as text modulo ``folds``) is not ``held_fold``; every text is
     scored. Tokens are the words, A-Z lower-cased, and one end mark. base_score is the add-half unigram log10 probability, score
     the mixed model's. A null text counts as empty, a null id as the empty text for its fold; repeated rows count repeatedly;
-    with nothing to learn from, every estimate but the uniform one is 0. N-gram keys are 64-bit hashes for words and wide enough
-    otherwise for one wrong lookup in two million. Other columns are ignored.
+    with nothing to learn from, every estimate but the uniform one is 0. An empty table gives no rows; texts of any length are taken
+    whole. Words are compared by 64-bit hashes, longer n-grams by hashes wide enough for one wrong lookup in two million. Other
+    columns are ignored.
     """
     plan = layout(docs, orders=3)
     bits = min(64, plan.word_bits + 20)
-    word_bits = min(64, bits + 8)
     id_type = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text").withColumn("block", block_of(plan)).withColumn("held_out", id_fold(F.col("doc_id"), folds) == held_fold)
-
-    def grams_of(table: pa.Table) -> tuple[pa.Table, Grams, np.ndarray]:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # the same order in every phase
+    held_blocks = max(1, plan.blocks // HELD_SHARE)
+    rest = max(1, plan.blocks - held_blocks)
+    place = F.xxhash64("doc_id", "text", "spread")
+    block = F.when(weights_learn_from(folds, held_fold), F.pmod(place, F.lit(held_blocks))).otherwise(F.pmod(place, F.lit(rest)) + held_blocks)
+    docs = docs.select("doc_id", "text").withColumn("held_out", id_fold(F.col("doc_id"), folds) == held_fold)
+    docs = deal(docs, plan, block, "lm-docs")
+
+    def grams_of(table: pa.Table) -> tuple[Grams, np.ndarray]:
         train = ~table.column("held_out").to_numpy().astype(bool)
-        return table, _grams(table.column("text").combine_chunks(), train, bits, word_bits), train
+        return _grams(table.column("text").combine_chunks(), train, bits), train
 
     def asker(turn: int):  # noqa: ANN202
         def ask(table: pa.Table) -> pa.Table:
-            _, grams, _ = grams_of(table)
-            block = int(table.column("block")[0].as_py())
-            cols: dict[str, list] = {c: [] for c in ("range", "block", "n", "keys", "counts")}
-            for n, keys, counts in zip((1, 2, 3), grams.keys, grams.counts, strict=True):
-                cuts = plan.cuts(keys, word_bits if n == 1 else bits)
-                for i in np.flatnonzero(np.diff(cuts)):
-                    if i * PASSES // plan.ranges == turn:
-                        part = slice(cuts[i], cuts[i + 1])
-                        for c, v in zip(cols, (int(i), block, n, pack_sorted(keys[part]), pack(counts[part])), strict=True):
-                            cols[c].append(v)
-            return pa.table([pa.array(v, t) for v, t in zip(cols.values(), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(cols))
+            grams, _ = grams_of(table)
+            own = int(table.column("block")[0].as_py())
+            orders = [(n, 64 if n == 1 else bits, keys, counts, counts if own < held_blocks else None) for n, keys, counts in zip((1, 2, 3), grams.keys, grams.counts, strict=True)]
+            return questions(plan, own, orders, lambda i: i % PASSES == turn)
 
         return ask
 
-    def answer(table: pa.Table) -> pa.Table:
-        """Totals of each key; for held blocks also their part of them. Rows of block -1 have (tokens, types) as totals."""
-        out: dict[str, list] = {c: [] for c in ("block", "range", "n", "totals", "held")}
-        order_of = table.column("n").to_numpy()
-        for n in (1, 2, 3):
-            rows = table.filter(pa.array(order_of == n))
-            if not rows.num_rows:
-                continue
-            blocks = rows.column("block").to_pylist()
-            parts = [unpack_sorted(x) for x in rows.column("keys").to_pylist()]
-            own = [unpack(x) for x in rows.column("counts").to_pylist()]
-            keys, counts = np.concatenate(parts), np.concatenate(own)
-            is_held = np.repeat([b % HELD_BLOCKS == 0 for b in blocks], [len(p) for p in parts])
-            order = np.argsort(keys, kind="stable")
-            starts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-            size = np.diff(np.append(starts, len(keys)))
-            totals, held = np.empty_like(counts), np.empty_like(counts)
-            sums = np.add.reduceat(counts[order], starts)
-            totals[order] = np.repeat(sums, size)
-            held[order] = np.repeat(np.add.reduceat((counts * is_held)[order], starts), size)
-            cut = np.cumsum([len(p) for p in parts])[:-1]
-            for b, t, h in zip(blocks, np.split(totals, cut), np.split(held, cut), strict=True):
-                for c, v in zip(out, (b, int(rows.column("range")[0].as_py()), n, pack(t), pack(h) if b % HELD_BLOCKS == 0 else None), strict=True):
-                    out[c].append(v)
-            if n == 1:
-                real = (keys[order][starts] != _BOS >> _U(64 - word_bits)) & (sums > 0)
-                for c, v in zip(out, (-1, 0, 0, pack(np.array([sums[real].sum(), real.sum()], dtype=np.uint64)), None), strict=True):
-                    out[c].append(v)
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], list(out))
-
-    answers = None
+    def add(values: Values, starts: np.ndarray, size: np.ndarray) -> Values:
+        return np.add.reduceat(values[0], starts), np.add.reduceat(values[1], starts)
+
+    def tell(asker: int, own: Values, total: Values) -> tuple[bytes | None, bytes | None]:
+        """Totals; to blocks of held texts also their own share of them."""
+        return pack(total[0]), pack(total[1]) if asker < held_blocks else None
+
+    def tokens_and_types(n: int, keys: np.ndarray, total: Values) -> bytes | None:
+        if n != 1:
+            return None
+        real = (keys != _BOS) & (total[0] > 0)
+        return pack(np.array([total[0][real].sum(), real.sum()], dtype=np.uint64))
+
+    told = None
     for turn in range(PASSES):
-        asked = docs.groupBy("block").applyInArrow(asker(turn), "range int, block bigint, n int, keys binary, counts binary")
-        part = save(asked.groupBy("range").applyInArrow(answer, "block bigint, range int, n int, totals binary, held binary"), "lm-counts")
-        answers = part if answers is None else answers.union(part)
+        asked = docs.groupBy("block").applyInArrow(asker(turn), QUESTION)
+        part = exchange(asked, plan, lambda n: 64 if n == 1 else bits, add, tell, "lm-counts", tokens_and_types)
+        told = part if told is None else told.union(part)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(2, dtype=np.uint64)
         for batch in batches:
-            for x in batch.column("totals").to_pylist():
+            for x in batch.column("a0").to_pylist():
                 sums += unpack(x)
         yield pa.RecordBatch.from_arrays([pa.array([int(sums[0])]), pa.array([int(sums[1])])], ["tokens", "types"])
 
-    found = answers.where("block = -1").select("totals").mapInArrow(add_up, "tokens bigint, types bigint").agg(F.sum("tokens"), F.sum("types")).first()
+    found = told.where(F.col("asker") == SUMMARY).select("a0").mapInArrow(add_up, "tokens bigint, types bigint").agg(F.sum("tokens"), F.sum("types")).first()
     n_tokens, n_types = int(found[0] or 0), int(found[1] or 0)
 
     def observe(table: pa.Table, counts: pa.Table) -> pa.Table:
-        """Estimates for a held block's training tokens, from the counts of the other blocks."""
-        empty = pa.table([pa.array([], pa.binary())] * 2, ["cells", "parts"])
-        if not table.num_rows:
-            return empty
-        _, grams, train = grams_of(table)
-        sizes = [len(k) for k in grams.keys]
-        totals, held = _answers(counts, "totals", sizes), _answers(counts, "held", sizes)
-        kept = [t - h for t, h in zip(totals, held, strict=True)]
+        """Estimates for the tokens of held texts, from the counts of the other training texts."""
         out: list[list[bytes]] = [[], []]
-        for part in _parts(len(grams.owner)):
-            cell, parts = _components(grams, kept, part, n_tokens, n_types)
-            use = train[grams.owner[part]]
-            out[0].append(cell[use].astype(np.uint8).tobytes())
-            out[1].append(parts[use].astype(np.float32).tobytes())
+        if table.num_rows:
+            grams, _ = grams_of(table)
+            kept = [answers(counts, "a0", n, len(k)) - answers(counts, "a1", n, len(k)) for n, k in zip((1, 2, 3), grams.keys, strict=True)]
+            for part in _parts(len(grams.owner)):
+                cell, parts = _components(grams, kept, part, n_tokens, n_types)
+                out[0].append(cell.astype(np.uint8).tobytes())
+                out[1].append(parts.astype(np.float32).tobytes())
         return pa.table([pa.array(x, pa.binary()) for x in out], ["cells", "parts"])
 
-    some = F.expr(f"block % {HELD_BLOCKS} = 0")
-    held_answers = answers.where(some & (F.col("block") >= 0))
-    events = docs.where(some).groupBy("block").cogroup(held_answers.groupBy("block")).applyInArrow(observe, "cells binary, parts binary")
+    some = told.where((F.col("asker") >= 0) & (F.col("asker") < held_blocks))
+    events = docs.where(F.col("block") < held_blocks).groupBy("block").cogroup(some.groupBy("asker")).applyInArrow(observe, "cells binary, parts binary")
     weights = learn_weights(save(events, "lm-events"))
 
     def score(table: pa.Table, counts: pa.Table) -> pa.Table:
@@ -242,8 +210,8 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFram
         kinds = [table.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
-        table, grams, _ = grams_of(table)
-        totals = _answers(counts, "totals", [len(k) for k in grams.keys])
+        grams, _ = grams_of(table)
+        totals = [answers(counts, "a0", n, len(k)) for n, k in zip((1, 2, 3), grams.keys, strict=True)]
         n = table.num_rows
         sums = np.zeros((4, n))
         for part in _parts(len(grams.owner)):
@@ -256,5 +224,5 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFram
         cols = [table.column("doc_id"), table.column("held_out"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(n, n_tokens, dtype=np.int64)), pa.array(sums[2]), pa.array(sums[3])]
         return pa.table(cols, names)
 
-    joined = docs.groupBy("block").cogroup(answers.where("block >= 0").select("block", "range", "n", "totals").groupBy("block"))
+    joined = docs.groupBy("block").cogroup(told.where("asker >= 0").select("asker", "range", "n", "a0").groupBy("asker"))
     return joined.applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -5,8 +5,8 @@ non-overlapping 7-word reference blocks, a seventh of all positions; every rolli
 13-word windows around a probe or anchor that hit another document are extended: their first document decides which of them
 repeat, and overlapping repeats join to maximal exact ones.
 
-Text moves to its block of documents in each of three phases, hashes in packed rows (see packed.py); nothing grows with the square
-of a passage's frequency, and a phase's shuffle files go before the next begins.
+Text moves to its block of documents once, hashes in packed rows (see packed.py); nothing grows with the square of a passage's
+frequency, and a phase's shuffle files go before the next begins.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import save
-from stratalog.llm.packed import Layout, block_of, layout, pack, pack_sorted, unpack, unpack_sorted
+from stratalog.llm.packed import QUESTION, SUMMARY, Values, answers, deal, exchange, layout, pack, questions
 from stratalog.llm.textvec import Words, window_starts, windows, words_of
 
 _U = np.uint64
@@ -43,25 +42,13 @@ def _candidates(words: Words, hit: np.ndarray, k: int, size: int) -> np.ndarray:
     return at[upto[at + size - k + 1] > upto[at]]
 
 
-def _ask(block: int, plan: Layout, keys: np.ndarray, bits: int, extra: dict[str, np.ndarray]) -> pa.Table:
-    cuts = plan.cuts(keys, bits)
-    full = [i for i in range(plan.ranges) if cuts[i] < cuts[i + 1]]
-    cols = {"range": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "keys": pa.array([pack_sorted(keys[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())}
-    cols |= {name: pa.array([v[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()) for name, v in extra.items()}
-    return pa.table(cols)
+def _signed(ids: np.ndarray) -> np.ndarray:
+    """Document ids as non-negative numbers, small for ids near 0."""
+    return ((ids << 1) ^ (ids >> 63)).view(np.uint64)
 
 
-def _answers(table: pa.Table, ranges: int, count: int) -> np.ndarray:
-    """The bits that a block was answered, in the order of its sorted keys."""
-    parts = dict(zip(table.column("range").to_pylist(), table.column("bits").to_pylist(), strict=True))
-    flat = [np.unpackbits(np.frombuffer(parts[i][4:], dtype=np.uint8))[: int.from_bytes(parts[i][:4], "little")] for i in sorted(parts)]
-    out = np.concatenate(flat) if flat else np.zeros(0, dtype=np.uint8)
-    assert len(out) == count, "answers do not fit the questions"
-    return out.astype(bool)
-
-
-def _bits(flags: np.ndarray) -> bytes:
-    return len(flags).to_bytes(4, "little") + np.packbits(flags).tobytes()
+def _ids(packed: np.ndarray) -> np.ndarray:
+    return (packed >> _U(1)).view(np.int64) ^ -((packed & _U(1)).view(np.int64))
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -69,84 +56,69 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
 
     A window is ``window`` consecutive words of a document, unchanged. Each word goes that is covered by a window whose words
     also start in a document with a smaller id, judged on the input. Null texts have no words; rows without an id count as
-    larger than all others and not as repeats of one another; rows with the same id do not repeat each other. Windows are
-    compared by 64-bit hashes of their words. Other columns are ignored.
+    larger than all others and not as repeats of one another; rows with the same id do not repeat each other. An empty table gives no
+    rows; texts of any length are taken whole. Ids must be integers. Windows are compared by 64-bit hashes of their words. Other
+    columns are ignored.
     """
     k = (window + 1) // 2
     plan = layout(docs)
     id_type = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text").withColumn("block", block_of(plan))
+    docs = deal(docs.select("doc_id", "text"), plan, F.pmod(F.xxhash64("doc_id", "text", "spread"), F.lit(plan.blocks)), "ss-docs")
     bits = min(64, plan.word_bits + 11)
     last = np.iinfo(np.int64).max
 
-    def texts_of(table: pa.Table) -> tuple[pa.Table, Words, np.ndarray]:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # the same order in every phase
-        ids = table.column("doc_id").cast(pa.int64()).fill_null(last).to_numpy()
-        return table, words_of(table.column("text").combine_chunks()), ids
+    def texts_of(table: pa.Table) -> tuple[Words, np.ndarray]:
+        return words_of(table.column("text").combine_chunks()), table.column("doc_id").cast(pa.int64()).fill_null(last).to_numpy()
 
     def probe(table: pa.Table) -> pa.Table:
-        _, words, ids = texts_of(table)
+        """Each distinct anchor-sized window, with flags: 1 for an aligned block, 2 for two documents."""
+        words, ids = texts_of(table)
         keys, index, at, aligned = _anchor_keys(words, k, bits)
         doc = ids[np.searchsorted(words.first, at, side="right") - 1]
-        flags = np.zeros(len(keys), dtype=np.uint8)
+        flags = np.zeros(len(keys), dtype=np.uint64)
         flags[index[aligned]] = 1
-        low, high = np.full(len(keys), last), np.full(len(keys), -1 << 63)
         order = np.argsort(index, kind="stable")
         if len(order):
             starts = np.flatnonzero(np.diff(index[order], prepend=-1))
-            low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
-        flags |= ((low != high).astype(np.uint8)) << 1  # in two documents of this block
-        return _ask(int(table.column("block")[0].as_py()), plan, keys, bits, {"flags": flags})
-
-    def meet(table: pa.Table) -> pa.Table:
-        parts = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-        keys = np.concatenate(parts)
-        flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), dtype=np.uint8)
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        size = np.diff(np.append(starts, len(keys)))
-        any_flag = np.bitwise_or.reduceat(flags[order], starts)
-        live = ((any_flag & 1) > 0) & ((size > 1) | ((any_flag & 2) > 0))
-        out = np.empty(len(keys), dtype=bool)
-        out[order] = np.repeat(live, size)
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "bits": pa.array([_bits(x) for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])], pa.binary())})
-
-    def window_keys(words: Words, ids: np.ndarray, hits: pa.Table) -> tuple[np.ndarray, ...]:
+            flags |= (np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)).astype(np.uint64) << _U(1)
+        return questions(plan, int(table.column("block")[0].as_py()), [(0, bits, keys, flags, None)])
+
+    def meet(values: Values, starts: np.ndarray, size: np.ndarray) -> Values:
+        return np.bitwise_or.reduceat(values[0], starts) | ((size > 1).astype(np.uint64) << _U(1)), values[1][starts]
+
+    def live(asker: int, own: Values, total: Values) -> tuple[bytes, None]:
+        return pack(total[0] == 3), None
+
+    def window_keys(words: Words, hits: pa.Table) -> tuple[np.ndarray, ...]:
         """(positions, distinct keys, key index, document) of the windows around hits."""
         keys, index, at, _ = _anchor_keys(words, k, bits)
-        live = _answers(hits, plan.ranges, len(keys))
-        at = _candidates(words, at[live[index]], k, window)
+        at = _candidates(words, at[answers(hits, "a0", 0, len(keys)).astype(bool)[index]], k, window)
         distinct, index = np.unique(windows(words.hashes, window, seed=2)[at] if len(at) else np.zeros(0, dtype=np.uint64), return_inverse=True)
         return at, distinct, index, np.searchsorted(words.first, at, side="right") - 1
 
     def extend(table: pa.Table, hits: pa.Table) -> pa.Table:
+        """Each distinct window around a hit, with its smallest document here."""
         if not table.num_rows:
-            return _ask(0, plan, np.zeros(0, dtype=np.uint64), 64, {}).append_column("low", pa.array([], pa.binary()))
-        _, words, ids = texts_of(table)
-        _, keys, index, doc = window_keys(words, ids, hits)
-        return _ask(int(table.column("block")[0].as_py()), plan, keys, 64, {"low": _lowest(index, ids[doc], len(keys))})
-
-    def decide(table: pa.Table) -> pa.Table:
-        parts = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-        keys = np.concatenate(parts)
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        least = np.minimum.reduceat(low[order], starts)
-        out = np.empty(len(keys), dtype=bool)
-        out[order] = low[order] > np.repeat(least, np.diff(np.append(starts, len(keys))))
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "bits": pa.array([_bits(x) for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])], pa.binary())})
-
-    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+            return questions(plan, 0, [])
+        words, ids = texts_of(table)
+        _, keys, index, doc = window_keys(words, hits)
+        return questions(plan, int(table.column("block")[0].as_py()), [(1, 64, keys, _signed(_lowest(index, ids[doc], len(keys))), None)])
+
+    def first_of(values: Values, starts: np.ndarray, size: np.ndarray) -> Values:
+        return _signed(np.minimum.reduceat(_ids(values[0]), starts)), values[1][starts]
+
+    def earlier(asker: int, own: Values, total: Values) -> tuple[bytes, None]:
+        return pack(_ids(total[0]) < _ids(own[0])), None
+
+    def cut(table: pa.Table, told: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (table.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.string())], names)
-        table, words, ids = texts_of(table)
-        phase = answers.column("phase").to_numpy()
-        at, keys, index, doc = window_keys(words, ids, answers.filter(pa.array(phase == 0)))
-        earlier = _answers(answers.filter(pa.array(phase == 1)), plan.ranges, len(keys))
-        low = np.frombuffer(_lowest(index, ids[doc], len(keys)).tobytes(), dtype=np.int64)
-        repeat = earlier[index] | (ids[doc] > low[index]) if len(at) else np.zeros(0, dtype=bool)
+        words, ids = texts_of(table)
+        at, keys, index, doc = window_keys(words, told)
+        before = answers(told, "a0", 1, len(keys)).astype(bool)
+        low = _lowest(index, ids[doc], len(keys))
+        repeat = before[index] | (ids[doc] > low[index]) if len(at) else np.zeros(0, dtype=bool)
         marks = np.zeros(len(words.hashes) + 1, dtype=np.int32)
         np.add.at(marks, at[repeat], 1)
         np.add.at(marks, at[repeat] + window, -1)
@@ -156,12 +128,12 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
         digests = [hashlib.sha256(t).hexdigest() for t in texts]
         return pa.table([table.column("doc_id"), pa.array(words.counts), pa.array(removed.astype(np.int64)), pa.array(digests), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names)
 
-    asked = docs.groupBy("block").applyInArrow(probe, "range int, block bigint, keys binary, flags binary")
-    hits = save(asked.groupBy("range").applyInArrow(meet, "block bigint, range int, bits binary"), "ss-hits")
-    asked = docs.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(extend, "range int, block bigint, keys binary, low binary")
-    firsts = save(asked.groupBy("range").applyInArrow(decide, "block bigint, range int, bits binary"), "ss-firsts")
-    answers = hits.withColumn("phase", F.lit(0)).unionByName(firsts.withColumn("phase", F.lit(1)))
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    asked = docs.groupBy("block").applyInArrow(probe, QUESTION)
+    hits = exchange(asked, plan, lambda n: bits, meet, live, "ss-hits")
+    asked = docs.groupBy("block").cogroup(hits.groupBy("asker")).applyInArrow(extend, QUESTION)
+    firsts = exchange(asked, plan, lambda n: 64, first_of, earlier, "ss-firsts")
+    told = hits.unionByName(firsts).where(F.col("asker") != SUMMARY)
+    return docs.groupBy("block").cogroup(told.groupBy("asker")).applyInArrow(cut, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 def _lowest(index: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
