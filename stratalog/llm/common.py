@@ -65,16 +65,18 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, _before)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: this cuts lineage and survives lost executors.
 
-    Shuffle files of the write are removed when it ends, so a job of several phases holds one phase's shuffle at a time.
+    Shuffle files of the write are removed when it ends, so a job of several phases holds one phase's shuffle at a time. With
+    ``keep`` the table outlives a scratch() around it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _cleaned(spark):
         df.write.parquet(path)
-    _saved.append(path)
+    if not keep:
+        _saved.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,6 +102,17 @@ def drop_saved(df: DataFrame) -> None:
         _saved[:] = [p for p in _saved if p.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that save() writes in here go at the end: for jobs whose result is written or collected inside. One thread at a time."""
+    before = len(_saved)
+    try:
+        yield
+    finally:
+        while len(_saved) > before:
+            _delete(spark, _saved.pop())
+
+
 def release(spark: SparkSession) -> None:
     """Remove all tables that save() wrote in this process; results that were not written or collected yet become unreadable."""
     while _saved:

@@ -9,18 +9,21 @@ subtree was dropped, and none dropped lies in a kept one. The trees are trained
 from __future__ import annotations
 
 import html
+import json
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log1p
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose text is never part of a page's text.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title xmp".split())
+RAW = frozenset("script style noscript template iframe object canvas audio video textarea select title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
@@ -31,7 +34,9 @@ CLOSES = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": set()}
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_COMMENT_END = re.compile("--!?>")
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Attribute tokens that speak for and against an article, by theme.
@@ -85,20 +90,68 @@ def _tokens(attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class _Scanner:
+    """Tags of a page from left to right, each character looked at a bounded number of times whatever the page holds."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at = source, 0
+        self.last = source.rfind(">")
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag that begins before ``at`` has its ``>``, quoted ones passed over; the next one if a quote never ends."""
+        look = at
+        while True:
+            stop = _STOP.search(self.source, look)
+            if stop[0] == ">":
+                return stop.start()
+            shut = self.source.find(stop[0], stop.end())
+            if not 0 <= shut < self.last:
+                return self.source.find(">", at)
+            look = shut + 1
+
+    def tokens(self) -> Iterator[tuple[str, bool, str, str]]:
+        """(text before, whether an end tag, tag or "" at the end or for a comment, attributes)."""
+        source, begun = self.source, 0
+        while True:
+            start = source.find("<", self.at)
+            if start < 0:
+                yield source[begun:], False, "", ""
+                return
+            ahead = source[start + 1 : start + 2]
+            if source.startswith("<!--", start):
+                shut = _COMMENT_END.search(source, start + 4)
+                stop = shut.end() if shut else len(source)
+                name, attrs, ending = "", "", False
+            elif start > self.last or not (ahead in ("!", "?") or (found := _NAME.match(source, start))):
+                self.at = start + 1  # no tag: text
+                continue
+            elif ahead in ("!", "?"):
+                stop, name, attrs, ending = source.find(">", start) + 1, "", "", False
+            else:
+                shut = self._tag_end(found.end())
+                stop, name, attrs, ending = shut + 1, found[1].lower(), source[found.end() : shut], ahead == "/"
+            text, self.at, begun = source[begun:start], stop, stop
+            yield text, ending, name, attrs
+            begun = self.at  # the reader may have passed over a raw element
+
+    def skip(self, tag: str) -> None:
+        """Pass over a raw element's text and end tag; all that is left if it has none."""
+        shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.source, self.at)
+        stop = self.source.find(">", shut.end()) if shut else -1
+        self.at = stop + 1 if stop >= 0 else len(self.source)
+
+
 def parse(source: str) -> Page:
-    """The blocks of a page. Unclosed, misnested and unknown tags are tolerated; nothing is dropped but RAW elements' text."""
+    """The blocks of a page. Unclosed, misnested and unknown tags are tolerated; nothing is dropped but RAW elements' text.
+
+    Time is linear in the page: open elements are found by name, never by going through what is open.
+    """
     page = Page()
     stack = [page.add("#root", -1, frozenset())]
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of a name
     buffer: list[str] = []
     in_link = 0
-    at, end = 0, len(source)
-
-    def text(part: str) -> None:
-        if part:
-            part = html.unescape(part) if "&" in part else part
-            buffer.append(part)
-            if in_link:
-                page.links[stack[-1]] += len(part)
+    scanner = _Scanner(source)
 
     def flush() -> None:
         if buffer:
@@ -110,64 +163,57 @@ def parse(source: str) -> Page:
 
     def close(index: int) -> None:
         flush()
+        for node in reversed(stack[index:]):
+            where[page.tags[node]].pop()
         del stack[index:]
 
-    while at < end:
-        found = _TOKEN.search(source, at)
-        if not found:
-            text(source[at:])
-            break
-        text(source[at : found.start()])
-        at = found.end()
-        name = found[2] or found[5]
-        if not name:
+    def nearest(names: frozenset[str] | set[str]) -> int:
+        """The highest place of an open element of these names, 0 for none."""
+        return max((where[n][-1] for n in names if where[n]), default=0)
+
+    for text, ending, tag, attrs in scanner.tokens():
+        if text:
+            text = html.unescape(text) if "&" in text else text
+            buffer.append(text)
+            if in_link:
+                page.links[stack[-1]] += len(text)
+        if not tag:
             continue
-        ending, tag, attrs = bool(found[1] or found[4]), name.lower(), found[3] or found[6] or ""
         if tag in INLINE:
             if tag == "br":
                 buffer.append(" ")
             elif tag == "a":
                 in_link = 0 if ending else 1
             page.n_tags[stack[-1]] += not ending
-            continue
-        if ending:
-            if tag == "p" and not any(page.tags[n] == "p" for n in stack):
-                close(len(stack))  # an empty paragraph
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[i]] == tag:
-                    in_link = 0
-                    close(i)
-                    break
-            continue
-        if tag in RAW:
+        elif ending:
+            if where[tag]:
+                in_link = 0
+                close(where[tag][-1])
+            elif tag == "p":  # an empty paragraph
+                flush()
+        elif tag in RAW:
             if not attrs.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                at = stop.end() if stop else end
-            if tag in ("textarea", "select", "iframe", "object", "svg", "canvas", "video", "audio"):
+                scanner.skip(tag)
+            if tag in ("textarea", "select", "iframe", "object", "canvas", "video", "audio"):
                 page.n_tags[stack[-1]] += 1
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             page.n_tags[stack[-1]] += 1
             if tag == "hr":
                 flush()
-            continue
-        if tag in ("html", "body", "head") and any(page.tags[n] == tag for n in stack):
-            continue
-        if page.tags[stack[-1]] == "head" and tag != "head":
-            close(len(stack) - 1)
-        for i in range(len(stack) - 1, 0, -1):  # implied end tags
-            own = page.tags[stack[i]]
-            if own in CLOSES.get(tag, ()):
-                close(i)
-            elif own == "p":
-                close(i)
-                break
-            elif own in _HOLDS.get(tag, {own}):
-                break
-        flush()
-        stack.append(page.add(tag, stack[-1], _tokens(attrs) if attrs else frozenset()))
-    close(0) if not stack else flush()
+        elif tag not in ("html", "body", "head") or not where[tag]:
+            if page.tags[stack[-1]] == "head" and tag != "head":
+                close(len(stack) - 1)
+            if tag in _HOLDS:  # implied end tags
+                while (shut := nearest(CLOSES[tag])) > max(nearest(_HOLDS[tag]), nearest({"p"})):
+                    close(shut)
+                if where["p"] and where["p"][-1] > nearest(_HOLDS[tag]):
+                    close(where["p"][-1])
+            elif page.tags[stack[-1]] == "p":
+                close(len(stack) - 1)
+            flush()
+            stack.append(page.add(tag, stack[-1], _tokens(attrs) if attrs else frozenset()))
+            where[tag].append(len(stack) - 1)
+    flush()
     return page
 
 
@@ -506,22 +552,34 @@ def _article_chars(marked: str) -> list[bool]:
     return out
 
 
-_model: Trees | None = None
+#: The fitted trees: what fit() made of 900 generated pages; ``python -m stratalog.llm.html_extract`` writes it anew.
+TREES_FILE = Path(__file__).with_name("html_trees.json")
+
+
+def fit() -> Trees:
+    """Trees trained on 900 generated pages (a fixed seed)."""
+    return boost(*training_nodes())
+
+
+def store(trees: Trees, path: Path = TREES_FILE) -> None:
+    """Write trees as JSON: a line a tree."""
+    rows = [json.dumps([f.tolist(), [None if np.isinf(x) else float(x) for x in t], [round(float(x), 6) for x in v]]) for f, t, v in zip(trees.feature, trees.threshold, trees.leaf, strict=True)]
+    path.write_text(json.dumps(trees.base) + "\n" + "\n".join(rows) + "\n")
 
 
 def model() -> Trees:
-    """The trees, trained once a process on 900 generated pages (a fixed seed)."""
-    global _model
-    if _model is None:
-        _model = boost(*training_nodes())
-    return _model
+    """The stored trees."""
+    base, *rows = (json.loads(line) for line in TREES_FILE.read_text().splitlines())
+    feature, threshold, leaf = zip(*rows, strict=True)
+    return Trees(np.array(feature, np.int64), np.array([[np.inf if x is None else x for x in t] for t in threshold], np.float32), np.array(leaf), base)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the article of every page, whole.
 
     Blocks have white space runs turned into one space and are joined by one; null and empty html give the empty text. One row
-    per input row in a map without shuffle; null ids and urls are passed on; other columns are ignored.
+    per input row, repeated ones too, none for an empty table, in a map without shuffle and in time linear in the page, however long;
+    null ids and urls are passed on; other columns are ignored.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model())
     kinds = dict(pages.dtypes)
@@ -538,3 +596,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+
+
+if __name__ == "__main__":
+    store(fit())

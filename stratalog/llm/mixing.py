@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Sizes are counted once into a narrow table; everything after it moves a few dozen bytes a document. Sources get integer
-numbers of blocks by highest quotients, each source's blocks are apportioned to its hash shards the same way, and inside a
-shard a seeded order of the documents says which words of which documents the blocks hold. A shard holds about
-``shard_docs`` documents however large its source is, so no window ever sees a whole hot source.
+Sizes are counted once into a narrow table of distinct rows with their number of copies; everything after it moves a few dozen bytes
+a document. Sources get integer numbers of blocks by highest quotients, each source's blocks are apportioned to its groups of hash
+shards and each group's to its shards the same way, and inside a shard a seeded order of the documents says which words of which documents
+the blocks hold. A shard holds about ``shard_docs`` documents and a group about ``GROUP_SHARDS`` shards however large the source is, so no
+window ever sees a whole hot source; rows without an id are placed by their text, and copies of a row are one row with a count.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from stratalog.llm.common import WORD, save
 
 #: Up to so many source rows (a rank, a name and five numbers each) are broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 100_000
-#: Documents of a shard, about: what one window sorts.
-SHARD_DOCS = 2_000
+#: Up to so many quota rows (a source and a shard, four numbers) are broadcast; beyond, the join shuffles.
+BROADCAST_QUOTAS = 200_000
+#: Documents of a shard, and shards of a group, about: what one window sorts.
+SHARD_DOCS, GROUP_SHARDS = 2_000, 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,34 +72,75 @@ def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seat
     return tried.withColumn("_moved", moved).groupBy(*group, party).agg(*(F.first(c).alias(c) for c in kept), (F.first("_base") + F.sum("_moved")).alias(out))
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 16, shard_docs: int = SHARD_DOCS, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """How many words of each document the mix takes, repeats counted.
+def _place(seed: int) -> Column:
+    """A row's place in the seeded order: by its id, or by its text where it has none."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.coalesce("text", F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
 
-    Returns doc_id, source, size, source_size, target, taken, one row per input row; repeated rows stay repeated. Null text has
-    size 0 and is taken 0 times; null source is a source of its own, ordered last; a null id is ordered as the empty text. An
-    empty table gives an empty result; other columns are ignored. A source's taken words differ from its target by about a
-    block; no document is taken more than ``cap`` times.
+
+def _lined_up(docs: DataFrame, seed: int, block_words: int, shard_docs: int, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """Distinct (doc_id, source, size, place) with copies, source_size, target, and passes, rest and upto.
+
+    The mix takes ``passes`` times all words of a shard and then its first ``rest`` ones; ``upto`` counts the words of the shard up to
+    and with the row's last copy.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sized = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")).alias("place")), "mix-sizes")
-    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, cap)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("place"))
+    sized = save(rows.groupBy("doc_id", "source", "size", "place").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+    sources = source_targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n_docs")), weights, cap)
     sources = sources.withColumn("blocks", F.floor(F.sum("source_size").over(Window.partitionBy()) / block_words).cast("bigint"))
     sources = apportion(sources, [], "rank", "target", "blocks", "source_blocks")
-    sources = save(sources.withColumn("shards", F.ceil(F.col("n_docs") / shard_docs).cast("bigint")).withColumnRenamed("source", "source_name"), "mix-sources")
+    sources = sources.withColumn("shards", F.ceil(F.col("n_docs") / shard_docs).cast("bigint"))
+    sources = save(sources.withColumn("groups", F.ceil(F.col("shards") / GROUP_SHARDS).cast("bigint")).withColumnRenamed("source", "source_name"), "mix-sources")
     small = sources.count() <= BROADCAST_SOURCES
     placed = sized.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("source_name")))
     shard = F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint") % F.col("shards")
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "place", "rank", "source_blocks", shard.alias("shard"))
-    quotas = placed.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    quotas = apportion(quotas, ["rank"], "shard", "shard_size", "source_blocks", "shard_blocks")
+    placed = placed.select("doc_id", "source", "size", "copies", "source_size", "target", "place", "rank", "source_blocks", "groups", shard.alias("shard"))
+    quotas = placed.groupBy("rank", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size"), F.first("source_blocks").alias("source_blocks"), F.first("groups").alias("groups"))
+    quotas = save(quotas.withColumn("part", F.col("shard") % F.col("groups")), "mix-shards")
+    parts = quotas.groupBy("rank", "part").agg(F.sum("shard_size").alias("part_size"), F.first("source_blocks").alias("source_blocks"))
+    parts = apportion(parts, ["rank"], "part", "part_size", "source_blocks", "part_blocks").select("rank", "part", "part_blocks")
+    quotas = apportion(quotas.join(parts, ["rank", "part"]), ["rank", "part"], "shard", "shard_size", "part_blocks", "shard_blocks")
     words = F.least(F.col("shard_blocks") * block_words, F.col("shard_size") * cap)
-    quotas = quotas.select("rank", "shard", "shard_size", words.alias("quota"))
+    quotas = save(quotas.select("rank", "shard", "shard_size", words.alias("quota")), "mix-quotas")
     stream = Window.partitionBy("rank", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = placed.withColumn("upto", F.sum("size").over(stream)).join(F.broadcast(quotas) if small else quotas, ["rank", "shard"])
-    passes = F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(0)
-    rest = F.col("quota") - passes * F.col("shard_size")
-    part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest - F.col("upto") + F.col("size")))
-    return lined.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("bigint").alias("taken"))
+    lined = placed.withColumn("upto", F.sum(F.col("size") * F.col("copies")).over(stream))
+    lined = lined.join(F.broadcast(quotas) if quotas.count() <= BROADCAST_QUOTAS else quotas, ["rank", "shard"])
+    lined = lined.withColumn("passes", F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(0))
+    return lined.withColumn("rest", F.col("quota") - F.col("passes") * F.col("shard_size")).select("doc_id", "source", "size", "place", "copies", "source_size", "target", "passes", "rest", "upto")
+
+
+def _taken(size: Column, before: Column) -> Column:
+    """The words taken of a stretch of ``size`` words that ``before`` words of its shard go before."""
+    return (F.col("passes") * size + F.greatest(F.lit(0).cast("bigint"), F.least(size, F.col("rest") - before))).cast("bigint")
+
+
+def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 16, shard_docs: int = SHARD_DOCS, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """How many words of each document the mix takes, repeats counted.
+
+    Returns doc_id, source, size, source_size, target, taken, one row per input row; repeated rows stay repeated. Null text has
+    size 0 and is taken 0 times; null source is a source of its own, ordered last; a row without an id is ordered by its text. An
+    empty table gives an empty result; texts of any length are counted whole; other columns are ignored. A source's taken words differ
+    from its target by about a block; no document is taken more than ``cap`` times.
+    """
+    lined = _lined_up(docs, seed, block_words, shard_docs, weights, cap).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    before = F.col("upto") - F.col("size") * (F.col("copies") - F.col("copy") + 1)
+    return lined.select("doc_id", "source", "size", "source_size", "target", _taken(F.col("size"), before).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, seed: int = 17, block_words: int = 16, shard_docs: int = SHARD_DOCS, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with all their columns and size, source_size, target, taken.
+
+    As mix_sources(), but exact copies of a row share evenly what is taken of them all (whole words, the remainder of less than a word
+    a copy is left). Columns of ``docs`` with one of the four names are replaced.
+    """
+    lined = _lined_up(docs, seed, block_words, shard_docs, weights, cap)
+    whole = F.col("size") * F.col("copies")
+    shares = lined.select(F.struct("doc_id", "source", "size", "place").alias("row"), "source_size", "target", F.floor(_taken(whole, F.col("upto") - whole) / F.col("copies")).alias("taken"))
+    kept = docs.drop("size", "source_size", "target", "taken")
+    named = kept.withColumn("size", word_count(F.col("text")))
+    named = named.withColumn("mine", F.struct(F.col("doc_id"), F.col("source"), F.col("size"), _place(seed).alias("place")))
+    joined = named.join(shares.where("taken > 0").hint("merge"), F.col("mine").eqNullSafe(F.col("row")))
+    return joined.select(*kept.columns, "size", "source_size", "target", "taken")
 
 
 #: The same rows by DuckDB, for the default parameters.

@@ -49,34 +49,60 @@ from docs left join named on docs.doc_id = named.doc_id left join found on found
 
 def _template(table: str, key: str) -> str:
     """Valued template tokens of a table's texts by position; the name rule is put without look-behind."""
-    from stratalog.llm.decontam import UNITS
-
     space = r"[\x20\x09-\x0D]"
+    units = "km|kg|mg|cm|mm|ml|mph|kmh|kph|miles?|metres?|meters?|kilometers?|kilometres?|grams?|kilograms?|pounds?|lbs?|ounces?|oz|litres?|liters?|gallons?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|inches|inch|feet|foot|yards?|watts?|volts?|joules?|newtons?|g|m|l|s"
     text = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3) || chr(4), '    ')"
     text = rf"regexp_replace({text}, '([\p{{Ll}},;])({space}+)', '\1\2' || chr(4), 'g')"
     text = rf"replace(regexp_replace({text}, '{space}+\x04(\p{{Lu}}[\p{{L}}\p{{M}}]*)', ' ' || chr(2) || '\1', 'g'), chr(4), '')"
     text = rf"regexp_replace({text}, '(\d[\d.,:/]*)', chr(1) || '\1', 'g')"
-    text = rf"regexp_replace({text} || ' ', '(\x01[\d.,:/]*){space}?({UNITS})([^\p{{L}}\p{{M}}])', '\1 ' || chr(3) || '\2 \3', 'g')"
+    text = rf"regexp_replace({text} || ' ', '(\x01[\d.,:/]*){space}?({units})([^\p{{L}}\p{{M}}])', '\1 ' || chr(3) || '\2 \3', 'g')"
     text = rf"lower(regexp_replace({text}, '(\x01[\d.,:/]*)|([^\p{{L}}\p{{M}}\x01-\x03]+)', ' \1 ', 'g'))"
     tokens = f"list_filter(regexp_split_to_array({text}, ' +'), lambda t: t <> '')"
     listed = f"select {key}, {tokens} as tokens from {table} where {key} is not null"
     return f"select {key}, len(tokens) as size, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from ({listed})"
 
 
+#: By the rules, over all stretches: on each diagonal of a document and an item that share 8 template tokens in a row, a stretch is a run
+#: of places with equal template tokens; two of its slots clash if one has equal values where the other side has not. Stretches that hold
+#: no clash and cannot be longer are mapped; those without unequal values that cannot be longer are verbatim. A mapped one counts if it has
+#: 13 tokens (or the item's, if fewer) and is verbatim or holds as many in a row of which half are words; a verbatim one counts from the
+#: same length, unless a mapped one that counts holds it. Items of under 8 tokens have a rule of their own; the tables have none.
 DECONTAM = f"""
 with d as materialized (select *, case when ascii(token) <= 3 then token[1] else token end as kind from ({_template("documents", "doc_id")})),
 i as materialized (select *, case when ascii(token) <= 3 then token[1] else token end as kind from ({_template("benchmark", "item_id")})),
 dw as (select doc_id, pos, string_agg(kind, ' ') over w as key, count(*) over w as n from d window w as (partition by doc_id order by pos rows between current row and 7 following)),
 iw as (select item_id, pos, string_agg(kind, ' ') over w as key, count(*) over w as n from i window w as (partition by item_id order by pos rows between current row and 7 following)),
 shifts as materialized (select distinct doc_id, item_id, dw.pos - iw.pos as shift from dw join iw using (key) where dw.n = 8 and iw.n = 8),
-pairs as (
-  select s.doc_id, s.item_id, s.shift, i.pos, i.size, i.kind, i.token as a, d.token as b, i.pos - row_number() over (partition by s.doc_id, s.item_id, s.shift order by i.pos) as island
-  from shifts s join i on i.item_id = s.item_id join d on d.doc_id = s.doc_id and d.pos = i.pos + s.shift and d.kind = i.kind),
-runs as (select doc_id, item_id, shift, island, any_value(size) as size, count(*) as run, min(pos) as start, count(*) filter (ascii(kind) > 3) as words,
-    count(distinct case when ascii(kind) <= 3 then a end) as n_a, count(distinct case when ascii(kind) <= 3 then b end) as n_b,
-    count(distinct case when ascii(kind) <= 3 then a || '|' || b end) as n_ab, bool_and(ascii(kind) > 3 or a = b) as exact
-  from pairs group by all),
-best as (select * from runs qualify row_number() over (partition by doc_id, item_id, shift order by run desc, start) = 1)
-select doc_id, item_id, max(run) as run, bool_or(exact) as exact from best
-where run >= least(13, size) and n_a = n_ab and n_b = n_ab and words * 2 >= run group by 1, 2
+places as (
+  select s.doc_id, s.item_id, s.shift, i.pos, least(13, i.size) as least, i.token as a, d.token as b, ascii(i.kind) <= 3 as slot, d.kind = i.kind as same,
+    i.pos = 1 and ascii(d.token) in (2, 3) and d.token[2:] = i.token as head
+  from shifts s join i on i.item_id = s.item_id join d on d.doc_id = s.doc_id and d.pos = i.pos + s.shift),
+pairs as materialized (
+  select *, pos - row_number() over (partition by doc_id, item_id, shift order by pos) as island from places where same or head),
+spans as (
+  select x.doc_id, x.item_id, x.shift, x.island, x.pos as s, y.pos as e, x.least, x.head from pairs x join pairs y
+  on x.doc_id = y.doc_id and x.item_id = y.item_id and x.shift = y.shift and x.island = y.island and y.pos - x.pos + 1 >= x.least),
+slots as materialized (select * from pairs where slot and not head),
+clashes as materialized (
+  select x.doc_id, x.item_id, x.shift, x.pos as s, y.pos as e from slots x join slots y
+  on x.doc_id = y.doc_id and x.item_id = y.item_id and x.shift = y.shift and x.island = y.island and x.pos < y.pos and (x.a = y.a) <> (x.b = y.b)),
+unequal as materialized (select doc_id, item_id, shift, pos from slots where a <> b),
+clean as (
+  select *, not exists (from unequal u where u.doc_id = n.doc_id and u.item_id = n.item_id and u.shift = n.shift and u.pos between n.s and n.e) as verbatim
+  from spans n where not exists (from clashes c where c.doc_id = n.doc_id and c.item_id = n.item_id and c.shift = n.shift and c.s >= n.s and c.e <= n.e)),
+mapped as (
+  select * from clean n where not exists (from clean o where o.doc_id = n.doc_id and o.item_id = n.item_id and o.shift = n.shift
+    and o.s <= n.s and o.e >= n.e and o.e - o.s > n.e - n.s)),
+copied as (
+  select * from clean n where verbatim and not exists (from clean o where o.verbatim and o.doc_id = n.doc_id and o.item_id = n.item_id and o.shift = n.shift
+    and o.s <= n.s and o.e >= n.e and o.e - o.s > n.e - n.s)),
+worded as (
+  select n.doc_id, n.item_id, n.shift, n.s, n.e from spans n join pairs p on p.doc_id = n.doc_id and p.item_id = n.item_id and p.shift = n.shift and p.pos between n.s and n.e
+  group by all having 2 * count(*) filter (not p.slot) >= count(*)),
+counted as (
+  select * from mapped n where verbatim or exists (from worded w where w.doc_id = n.doc_id and w.item_id = n.item_id and w.shift = n.shift and w.s >= n.s and w.e <= n.e)),
+results as (
+  select doc_id, item_id, s, e, head, verbatim from counted union all
+  select doc_id, item_id, s, e, head, true from copied n where not exists (from counted o where o.doc_id = n.doc_id and o.item_id = n.item_id and o.shift = n.shift and o.s <= n.s and o.e >= n.e))
+select doc_id, item_id, max(e - s + 1 - head::int)::bigint as run, bool_or(verbatim) as exact from results group by 1, 2
 """

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import time
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalog.llm import hnsw, html_extract, registry, warc
+from stratalog.llm import hnsw, html_extract, mixing, registry, warc
 from stratalog.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from stratalog.llm.textvec import window_starts, words_of
 from tests.llm import brute
@@ -276,6 +277,32 @@ def test_parser_tolerates():
     assert [t for _, t in html_extract.parse("<ul><li>a<li>b<ul><li>c</ul></ul>d").segments] == ["a", "b", "c", "d"]
 
 
+HOSTILE = {
+    "open tags": "<a " * 300_000, "stray ends": "<div>" * 60_000 + "</x>" * 150_000, "deep items": "<li><ul>" + "<div>" * 40_000 + "<li></li>" * 60_000,
+    "quotes": "<a '><b \">" * 80_000, "scripts": "<b>x</b>" + "</script " * 90_000, "comments": "<!--" * 250_000, "less than": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    """A tenth of the page takes about a tenth of the time; a megabyte some seconds at most on a busy machine."""
+    began = time.perf_counter()
+    page = html_extract.parse(HOSTILE[name])
+    html_extract.node_features([page])
+    assert time.perf_counter() - began < 10
+
+
+def test_stored_trees_are_fitted_ones():
+    stored, fitted = html_extract.model(), html_extract.fit()
+    assert (stored.feature == fitted.feature).all() and np.allclose(stored.threshold, fitted.threshold) and np.allclose(stored.leaf, fitted.leaf, atol=1e-6)
+
+
+def test_formulas_and_open_elements_stay():
+    text = lambda source: [t for _, t in html_extract.parse(source).segments]
+    assert text("<p>a <math><mi>x</mi></math> b<svg><text>c</text></svg>") == ["a", "x", "b", "c"]
+    assert text("<svg><p>rest of the page</p>") == ["rest of the page"]
+
+
 # ---- oracles and the pipeline
 
 
@@ -307,8 +334,14 @@ def test_pipeline(spark, sf01):
         sizes.append(len(ids))
         docs = spark.createDataFrame(rows, docs.schema)
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 700
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf01).collect()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf01)
+    assert last.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    given = {r.doc_id: r for r in docs.collect()}
+    last = last.collect()
     assert last and all(0 < r.taken <= 3 * r.size for r in last)
+    assert all(r[: len(docs.columns)] == given[r.doc_id] and r.size == len(brute.words(r.text)) for r in last)
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect() if r.taken}
+    assert {r.doc_id: r.taken for r in last} == taken
 
 
 def test_pipeline_odd(spark, sf, odd_docs):
@@ -323,7 +356,26 @@ def test_pipeline_odd(spark, sf, odd_docs):
 
 
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    """The run's rows are those of the stages one after the other, with their texts; nothing else stays in the shared folder."""
+    from stratalog.llm import common
+
+    before = len(common._saved)
+    rows = corpus_pipeline.run(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(common._saved) == before
+    for _, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf)
+        docs = spark.createDataFrame(found.collect(), found.schema)
+    assert rows and all(r.text for r in rows) and sorted(map(str, rows)) == sorted(map(str, docs.collect()))
+
+
+def test_one_id_with_two_texts_in_the_pipeline(spark, sf):
+    """Of several texts of one id the first stays, whatever the order of rows; null ids all stay."""
+    rows = [(1, "b " * 20, "en", "s", 1), (1, "a text of its own", "en", "s", 2), (1, "b " * 20, "en", "s", 1), (2, None, "en", "s", 0), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+        assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", "a text of its own"), ("2", None), ("None", "x"), ("None", "x")]
 
 
 def test_saved_tables_go(spark):

@@ -465,6 +465,23 @@ def test_mixing_odd(odd_docs):
     assert {r.taken for r in mixing.mix_sources(odd_docs.where("doc_id in (4, 5)")).collect()} == {0}
 
 
+def test_mixing_hot_rows(spark, monkeypatch):
+    """A third of the rows is one row, another third has no id; shards form groups; copies share what is taken of them."""
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    rows = [(7, "one two three", "a", "en")] * 400 + [(None, f"w{i} x y z", "b", "en") for i in range(400)] + [(1000 + i, "p q " * (i % 5), "c", "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    out = mixing.mix_sources(df, shard_docs=10).collect()
+    target, _ = check_mix(out)
+    assert len(out) == 1200 and sum(r.doc_id == 7 for r in out) == 400
+    assert Counter(out) == Counter(mixing.mix_sources(df.repartition(7), shard_docs=10).collect())
+    whole = mixing.mix_rows(df, shard_docs=10).collect()
+    taken = Counter()
+    for r in whole:
+        taken[r.source] += r.taken
+        assert r.lang == "en" and r.size == len(r.text.split()) and 0 < r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 17 + 400 * (s == "a") for s in target)
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1), ("c", 1000), (None, 10), ("d", 0)], "source string, source_size bigint").withColumn("n_docs", F.lit(1).cast("bigint"))
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
