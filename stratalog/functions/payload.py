@@ -110,6 +110,17 @@ def decode_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
     return df.mapInArrow(decode, StructType(fields))
 
 
+def encode_compressed_images(df: DataFrame, data: str, stamp: str, image_format: str = "jpeg", frame_id: str = "") -> DataFrame:
+    """``df`` with the image bytes in column ``data`` made compressed-image tables stamped with column ``stamp`` (nanoseconds)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = [None if b is None else encode_compressed_image(b, t or 0, image_format, frame_id) for b, t in zip(batch.column(data).to_pylist(), batch.column(stamp).to_pylist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index(data), data, pa.array(tables, pa.binary()))
+
+    return df.mapInArrow(encode, df.schema)
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def decode_float_arrays(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else decode_float_array(b))

@@ -54,7 +54,7 @@ select c.root, c.file, w.slot::bigint as pos from c join w on c.root = w.root an
 union all select root, file, pos from c where root not in ('ASIA', 'EUROPE')""",
     "catalog_by_root": f"select root, string_agg(file, ',' order by file) as files from ({_FILES}) group by 1",
     "catalog_size": f"select root, count(*) as n_files from ({_FILES}) group by 1",
-    "extension_filter": f"select root || '/' || file as path from ({_FILES}) where file like '%.mcap' and contains(file, '_1')",
+    "extension_filter": f"select root || '/' || file as path from ({_FILES}) where file like '%.mcap'",
     "slice_index_table": """
 select 'int' as name, i::bigint as pos, i::varchar as idx from range(0, 4) t(i)
 union all select 'pair', i - 5, i::varchar from range(5, 8) t(i)
@@ -82,9 +82,7 @@ from (select event_id, row_number() over (order by user_id, event_id) - 1 as pos
 select episode_id, i // 4 as batch_idx, string_agg(sample_id::varchar, ',' order by i) as items
 from (select episode_id, sample_id, row_number() over (partition by episode_id order by sample_id) - 1 as i from ({_SAMPLES})) group by 1, 2""",
     "batches_strict": """
-select episode_id, i // 5 as batch_idx, string_agg(log_time::varchar, ',' order by i) as items from (
-  select p_brand as episode_id, p_partkey as log_time, row_number() over (partition by p_brand order by p_partkey) - 1 as i, count(*) over (partition by p_brand) as n from part)
-where i < n // 5 * 5 group by 1, 2""",
+select p_partkey as episode_id, 0::bigint as batch_idx, string_agg((p_partkey * 10 + i)::varchar, ',' order by i) as items from part, range(0, 5) t(i) group by 1""",
     "zip_json": "select conv_id, turn, role, text from conversations",
     "zip_samples": f"select *, sample_idx * 10 as log_stamp from ({_assemble(['click', 'view'])})",
     "json_attachments": "select conv_id, turn, role from conversations",
@@ -110,7 +108,7 @@ with f as ({_FRAMES}), n as (select stream, count(*) as seen, max_by(vec_id, idx
 select stream, idx, vec_id, false as padded from f
 union all select stream, seen + i, last, true from n, lateral (select unnest(range(0, stream % 4)) as i)""",
     "frame_indices": f"select stream, idx, vec_id from ({_FRAMES}) where idx in (0, 3, 7)",
-    "base_stamps": "select event_id, case when event_id % 3 > 0 then event_id * 1000 else 0 end as base from events where event_id < 1000",
+    "base_stamps": "select event_id, case when event_id % 3 > 0 then event_id * 1000 else 0 end as base from events",
     "float_explode": "select vec_id, generate_subscripts(embedding, 1) - 1 as index, unnest(embedding) as value from embeddings",
     "array_length": "select vec_id, case when vec_id % 7 > 0 then len(embedding) else 0 end::bigint as n, vec_id % 7 = 0 as is_none from embeddings",
     "array_element": "select vec_id, embedding[4]::double as v3, 0.0::double as v99 from embeddings",
@@ -129,6 +127,7 @@ select encoding, channels::bigint as channels, itemsize::bigint as itemsize, dty
     "convert_union": f"""
 select event_type as topic, 'FloatArray' as schema_name, event_id as log_time, props as payload from events
 union all select 'cam' || stream, 'foxglove.CompressedImage', idx, vec_id::varchar from ({_FRAMES}) where stream <> 3""",
+    "video_zip": f"select stream::varchar as episode_id, idx, vec_id::varchar as frame, idx * 10 + 10 as stamp from ({_FRAMES})",
     "attachment_media": "select 'color/' || label as name, count(*) as n from embeddings where label % 2 = 0 group by 1",
     "container_roundtrip": f"select user_id::varchar as episode_id, event_type as topic, {_NS} as log_time, event_id as sequence, value from events where event_type in ('click', 'view')",
     "container_counts": "select user_id::varchar as episode_id, event_type as topic, count(*) as n from events group by 1, 2",

@@ -16,6 +16,12 @@ from stratalog.operators import pipeline as pipe
 from stratalog.operators import zipping
 from stratalog.plans.slices import Index, pick, resolve_slices
 from stratalog.sources import episodes as src
+from stratalog.sources.video import Codec, RawCodec, decode_streams
+
+#: Frames that a video announces but does not hold and that repeat its last one, at most.
+FRAME_TOLERANCE = 5
+#: Positions of a block in which a filtered dataset looks up an index.
+LOOKUP_BLOCK = 65_536
 
 
 @dataclass(frozen=True)
@@ -33,7 +39,8 @@ class DatasetConfig:
 
     ``slices.dataset`` is a dict by root or a list for all roots; slices at other levels are rejected. ``rearrange.dataset`` orders
     roots, ``rearrange.episode`` each root's files; ``rearrange.episode`` of a single file may be "reverse", which scans it from
-    the end. ``seed`` makes every order reproducible, also between iterations.
+    the end. ``seed`` makes every order reproducible, also between iterations. ``codec`` decodes video attachments, whose items are
+    structs of stamp and frame.
     """
 
     data_root: str | list[str]
@@ -54,6 +61,7 @@ class DatasetConfig:
     cache: bool = False
     flatten: bool = True
     strict: bool = True
+    codec: Codec = field(default_factory=RawCodec)
 
     def __post_init__(self) -> None:
         if self.world_size < 1 or not 0 <= self.rank < self.world_size:
@@ -115,14 +123,24 @@ class IterableDataset:
     def __getitem__(self, index: int) -> Row:
         found = self.frame
         if self.config.filter_fn is not None:  # positions have gaps: the index counts rows
-            rows = found.orderBy(F.col("pos").desc() if index < 0 else F.col("pos")).limit(-index if index < 0 else index + 1).collect()
-            row = rows[-1] if len(rows) == (-index if index < 0 else index + 1) else None
+            row = self._lookup(found, index)
         else:
             row = pipe.nth(found, index).first()
         if row is None:
             raise IndexError(f"no sample {index}")
         return row
 
+    def _lookup(self, found: DataFrame, index: int) -> Row | None:
+        """Row ``index`` of a frame whose positions have gaps: counts of blocks say which one holds it, and only that is sorted."""
+        block = F.expr(f"pos div {LOOKUP_BLOCK}")
+        sizes = found.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("block").desc() if index < 0 else F.col("block"))
+        left = -index - 1 if index < 0 else index
+        for at, n in sizes.toLocalIterator():
+            if left < n:
+                return found.where(block == at).orderBy(F.col("pos").desc() if index < 0 else F.col("pos")).limit(left + 1).collect()[-1]
+            left -= n
+        return None
+
     def batches(self, size: int, item: str, strict: bool = False) -> DataFrame:
         return pipe.batches(self.frame, size, ["pos"], item, strict=strict)
 
@@ -190,6 +208,28 @@ class SampleDataset(EpisodeDataset):
         self._files = {head or ".": [name]}
 
 
+def attachment_items(items: DataFrame, names: list[str], codec: Codec) -> DataFrame:
+    """(episode_id, idx, one column per name): JSON elements as text, video frames as struct<pts, data>; unequal lengths raise.
+
+    A name has one media type in all episodes; types but JSON and video raise.
+    """
+    videos = {r.name for r in items.where(F.col("media_type") == zipping.VIDEO).select("name").distinct().collect()}
+    out = None
+    for of_video, own in ((True, sorted(videos)), (False, sorted(set(names) - videos))):
+        if not own:
+            continue
+        mine = items.where(F.col("name").isin(own))
+        if of_video:
+            streams = mine.select(F.struct("episode_id", "name").alias("stream"), "data")
+            frames = decode_streams(streams, codec, tolerance=FRAME_TOLERANCE, ensure_base_stamp=False)
+            listed = frames.select("stream.episode_id", "stream.name", "idx", F.struct("pts", "data").alias("item"))
+        else:
+            listed = zipping.json_elements(mine)
+        part = zipping.zip_items(listed, own)
+        out = part if out is None else zipping.strict_zip(out, part, ["episode_id", "idx"])
+    return out
+
+
 def read_samples(spark: SparkSession, paths: list[str], config: DatasetConfig) -> DataFrame:
     """(episode_id, sample_idx, one column per topic and attachment); episodes are numbered in the order of ``paths``."""
     files = src.read_bytes(spark, paths)
@@ -199,21 +239,21 @@ def read_samples(spark: SparkSession, paths: list[str], config: DatasetConfig) -
     items = src.attachments(files)
     known = {r.name for r in items.select("name").distinct().collect()}
     topics, attachments = cat.resolve_keys(names, known, config.keys, config.topics, config.attachments)
-    place = spark.createDataFrame([(p, i) for i, p in enumerate(dict.fromkeys(paths))], "_path string, _place bigint")
+    place = spark.createDataFrame([(p, src.qualified(spark, p), i) for i, p in enumerate(dict.fromkeys(paths))], "_path string, episode_id string, _place bigint")
     reverse = config.rearrange.episode == cat.REVERSE and len(paths) == 1
     out = None
     if topics:
         # Payloads are decoded after assembly: values that a later one replaces never are.
-        messages = src.messages(files).withColumnRenamed("data", "value")
+        messages = src.messages(files, sorted(topics)).withColumnRenamed("data", "value")
         out = decode_columns(asm.assemble(messages, topics, reverse=reverse, strict=config.strict and not attachments), {t: schemas[t] for t in topics})
     if attachments:
         if reverse:
             raise ValueError("attachments cannot be read from the end")
-        right = zipping.zip_items(zipping.json_elements(items.where(F.col("name").isin(sorted(attachments)))), sorted(attachments))
+        right = attachment_items(items.where(F.col("name").isin(sorted(attachments))), sorted(attachments), config.codec)
         out = right.withColumnRenamed("idx", "sample_idx") if out is None else zipping.zip_samples(out, right)
     if out is None:
         counts = src.counts(files)
         out = zipping.empty_samples(cat.equal_counts(counts).withColumnRenamed("common", "length"))
     own = F.broadcast(place) if len(paths) <= 100_000 else place
-    named = out.join(own, F.endswith("episode_id", F.regexp_replace("_path", "^[a-z0-9+.-]+:/*", "/")))
+    named = out.join(own, "episode_id")
     return named.withColumn("episode_id", F.concat(F.lpad(F.col("_place").cast("string"), 9, "0"), F.lit(":"), F.col("_path"))).drop("_path", "_place")

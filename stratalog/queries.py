@@ -15,8 +15,10 @@ from stratalog.operators import catalog as cat
 from stratalog.operators import pipeline as pipe
 from stratalog.operators import series, zipping
 from stratalog.operators import stamps as st
+from stratalog.plans.dataset import attachment_items
 from stratalog.plans.slices import slice_indexes
 from stratalog.sources import episodes as src
+from stratalog.sources import video
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,7 +133,7 @@ def catalog_size(spark: SparkSession, d: str) -> DataFrame:
 @query
 def extension_filter(spark: SparkSession, d: str) -> DataFrame:
     files = m.episode_files(spark, d)
-    return src.filter_files(files, "file", "mcap").where(F.col("file").contains("_1")).select(col.joined_path(F.concat("root", F.lit("/")), F.col("file")).alias("path"))
+    return src.filter_files(files, "file", "mcap").select(col.joined_path(F.concat("root", F.lit("/")), F.col("file")).alias("path"))
 
 
 @query
@@ -208,8 +210,8 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def batches_strict(spark: SparkSession, d: str) -> DataFrame:
-    whole = m.aligned_log(spark, d).where("topic = 'size'").join(m.aligned_log(spark, d).groupBy("episode_id").agg((F.floor(F.count(F.lit(1)) / 10) * 5).alias("n")), "episode_id")
-    rows = zipping.numbered(whole, "episode_id", "log_time").where("idx < n")
+    rows = m.table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    rows = rows.select(F.col("p_partkey").alias("episode_id"), F.col("i").cast("bigint").alias("idx"), (F.col("p_partkey") * 10 + F.col("i")).alias("log_time"))
     return pipe.batches(rows, 5, ["idx"], "log_time", strict=True).select("episode_id", "batch_idx", F.array_join("items", ",").alias("items"))
 
 
@@ -296,7 +298,7 @@ def frame_indices(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def base_stamps(spark: SparkSession, d: str) -> DataFrame:
-    e = m.table(spark, d, "events").where("event_id < 1000")
+    e = m.table(spark, d, "events")
     comment = F.concat(F.lit("{'base_stamp': "), F.col("event_id") * 1000, F.lit("}"))
     return e.select("event_id", col.base_stamp(F.when(F.col("event_id") % 3 > 0, comment).otherwise("")).alias("base"))
 
@@ -375,7 +377,19 @@ def convert_union(spark: SparkSession, d: str) -> DataFrame:
     f = m.frames(spark, d).select(F.lit("e").alias("episode_id"), F.concat(F.lit("cam"), "stream").alias("name"), F.col("idx").alias("pts"), F.col("vec_id").cast("string").cast("binary").alias("data"))
     kinds = f.select("episode_id", "name").distinct().select("episode_id", "name", F.when(F.col("name") == "cam3", "application/json").otherwise("video/mp4").alias("media_type"))
     out, _ = src.convert_videos(messages, kinds, f)
-    return out.select("topic", "schema_name", "log_time", F.col("data").cast("string").alias("payload"))
+    is_image = F.col("schema_name") == "foxglove.CompressedImage"
+    images = pay.decode_columns(out.where(is_image), {"data": "foxglove.CompressedImage"}).select("topic", "schema_name", "log_time", F.col("data.data").alias("data"))
+    return out.where(~is_image).select("topic", "schema_name", "log_time", "data").unionByName(images).select("topic", "schema_name", "log_time", F.col("data").cast("string").alias("payload"))
+
+
+@query
+def video_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a video and elements of a JSON attachment per stream, zipped at their positions as the dataset API does."""
+    f = m.frames(spark, d).select(F.col("stream").cast("string").alias("stream"), "idx", (F.col("idx") * 10 + 10).alias("stamp"), F.col("vec_id").cast("string").cast("binary").alias("data"))
+    videos = video.encode_streams(f, video.RawCodec()).select(F.col("stream").alias("episode_id"), F.lit("camera").alias("name"), F.lit("video/mp4").alias("media_type"), "data")
+    stamps = f.groupBy("stream").agg(F.to_json(F.sort_array(F.collect_list("stamp"))).cast("binary").alias("data"))
+    both = videos.unionByName(stamps.select(F.col("stream").alias("episode_id"), F.lit("stamps").alias("name"), F.lit("application/json").alias("media_type"), "data"))
+    return attachment_items(both, ["camera", "stamps"], video.RawCodec()).select("episode_id", "idx", F.col("camera.data").cast("string").alias("frame"), F.col("stamps").cast("bigint").alias("stamp"))
 
 
 @query

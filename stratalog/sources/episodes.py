@@ -7,6 +7,7 @@ files. A container file is one row while it is read and has to stay under 2 GB.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stratalog import model
 from stratalog.functions.columns import with_extension
+from stratalog.functions.payload import encode_compressed_images
 from stratalog.sources import mcap_format as mf
 
 
@@ -47,6 +49,12 @@ def episode_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "root string, file string")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as file listings name it: with scheme and, where there is one, authority."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
 def read_bytes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(episode_id, content) of container files; a path is a file or a directory of them. The file's path is its episode."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -63,9 +71,9 @@ def _table(files: DataFrame, schema: str, rows_of: Callable[[str, bytes], Iterat
         kinds = t.to_arrow_schema(target)
         for batch in batches:
             for episode, content in zip(batch.column("episode_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = list(rows_of(episode, content))
-                for a in range(0, len(rows), 10_000):
-                    cols = list(zip(*rows[a : a + 10_000], strict=True))
+                rows = rows_of(episode, content)
+                while part := list(islice(rows, 10_000)):
+                    cols = list(zip(*part, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for c, n in zip(cols, names, strict=True)], names)
 
     from pyspark.sql.types import StructType
@@ -166,19 +174,29 @@ def channel_ids(messages_: DataFrame, strict: bool = True) -> DataFrame:
     return first.select("episode_id", "topic", "schema_name", rank.alias("channel_id"))
 
 
-def to_files(messages_: DataFrame, attachments_: DataFrame | None = None, compression: str = "zstd") -> DataFrame:
-    """(episode_id, content): container files built per episode, messages in log order; a file is built in one task's memory."""
+def to_files(messages_: DataFrame, attachments_: DataFrame | None = None, compression: str = "zstd", metadata_: DataFrame | None = None) -> DataFrame:
+    """(episode_id, content): container files built per episode, messages in log order, attachments and metadata records behind them.
+
+    A file is built in one task's memory.
+    """
     m = messages_.select("episode_id", "topic", "schema_name", "log_time", "publish_time", "sequence", "data")
+    if metadata_ is not None:  # travels with the messages
+        m = m.unionByName(metadata_.select("episode_id", F.col("name").alias("meta"), "metadata"), allowMissingColumns=True)
     spark = messages_.sparkSession
     a = attachments_ if attachments_ is not None else spark.createDataFrame([], model.ATTACHMENTS)
 
     def build(rows: pa.Table, extra: pa.Table) -> pa.Table:
-        writer = mf.Writer(compression)
+        writer, records = mf.Writer(compression), []
         for r in rows.sort_by([("log_time", "ascending"), ("sequence", "ascending"), ("topic", "ascending")]).to_pylist():
+            if r.get("meta") is not None:
+                records.append(mf.Metadata(r["meta"], dict(r["metadata"] or ())))
+                continue
             writer.register_channel(r["topic"], r["schema_name"] or "", strict=False)
             writer.add_message(r["topic"], r["data"] or b"", r["log_time"], r["publish_time"], r["sequence"])
         for r in extra.sort_by([("log_time", "ascending"), ("name", "ascending")]).to_pylist():
             writer.add_attachment(mf.Attachment(r["log_time"], r["create_time"], r["name"], r["media_type"], r["data"]))
+        for record in sorted(records, key=lambda r: r.name):
+            writer.add_metadata(record)
         episode = (rows if rows.num_rows else extra).column("episode_id")[0].as_py()
         return pa.table([pa.array([episode], pa.string()), pa.array([writer.finish()], pa.binary())], ["episode_id", "content"])
 
@@ -215,14 +233,15 @@ def save_files(files: DataFrame, directory: str) -> DataFrame:
 def convert_videos(messages_: DataFrame, attachments_: DataFrame, video_frames: DataFrame, image_format: str = "jpeg") -> tuple[DataFrame, DataFrame]:
     """File-to-file conversion: (messages, attachments) with each video attachment turned into compressed-image messages.
 
-    ``video_frames`` holds the decoded frames (episode_id, name, pts, data); one message each goes to the channel named after the
-    attachment, published and logged at its stamp. Other attachments and all messages stay; ids are handed out anew when written,
-    by name.
+    ``video_frames`` holds the frames (episode_id, name, pts, data), data being an image file's bytes of ``image_format``; one message
+    each, a compressed-image table, goes to the channel named after the attachment, published and logged at its stamp. Other attachments
+    and all messages stay; ids are handed out anew when written, by name. Metadata records go to to_files() as they are.
     """
     is_video = F.col("media_type") == "video/mp4"
     named = attachments_.where(is_video).select("episode_id", "name")
     frames = video_frames.join(named, ["episode_id", "name"], "left_semi")
     sequence = F.lit(0).cast("bigint")
     made = frames.select("episode_id", F.col("name").alias("topic"), F.lit("foxglove.CompressedImage").alias("schema_name"), F.col("pts").alias("log_time"), F.col("pts").alias("publish_time"), sequence.alias("sequence"), "data")
+    made = encode_compressed_images(made, "data", "publish_time", image_format)
     kept = messages_.select("episode_id", "topic", "schema_name", "log_time", "publish_time", "sequence", "data")
     return kept.unionByName(made), attachments_.where(~is_video)

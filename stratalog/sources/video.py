@@ -22,6 +22,9 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 from stratalog.functions.columns import NS
 from stratalog.operators.stamps import repair_step
 
+#: Bytes of frames that a record batch holds, about.
+BATCH_BYTES = 8 << 20
+
 
 class Codec(Protocol):
     """Frames of one stream to a file and back. ``comment`` is free text that the file carries."""
@@ -182,11 +185,22 @@ def decode_streams(videos: DataFrame, codec: Codec, indices: list[int] | None =
             if wanted is None or i in wanted:
                 yield i, *last, True
 
+    def batch_of(stream: Any, rows: list[tuple[int, int, bytes, bool]], kind: pa.DataType) -> pa.RecordBatch:
+        idx, pts, frames, padded = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([stream] * len(rows), kind), pa.array(idx), pa.array(pts), pa.array(frames, pa.binary()), pa.array(padded)], schema.names)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field("stream").type
             for stream, data in zip(batch.column("stream").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                for idx, pts, frame, padded in frames_of(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([stream], kind), pa.array([idx]), pa.array([pts]), pa.array([frame], pa.binary()), pa.array([padded])], schema.names)
+                held, size = [], 0
+                for row in frames_of(data):
+                    held.append(row)
+                    size += len(row[2])
+                    if size >= BATCH_BYTES:
+                        yield batch_of(stream, held, kind)
+                        held, size = [], 0
+                if held:
+                    yield batch_of(stream, held, kind)
 
     return videos.select("stream", "data").mapInArrow(decode, schema)

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog import model
-from stratalog.functions.payload import encode_float_arrays
+from stratalog.functions.payload import decode_columns, encode_float_arrays
 from stratalog.operators import assemble as asm
 from stratalog.operators import stamps as st
 from stratalog.plans.dataset import DatasetConfig, EpisodeDataset, IterableDataset, Levels, SampleDataset
 from stratalog.sources import episodes as src
+from stratalog.sources.video import RawCodec
 from stratalog.streaming import assembly
 
 
@@ -99,6 +100,38 @@ def test_config_errors(spark, root):
         assert ds.batches(2, "sample_idx").count() == 3
 
 
+def test_dataset_with_a_camera(spark, tmp_path):
+    """Vectors, a camera and JSON stamps of each file, zipped; the joins to episode names are by equality."""
+    rows = [(f"{i}a.mcap", "/arm", "FloatArray", 10 * j, 10 * j, j, [float(i), float(j)]) for i in range(2) for j in range(4 - i)]
+    rows += [("a.mcap", "/arm", "FloatArray", 0, 0, 0, [9.0, 9.0])]  # its name ends those of the others
+    m = spark.createDataFrame(rows, "episode_id string, topic string, schema_name string, log_time bigint, publish_time bigint, sequence bigint, v array<float>")
+    m = m.withColumn("data", encode_float_arrays("v")).drop("v")
+    lengths = {"0a.mcap": 4, "1a.mcap": 3, "a.mcap": 1}
+    a = [(e, "/camera", "video/mp4", 1, 1, bytearray(RawCodec().encode(iter([(7 * j, f"{e}{j}".encode()) for j in range(n)]), "", 1_000_000_000))) for e, n in lengths.items()]
+    a += [(e, "stamps", "application/json", 1, 1, bytearray(json.dumps(list(range(n))).encode())) for e, n in lengths.items()]
+    src.save_files(src.to_files(m, spark.createDataFrame(a, model.ATTACHMENTS)), str(tmp_path)).count()
+    with EpisodeDataset(spark, DatasetConfig(str(tmp_path), topics=["/arm"], attachments=["/camera", "stamps"], rearrange=Levels(episode="sort", dataset="none"))) as ds:
+        got = list(ds)
+        assert len(got) == 8 and "NestedLoop" not in ds.frame._jdf.queryExecution().executedPlan().toString()
+    for r in got:
+        name = r.episode_id.rpartition("/")[2]
+        assert (bytes(r["/camera"].data).decode(), r["/camera"].pts, r["stamps"]) == (f"{name}{r.sample_idx}", 7 * r.sample_idx, str(r.sample_idx))
+        assert list(r["/arm"]) == ([9.0, 9.0] if name == "a.mcap" else [float(name[0]), float(r.sample_idx)])
+
+
+def test_index_into_a_filtered_dataset(spark, monkeypatch):
+    from stratalog.plans import dataset
+
+    monkeypatch.setattr(dataset, "LOOKUP_BLOCK", 8)
+    read = lambda s, c: s.range(100).select(F.lit(1).alias("episode_id"), F.col("id").alias("sample_idx"))
+    ds = IterableDataset(spark, DatasetConfig("", filter_fn=F.col("sample_idx") % 7 == 3), read)
+    want = [i for i in range(100) if i % 7 == 3]
+    assert [ds[i].sample_idx for i in (0, 5, -1, -4, len(want) - 1)] == [want[i] for i in (0, 5, -1, -4, len(want) - 1)]
+    for i in (len(want), -len(want) - 1):
+        with pytest.raises(IndexError):
+            ds[i]
+
+
 def test_convert(spark, root):
     files = src.read_bytes(spark, root)
     m, a = src.messages(files), src.attachments(files)
@@ -106,6 +139,12 @@ def test_convert(spark, root):
     frames = a.select("episode_id", "name", F.lit(5).cast("bigint").alias("pts"), F.lit(b"jpg").alias("data"))
     out, rest = src.convert_videos(m, video, frames)
     assert out.count() == 16 and rest.count() == 0
+    notes = spark.createDataFrame([("e0.mcap", "robot", {"arm": "left"})], model.METADATA)
+    notes = notes.withColumn("episode_id", F.lit(files.select("episode_id").orderBy("episode_id").first()[0]))
+    back = src.to_files(out, metadata_=notes)
+    assert [(r.name, r.metadata) for r in src.metadata(back).collect()] == [("robot", {"arm": "left"})]
+    images = decode_columns(src.messages(back, ["log_stamps"]).select("episode_id", "data"), {"data": "foxglove.CompressedImage"}).collect()
+    assert [(r.data["format"], bytes(r.data["data"]), r.data["sec"], r.data["nsec"]) for r in images] == [("jpeg", b"jpg", 0, 5)] * 2
     again = src.messages(src.to_files(out))
     assert again.where("topic = 'log_stamps'").select("schema_name").distinct().first()[0] == "foxglove.CompressedImage"
 
