@@ -165,16 +165,17 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def compare_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (key, id, component, major) of one bucket and different components with sets alike enough.
+    """Pairs (a, b) of ``members`` (key, id, component, major, n_major, n_minor) of one bucket and different components, alike enough.
 
+    All pairs of a block are compared, and as many of the alike ones reported as join what is alike: fewer than its members.
     ``major`` marks the members of one component of the bucket. Members are dealt to chunks of about BLOCK texts, major ones apart;
     each chunk of others meets all chunks, and a task's block is one such pair of chunks. So a text of the major component travels
     once a chunk of others, and intersections of a block come from products of its sets' incidence matrices.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    chunks = lambda major: F.ceil(F.count_if(F.col("major") == major) / BLOCK).cast("int")
-    sizes = members.groupBy("key").agg(chunks(True).alias("n_major"), chunks(False).alias("n_minor")).where("n_minor > 0")
-    placed = members.join(sizes, "key")
+    placed = members
+    for side in ("n_major", "n_minor"):  # members to chunks
+        placed = placed.withColumn(side, F.ceil(F.col(side) / BLOCK).cast("int"))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("n_major")).otherwise(F.col("n_minor"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -195,7 +196,7 @@ def compare_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
                 size = np.diff(first)
                 part = np.unique([c for _, c, _ in held], return_inverse=True)[1]
                 alike = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (part[:, None] != part[None, :]) & (size > 0)[:, None]
-                x, y = np.nonzero(np.triu(alike, 1))
+                x, y = _forest(alike, part)
                 ids = [i for i, _, _ in held]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in x], kind), pa.array([ids[i] for i in y], kind)], ["a", "b"])
 
@@ -232,12 +233,39 @@ def _intersections(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _join_least(edges: DataFrame, low: DataFrame, heavy: int) -> DataFrame:
-    """``edges`` (u, v) with the m of their u in ``low`` (u, m, n): nodes of ``heavy`` edges or more come by broadcast."""
-    hot = F.broadcast(low.where(F.col("n") >= heavy).select(F.col("u").alias("hot"), F.col("m").alias("hot_m")))
-    told = edges.join(hot, F.col("u") == F.col("hot"), "left")
-    light = told.where("hot is null").select("u", "v").join(low.where(F.col("n") < heavy).select("u", "m"), "u")
-    return light.select("u", "v", "m").union(told.where("hot is not null").select("u", "v", F.col("hot_m").alias("m")))
+def _join_totals(rows: DataFrame, totals: DataFrame, key: str, heavy: int) -> DataFrame:
+    """``rows`` with the other columns of ``totals`` (one row a key, n: its rows): keys of ``heavy`` rows or more come by broadcast."""
+    names = [c for c in totals.columns if c != key]
+    hot = F.broadcast(totals.where(F.col("n") >= heavy).select(F.col(key).alias("hot"), F.struct(*names).alias("told")))
+    both = rows.join(hot, F.col(key) == F.col("hot"), "left")
+    light = both.where("hot is null").select(*rows.columns).join(totals.where(F.col("n") < heavy), key).select(*rows.columns, *names)
+    return light.union(both.where("hot is not null").select(*rows.columns, *(F.col(f"told.{c}") for c in names)))
+
+
+def _heavy(rows: int) -> int:
+    return max(HEAVY_LEAST, int(rows * HEAVY_SHARE))
+
+
+def _forest(alike: np.ndarray, part: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of alike members that join all alike ones, members of one part being joined already."""
+    root = list(range(int(part.max()) + 1))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for i, own in enumerate(part.tolist()):
+        near = np.flatnonzero(alike[i, :i])
+        for j in near[np.unique(part[near], return_index=True)[1]].tolist():  # one member of each part
+            a, b = find(own), find(int(part[j]))
+            if a != b:
+                root[a] = b
+                out[0].append(j)
+                out[1].append(i)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -248,12 +276,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     while not _are_stars(now):
-        heavy = max(HEAVY_LEAST, int(now.count() * HEAVY_SHARE))
+        heavy = _heavy(now.count())
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _join_least(both, low, heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _join_totals(both, low, "u", heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _join_least(large, low, heavy).select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
+        small = _join_totals(large, low, "u", heavy).select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
         after = save(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "cc-edges")
         drop_saved(now)
         now = after
@@ -284,8 +312,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     of_rep = linked.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("own")) & (F.col("n_shingles") == F.col("size")))
     reps = save(of_rep.select("rep", "digest", "bands", *_SKETCH).dropDuplicates(["rep", "digest"]), "mh-reps")
     keyed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key")).distinct()
-    full = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    buckets = save(keyed.join(full.select("key"), "key"), "mh-buckets")
+    heavy = _heavy(reps.count() * BANDS)
+    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id")).alias("center")).where("n > 1")
+    buckets = save(_join_totals(keyed, full, "key", heavy).select("key", "id", "center"), "mh-buckets")
 
     # An id with several texts links their classes.
     several = linked.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
@@ -295,8 +324,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketch = reps.select("rep", *_SKETCH)
     apart = sum((F.bit_count(F.col(f"l{s}").bitwiseXOR(F.col(f"r{s}"))) for s in _SKETCH), F.lit(0))
     left, right = (sketch.select(F.col("rep").alias(side), *(F.col(s).alias(f"{m}{s}") for s in _SKETCH)) for side, m in (("center", "l"), ("id", "r")))
-    pivots = buckets.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("center"))
-    pairs = buckets.join(pivots, "key").where("id <> center").select("center", "id").distinct()
+    pairs = buckets.where("id <> center").select("center", "id").distinct()
     pairs = pairs.join(left, "center").join(right, "id").withColumn("apart", apart).where(F.col("apart") <= MOST_BITS)
     pairs = save(pairs.groupBy("id").agg(F.min_by("center", F.struct("apart", "center")).alias("center")).select("center", "id"), "mh-pairs")
     edges = verify(pairs, docs, shingle, percent) if pairs.take(1) else same_id.limit(0)
@@ -304,9 +332,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     labelled = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"))
-    tops = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("members").alias("members")).where("parts > 1")
+    tops = parts.groupBy("key").agg(F.max_by(F.struct("component", "n"), F.struct("n", -F.col("component"))).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("members").alias("members")).where("parts > 1")
     tops = tops.groupBy("n", "members").agg(F.min("key").alias("key"), F.min_by("top", "key").alias("top"))  # buckets of the same members count once
-    apart_yet = save(labelled.join(tops.select("key", "top"), "key").select("key", "id", "component", (F.col("component") == F.col("top")).alias("major")), "mh-open")
+    tops = tops.select("key", "n", F.col("top.component").alias("top"), F.col("top.n").alias("n_major"), (F.col("n") - F.col("top.n")).alias("n_minor"))
+    apart_yet = _join_totals(labelled, tops, "key", heavy).select("key", "id", "component", (F.col("component") == F.col("top")).alias("major"), "n_major", "n_minor")
+    apart_yet = save(apart_yet, "mh-open")
     if apart_yet.take(1):
         more = save(compare_blocks(apart_yet, docs, shingle, percent), "mh-edges")
         if more.take(1):
