@@ -17,6 +17,8 @@ WINDOW = 8
 LEAST_RUN = 13
 #: Up to so many (hash, item, position) rows of 24 bytes are broadcast; beyond, the joins shuffle.
 BROADCAST_ROWS = 2_000_000
+#: The benchmark itself is broadcast, as tokens, up to so many bytes of text and so many items.
+BROADCAST_BYTES, BROADCAST_ITEMS = 32 << 20, 500_000
 #: Placeholders of numbers, names and units.
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = (
@@ -24,7 +26,7 @@ UNITS = (
     "hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|inches|inch|feet|foot|yards?|watts?|volts?|joules?|newtons?|g|m|l|s"
 )
 #: A capital in the middle of a sentence begins a name.
-_NAME = r"(?<=[\p{Ll},;])[\x20\x09-\x0D]+(\p{Lu}[\p{L}\p{M}]*)"
+_NAME = r"[\x20\x09-\x0D](?<=[\p{Ll},;][\x20\x09-\x0D])[\x20\x09-\x0D]*(\p{Lu}[\p{L}\p{M}]*)"
 _NUMBER = r"(\d[\d.,:/]*)"
 _UNIT = rf"(\x01[\d.,:/]*)[\x20\x09-\x0D]?({UNITS})(?![\p{{L}}\p{{M}}])"
 
@@ -38,10 +40,8 @@ def template(text: Column, values: bool) -> Column:
     text = F.regexp_replace(text, _NAME, f" {NAME}$1" if values else f" {NAME}")
     text = F.regexp_replace(text, _NUMBER, f"{NUMBER}$1" if values else NUMBER)
     text = F.regexp_replace(text, _UNIT, f"$1 {UNIT}$2 " if values else f"$1 {UNIT} ")
-    text = F.lower(F.regexp_replace(text, r"(\x01[\d.,:/]*)|([^\p{L}\p{M}\x01-\x03]+)", " $1 " if values else "$1 "))
-    if not values:  # a placeholder is a token of its own, with or without value
-        text = F.regexp_replace(text, r"\x01", f" {NUMBER} ")
-    return F.filter(F.split(text, " +"), lambda t: t != "")
+    # A placeholder is a token of its own, with or without value.
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\x01[\d.,:/]*|[\x02\x03]?[\p{L}\p{M}]+" if values else r"[\p{L}\p{M}]+|[\x01-\x03]"), F.lit(0))
 
 
 def _starts(n: Column, window: int, stride: int) -> Column:
@@ -52,6 +52,17 @@ def _windows(tokens: Column, starts: Column, window: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i + 1, window)))
 
 
+def _probes(docs: DataFrame, window: int, stride: int) -> DataFrame:
+    """(doc_id, nth, key) of every ``stride``-th window of a table's texts.
+
+    The outer form keeps rows without windows until they are dropped here: no filter on the windows is pushed below them, which would
+    make the template a second time.
+    """
+    tokens = docs.where("doc_id is not null").select("doc_id", template(F.col("text"), False).alias("tokens"))
+    starts = tokens.withColumn("starts", _starts(F.size("tokens"), window, stride))
+    return starts.select("doc_id", F.posexplode_outer(_windows(F.col("tokens"), F.col("starts"), window)).alias("nth", "key")).where("key is not null")
+
+
 def _runs(pairs: DataFrame, least_run: int) -> DataFrame:
     """(doc_id, item_id, run, exact) of the stretches of each diagonal that count; pairs: (a, b, same, slot) of all its places."""
     key = ["doc_id", "item_id", "shift", "head", "digest"]  # repeated ids may have other texts
@@ -102,21 +113,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     heads = F.explode(F.transform(F.array(F.lit(NAME), F.lit(UNIT)), lambda m: F.xxhash64(F.concat(F.array(m), F.slice("tokens", 2, window - 1))))).alias("key")
     index = index.unionByName(items.where(F.size("tokens") >= window).select("item_id", F.lit(0).alias("item_at"), heads))
     index = save(index.distinct(), "dc-index")
-    small = index.count() <= BROADCAST_ROWS
+    n_items, n_bytes = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    small = index.count() <= BROADCAST_ROWS and n_items <= BROADCAST_ITEMS and n_bytes <= BROADCAST_BYTES
     stride = max(1, least_run - window + 1)
-    probes = docs.where("doc_id is not null").select("doc_id", template(F.col("text"), False).alias("tokens"))
-    probes = probes.withColumn("starts", _starts(F.size("tokens"), window, stride)).where("starts is not null")
-    probes = probes.select("doc_id", F.posexplode(_windows(F.col("tokens"), F.col("starts"), window)).alias("nth", "key"))
-    hits = probes.join(F.broadcast(index) if small else index, "key").select("doc_id", "item_id", (F.col("nth") * stride - F.col("item_at")).alias("shift"))
+    hits = _probes(docs, window, stride).join(F.broadcast(index) if small else index, "key").select("doc_id", "item_id", (F.col("nth") * stride - F.col("item_at")).alias("shift"))
     # An item shorter than least_run is whole only where it begins, which the stride may pass over: probe those everywhere.
     brief = items.where((F.size("tokens") >= window) & (F.size("tokens") < least_run))
     brief = brief.select("item_id", F.xxhash64(F.slice("tokens", 1, window)).alias("key")).unionByName(brief.select("item_id", heads))
     brief = save(brief.distinct(), "dc-brief")
     if stride > 1 and brief.take(1):
-        every = docs.where("doc_id is not null").select("doc_id", template(F.col("text"), False).alias("tokens"))
-        every = every.withColumn("starts", _starts(F.size("tokens"), window, 1)).where("starts is not null")
-        every = every.select("doc_id", F.posexplode(_windows(F.col("tokens"), F.col("starts"), window)).alias("shift", "key"))
-        hits = hits.unionByName(every.join(F.broadcast(brief) if small else brief, "key").select("doc_id", "item_id", "shift"))
+        every = _probes(docs, window, 1).join(F.broadcast(brief) if small else brief, "key")
+        hits = hits.unionByName(every.select("doc_id", "item_id", F.col("nth").alias("shift")))
     hits = save(hits.distinct(), "dc-hits")
     few = hits.count() <= BROADCAST_ROWS
     found = docs.select("doc_id", "text").join(F.broadcast(hits) if few else hits, "doc_id")
@@ -142,12 +149,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     worded = lambda at: F.concat(F.array(F.regexp_replace(F.get(at, F.lit(0)), f"^[{NAME}{UNIT}]", "")), F.slice(at, 2, window))
     tiny = benchmark.where("item_id is not null").select("item_id", F.transform(template(F.col("text"), True), bare).alias("tokens")).where((F.size("tokens") > 0) & (F.size("tokens") < window))
     tiny = save(tiny.select("item_id", F.size("tokens").alias("n"), F.xxhash64(worded(F.col("tokens"))).alias("key")).distinct(), "dc-tiny")
-    for (n,) in tiny.select("n").distinct().orderBy("n").collect():
-        own = tiny.where(F.col("n") == n).select("item_id", "key")
+    lengths = [n for (n,) in tiny.select("n").distinct().orderBy("n").collect()]  # all below ``window``
+    if lengths:
         every = docs.where("doc_id is not null").select("doc_id", F.transform(template(F.col("text"), True), bare).alias("tokens"))
-        every = every.withColumn("starts", _starts(F.size("tokens"), n, 1)).where("starts is not null")
-        keys = F.transform("starts", lambda i: F.xxhash64(worded(F.slice("tokens", i + 1, n))))  # noqa: B023
-        every = every.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-        every = every.join(F.broadcast(own) if small else own, "key").select("doc_id", "item_id").distinct()
-        runs = runs.unionByName(every.select("doc_id", "item_id", F.lit(n).cast("bigint").alias("run"), F.lit(True).alias("exact")))
+        keys = [F.transform(_starts(F.size("tokens"), n, 1), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(worded(F.slice("tokens", i + 1, n))).alias("key"))) for n in lengths]  # noqa: B023
+        keys = [F.coalesce(k, F.array().cast("array<struct<n:int,key:bigint>>")) for k in keys]
+        every = every.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*keys))).alias("w")).where("w is not null").select("doc_id", "w.*")
+        every = every.join(F.broadcast(tiny) if small else tiny, ["n", "key"]).select("doc_id", "item_id", "n").distinct()
+        runs = runs.unionByName(every.select("doc_id", "item_id", F.col("n").cast("bigint").alias("run"), F.lit(True).alias("exact")))
     return runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("exact").alias("exact"))
