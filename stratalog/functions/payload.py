@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructField, StructType
 
 from stratalog.functions.columns import NS, as_float_vector, guard, split_stamp
 from stratalog.functions.flatbuf import Field, decode_table, encode_table
@@ -90,7 +90,7 @@ def payload_type(schema_name: str) -> str:
 def decode_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
     """``df`` with each named binary column decoded by its schema, in one pass over Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+    from pyspark.sql.types import _parse_datatype_string
 
     readers = {"FloatArray": decode_float_array, "RawImage": _raw_image_row, "CompressedImage": _compressed_image_row}
     fields = [StructField(f.name, _parse_datatype_string(payload_type(schemas[f.name]))) if f.name in schemas else f for f in df.schema]
@@ -121,6 +121,19 @@ def encode_compressed_images(df: DataFrame, data: str, stamp: str, image_format:
     return df.mapInArrow(encode, df.schema)
 
 
+def encode_raw_images(df: DataFrame, image: str) -> DataFrame:
+    """``df`` with column ``image``, the payload struct of raw_image(), made raw-image tables; null stays null."""
+    fields = ["frame_id", "width", "height", "encoding", "step", "data"]
+    schema = StructType([StructField(f.name, BinaryType()) if f.name == image else f for f in df.schema])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = [None if row is None else encode_table(RAW_IMAGE, {f: row[f] for f in fields}) for row in batch.column(image).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(image), image, pa.array(tables, pa.binary()))
+
+    return df.mapInArrow(encode, schema)
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def decode_float_arrays(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else decode_float_array(b))

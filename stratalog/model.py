@@ -22,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def msg_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as interleaved messages: an episode per user, a topic per event type."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("episode_id"), F.col("event_type").alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("log_time"), F.col("event_id").alias("sequence"), "value"
     )
 
@@ -64,4 +67,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as frame stamps that are not monotonic: an episode per user."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("idx"), F.round(F.col("value") * 100).cast("bigint").alias("stamp"))
+    return stamps_of(table(spark, sf_dir, "events"))
+
+
+def stamps_of(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("idx"), F.round(F.col("value") * 100).cast("bigint").alias("stamp"))

@@ -29,6 +29,7 @@ _STAMPS = "select user_id, event_id as idx, round(value * 100)::bigint as stamp,
 _UNIT = f"select user_id, idx, rn + max(stamp - rn) over (partition by user_id order by idx) as fixed from ({_STAMPS})"
 _RELATIVE = f"select *, first_value(fixed) over (partition by user_id order by idx) as base from ({_UNIT})"
 _FILES = "select r_name as root, n_name || '.mcap' as file from nation join region on n_regionkey = r_regionkey"
+_CUSTOMERS = "select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as sample_idx, row_number() over (order by c_nationkey, c_custkey) - 1 as pos from customer"
 _NS = "epoch_us(ts) * 1000"
 
 ORACLES = {
@@ -131,6 +132,25 @@ union all select 'cam' || stream, 'foxglove.CompressedImage', idx, vec_id::varch
     "attachment_media": "select 'color/' || label as name, count(*) as n from embeddings where label % 2 = 0 group by 1",
     "container_roundtrip": f"select user_id::varchar as episode_id, event_type as topic, {_NS} as log_time, event_id as sequence, value from events where event_type in ('click', 'view')",
     "container_counts": "select user_id::varchar as episode_id, event_type as topic, count(*) as n from events group by 1, 2",
+    "attachment_scan": "select s_nationkey::varchar as episode_id, s_name as name, 'text/plain' as media_type, s_suppkey + 1 as create_time, s_suppkey as log_time, s_acctbal as balance from supplier",
+    "metadata_scan": "select c_nationkey::varchar as episode_id, c_name as name, c_mktsegment as segment, c_custkey as key from customer",
+    "schema_ids": "select user_id::varchar as episode_id, 'log.' || event_type as schema_name, row_number() over (partition by user_id order by event_type) as schema_id from (select distinct user_id, event_type from events)",
+    "schema_scan": "select distinct user_id::varchar as episode_id, event_type as topic, 'log.' || event_type as schema_name from events",
+    "compressed_image_bytes": f"select event_id, 'jpeg' as format, {_NS} // 1000000000 as sec, {_NS} % 1000000000 as nsec, event_type as data from events",
+    "raw_image_bytes": """
+select p_partkey, (p_size % 5 + 1)::bigint as width, (p_size % 3 + 1)::bigint as height, (p_size % 2 * 2 + 1)::bigint as channels, 'uint8' as dtype,
+  case when p_size % 2 = 0 then '8UC1' else '8UC3' end as encoding, ((p_size % 5 + 1) * (p_size % 3 + 1) * (p_size % 2 * 2 + 1))::bigint as n_bytes from part""",
+    "episode_dataset": f"select pos, sample_idx, c_custkey, round(c_acctbal::float::double, 1) as balance from ({_CUSTOMERS})",
+    "dataset_shard": f"select (pos - 1) // 2 - 3 as pos, c_custkey from ({_CUSTOMERS}) where pos % 2 = 1 and (pos - 1) // 2 >= 3",
+    "dataset_lengths": f"select count(*) as n_samples, count(distinct c_nationkey) as n_episodes, min_by(c_custkey, pos) as first_key, max_by(c_custkey, pos) as last_key from ({_CUSTOMERS})",
+    "slices_config": "select name, root, pos::bigint as pos, idx from (values ('list', '', 0, '2'), ('list', '', 1, '3'), ('list', '', 2, '7'), ('dict', 'a', 0, '0'), ('dict', 'a', 1, '1'), ('dict', 'b', 0, '0'), ('dict', 'b', 1, '9')) v(name, root, pos, idx)",
+    "wall_clock": "select 1::bigint as n_values, true as later",
+    "stream_assembly": _assemble(["click", "view"]),
+    "stream_monotonic": f"""
+with recursive s as ({_STAMPS}),
+r as (select user_id, idx, rn, stamp as fixed from s where rn = 1
+  union all select s.user_id, s.idx, s.rn, case when s.stamp > r.fixed then s.stamp else r.fixed + 1000 end from r join s on s.user_id = r.user_id and s.rn = r.rn + 1)
+select user_id, idx, fixed from r""",
     "channel_ids": "select user_id as episode_id, event_type as topic, row_number() over (partition by user_id order by min(ts), event_type) as channel_id from events group by 1, 2",
     "field_range": """
 select event_type, case when event_type = 'error' then 0.0::double else round(min(value) - s * 0.1, 6) end as low, case when event_type = 'error' then 5.0::double else round(max(value) + s * 0.1, 6) end as high
