@@ -106,3 +106,61 @@ results as (
   select doc_id, item_id, s, e, head, true from copied n where not exists (from counted o where o.doc_id = n.doc_id and o.item_id = n.item_id and o.shift = n.shift and o.s <= n.s and o.e >= n.e))
 select doc_id, item_id, max(e - s + 1 - head::int)::bigint as run, bool_or(verbatim) as exact from results group by 1, 2
 """
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds of the codebooks one after the other: entry by entry distances, ties by the smallest (distance, entry)."""
+    ctes = [
+        "kept as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v, len(embedding) // %d as w from embeddings"
+        " where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)" % parts,
+        f"parts as materialized (select vec_id, label, p, v[p * w + 1:(p + 1) * w] as own from (select *, unnest(range({parts})) as p from kept))",
+        f"b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, own as entry from parts where vec_id in (select vec_id from kept order by vec_id limit {entries}))",
+    ]
+    for r in range(rounds + 1):
+        apart = "cast(list_sum(list_transform(list_zip(own, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+        ctes.append(f"a{r} as materialized (select vec_id, label, p, own, min({{'d': {apart}, 'e': e}}) as best from parts join b{r} using (p) group by all)")
+        if r < rounds:
+            ctes.append(
+                f"m{r} as (select p, e, list((s - ((s % n) + n) % n) // n order by pos) as entry from"
+                f" (select p, best.e as e, pos, cast(sum(own[pos]) as bigint) as s, count(*) as n from (select p, best, own, unnest(range(1, len(own) + 1)) as pos from a{r}) group by all) group by all)"
+            )
+            ctes.append(f"b{r + 1} as materialized (select b{r}.p, b{r}.e, coalesce(m{r}.entry, b{r}.entry) as entry from b{r} left join m{r} on b{r}.p = m{r}.p and b{r}.e = m{r}.e)")
+    ctes.append(f"digest as (select sha256(string_agg(array_to_string(entry, ','), ',' order by p, e)) as codebooks_sha256 from b{rounds})")
+    ctes.append(f"coded as materialized (select vec_id, label, string_agg(lower(printf('%02x', cast(best.e as integer))), '' order by p) as code, cast(sum(best.d) as bigint) as error from a{rounds} group by all)")
+    return f"with {', '.join(ctes)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded, digest"
+
+
+def licenses() -> str:
+    """Every place of every phrase by comparing word lists, and every template at each place of its leading phrase."""
+    from stratalog.llm.license_scan import LEAST_SHARE, SLACK, TEMPLATES, WORD, words_of
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    phrases, keys, bodies = {}, [], []
+    for n, t in enumerate(TEMPLATES):
+        body = words_of(t.text)
+        for k, key in enumerate(t.keys or (t.text,)):
+            own = tuple(words_of(key))
+            at = next(i for i in range(len(body)) if tuple(body[i : i + len(own)]) == own)
+            keys.append(f"({n}, {k}, {phrases.setdefault(own, len(phrases))}, {at})")
+        bodies.append(f"({n}, '{t.label}', {str(t.base).lower()}, {listed(body)})")
+    return rf"""
+with docs as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') as words from documents),
+phrases(phrase, ws) as (values {", ".join(f"({n}, {listed(p)})" for p, n in phrases.items())}),
+keys(template, k, phrase, back) as (values {", ".join(keys)}),
+templates(template, label, base, body) as (values {", ".join(bodies)}),
+tokens as materialized (select r, unnest(words) as w, generate_subscripts(words, 1) - 1 as i from docs),
+standing as materialized (select r, phrase, i as place from phrases join tokens on w = ws[1] join docs using (r) where words[i + 1:i + len(ws)] = ws),
+leads as (select r, template, place - back as s from standing join keys using (phrase) where k = 0),
+whole as (select * from leads where not exists (select 1 from keys where keys.template = leads.template and k > 0 and not exists (
+  select 1 from standing where standing.r = leads.r and standing.phrase = keys.phrase and abs(standing.place - leads.s - keys.back) <= {SLACK}))),
+counted as (select r, template, s, label, body, list_sum(list_transform(range(0, len(body)), lambda p:
+  case when list_contains(words[greatest(s + p - {SLACK}, 0) + 1:s + p + {SLACK} + 1], body[p + 1]) then 1 else 0 end)) as covered
+  from whole join templates using (template) join docs using (r)),
+found as (select r, label, covered / len(body) as share from counted where covered * 100 >= {LEAST_SHARE} * len(body)),
+base as (select r, label, place from standing join keys using (phrase) join templates using (template) where base),
+b as (select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by 1),
+f as (select r, string_agg(distinct label, ',' order by label) as labels, max(share) as score from found group by 1)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score
+from docs left join b using (r) left join f using (r)
+"""
