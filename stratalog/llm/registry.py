@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import decontam, hnsw, html_extract, langid, license_scan, lm_scoring, minhash, mixing, oracles, secret_scan, substring_dedup, vector_codes, warc
+from stratalog.llm import decontam, hnsw, html_extract, langid, license_scan, lm_scoring, minhash, mixing, oracles, secret_scan, substring_dedup, token_alignment, vector_codes, warc
 from stratalog.llm.common import id_fold, table
 
 
@@ -56,6 +56,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +70,7 @@ def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_lm_scoring": op1_lm_scoring, "op2_hnsw": op2_hnsw, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_substring_dedup": op5_substring_dedup, "op6_decontam": op6_decontam, "op7_minhash": op7_minhash, "op8_html": op8_html, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets, "op12_vector_codes": op12_vector_codes, "op13_licenses": op13_licenses,
+        "op1_lm_scoring": op1_lm_scoring, "op2_hnsw": op2_hnsw, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_substring_dedup": op5_substring_dedup, "op6_decontam": op6_decontam, "op7_minhash": op7_minhash, "op8_html": op8_html, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets, "op11_alignment": op11_alignment, "op12_vector_codes": op12_vector_codes, "op13_licenses": op13_licenses,
     }
 
 
