@@ -33,12 +33,13 @@ def fold_samples(codes: np.ndarray, n_topics: int) -> tuple[np.ndarray, np.ndarr
     return np.array(rows, dtype=np.int64).reshape(-1, n_topics), np.array(held, dtype=np.int64)
 
 
-def assemble(messages: DataFrame, topics: Iterable[str], reverse: bool = False, strict: bool = False) -> DataFrame:
+def assemble(messages: DataFrame, topics: Iterable[str], reverse: bool = False, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """(episode_id, sample_idx, one column per topic) from (episode_id, topic, log_time, sequence, value).
 
     In order of (log_time, sequence), or from the end with ``reverse``, the last value of each topic is kept; a row is emitted
     and the values cleared when all topics have one. Trailing incomplete samples are dropped. ``strict`` also asks that all topics
-    of an episode, requested or not, have equal counts and that as many samples come out; otherwise it raises.
+    of an episode, requested or not, have equal counts and that as many samples come out; otherwise it raises. Known ``counts``
+    (episode_id, topic, n) save counting the messages.
     """
     names = sorted(set(topics))
     if not names:
@@ -84,7 +85,7 @@ def assemble(messages: DataFrame, topics: Iterable[str], reverse: bool = False,
     found = dealt.select("episode_id", "topic", "value").mapInArrow(fold, schema)
     if not strict:
         return found
-    common = equal_counts(topic_counts(messages))
+    common = equal_counts(topic_counts(messages) if counts is None else counts)
     made = found.groupBy("episode_id").agg(F.count(F.lit(1)).alias("made"))
     ok = common.join(made, "episode_id", "left").where(guard((F.col("common") > 0) & (F.col("common") == F.coalesce("made", F.lit(0))), "topics are not aligned"))
     return found.join(ok.select("episode_id"), "episode_id", "left_semi")

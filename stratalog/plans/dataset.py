@@ -16,6 +16,7 @@ from stratalog.operators import pipeline as pipe
 from stratalog.operators import zipping
 from stratalog.plans.slices import Index, pick, resolve_slices
 from stratalog.sources import episodes as src
+from stratalog.sources import indexed
 from stratalog.sources.video import Codec, RawCodec, decode_streams
 
 #: Frames that a video announces but does not hold and that repeat its last one, at most.
@@ -230,30 +231,50 @@ def attachment_items(items: DataFrame, names: list[str], codec: Codec) -> DataFr
     return out
 
 
+class _Files:
+    """Questions about container files: by their indexes, or, in stores that only Spark opens, from whole files."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]) -> None:
+        self._index = indexed.survey(indexed.list_files(spark, paths)) if all(map(indexed.by_ranges, paths)) else None
+        self._whole = src.read_bytes(spark, paths) if self._index is None else None
+
+    def names(self) -> tuple[dict[str, str], set[str]]:
+        """(schema name by topic, attachment names), from summaries, in one job."""
+        if self._index is not None:
+            rows = self._index.where("kind in ('channel', 'attachment')").select("kind", "name", "schema_name").distinct().collect()
+            return {r.name: r.schema_name or "" for r in rows if r.kind == "channel"}, {r.name for r in rows if r.kind == "attachment"}
+        listed = src.channels(self._whole).join(src.schemas(self._whole), ["episode_id", "schema_id"], "left").select("topic", "name").distinct().collect()
+        return {r.topic: r.name or "" for r in listed}, {r.name for r in src.attachments(self._whole).select("name").distinct().collect()}
+
+    def messages(self, topics: list[str]) -> DataFrame:
+        return indexed.messages(self._index, topics) if self._index is not None else src.messages(self._whole, topics)
+
+    def attachments(self, names: list[str]) -> DataFrame:
+        return indexed.attachments(self._index, names) if self._index is not None else src.attachments(self._whole).where(F.col("name").isin(names))
+
+    def counts(self) -> DataFrame:
+        return (indexed.counts(self._index) if self._index is not None else src.counts(self._whole)).where("n > 0")
+
+
 def read_samples(spark: SparkSession, paths: list[str], config: DatasetConfig) -> DataFrame:
     """(episode_id, sample_idx, one column per topic and attachment); episodes are numbered in the order of ``paths``."""
-    files = src.read_bytes(spark, paths)
-    listed = src.channels(files).join(src.schemas(files), ["episode_id", "schema_id"], "left").select("topic", "name").distinct().collect()
-    schemas = {r.topic: r.name or "" for r in listed}
-    names = set(schemas)
-    items = src.attachments(files)
-    known = {r.name for r in items.select("name").distinct().collect()}
-    topics, attachments = cat.resolve_keys(names, known, config.keys, config.topics, config.attachments)
+    files = _Files(spark, paths)
+    schemas, known = files.names()
+    topics, attachments = cat.resolve_keys(set(schemas), known, config.keys, config.topics, config.attachments)
     place = spark.createDataFrame([(p, src.qualified(spark, p), i) for i, p in enumerate(dict.fromkeys(paths))], "_path string, episode_id string, _place bigint")
     reverse = config.rearrange.episode == cat.REVERSE and len(paths) == 1
     out = None
     if topics:
         # Payloads are decoded after assembly: values that a later one replaces never are.
-        messages = src.messages(files, sorted(topics)).withColumnRenamed("data", "value")
-        out = decode_columns(asm.assemble(messages, topics, reverse=reverse, strict=config.strict and not attachments), {t: schemas[t] for t in topics})
+        messages = files.messages(sorted(topics)).withColumnRenamed("data", "value")
+        out = decode_columns(asm.assemble(messages, topics, reverse=reverse, strict=config.strict and not attachments, counts=files.counts().where(F.col("topic").isin(sorted(topics)))), {t: schemas[t] for t in topics})
     if attachments:
         if reverse:
             raise ValueError("attachments cannot be read from the end")
-        right = attachment_items(items.where(F.col("name").isin(sorted(attachments))), sorted(attachments), config.codec)
+        right = attachment_items(files.attachments(sorted(attachments)), sorted(attachments), config.codec)
         out = right.withColumnRenamed("idx", "sample_idx") if out is None else zipping.zip_samples(out, right)
     if out is None:
-        counts = src.counts(files)
-        out = zipping.empty_samples(cat.equal_counts(counts).withColumnRenamed("common", "length"))
+        out = zipping.empty_samples(cat.equal_counts(files.counts()).withColumnRenamed("common", "length"))
     own = F.broadcast(place) if len(paths) <= 100_000 else place
     named = out.join(own, "episode_id")
     return named.withColumn("episode_id", F.concat(F.lpad(F.col("_place").cast("string"), 9, "0"), F.lit(":"), F.col("_path"))).drop("_path", "_place")
