@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-def _assemble(topics: list[str], order: str = "ts, event_id") -> str:
+def _assemble(topics: list[str], order: str = "ts, event_id", user: str = "user_id") -> str:
     listed = ", ".join(f"'{t}'" for t in topics)
     first = ", ".join(f"min(pos) filter (event_type = '{t}')" for t in topics)
     later = ", ".join(f"lateral (select min(pos) p from m where m.user_id = r.user_id and event_type = '{t}' and pos > r.p1) l{i}" for i, t in enumerate(topics))
@@ -12,7 +12,7 @@ def _assemble(topics: list[str], order: str = "ts, event_id") -> str:
     values = ", ".join(f"max_by(m.value, m.pos) filter (m.event_type = '{t}') as \"{t}\"" for t in topics)
     return f"""
 with recursive m as (
-  select user_id, event_type, value, row_number() over (partition by user_id order by {order}) as pos
+  select {user} as user_id, event_type, value, row_number() over (partition by {user} order by {order}) as pos
   from events where event_type in ({listed})),
 r(user_id, i, p0, p1) as (
   select user_id, 0::bigint, 0::bigint, greatest({first}) from m group by 1 having count(distinct event_type) = {len(topics)}
@@ -32,7 +32,21 @@ _FILES = "select r_name as root, n_name || '.mcap' as file from nation join regi
 _CUSTOMERS = "select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as sample_idx, row_number() over (order by c_nationkey, c_custkey) - 1 as pos from customer"
 _NS = "epoch_us(ts) * 1000"
 
+_FILE = "(user_id % 10) || '.mcap' as file, event_type as topic, event_id, round(value::float::double, 2) as value from events"
+
 ORACLES = {
+    "indexed_topic": f"select {_FILE} where event_type = 'click' and ts >= '2024-01-15' and ts < '2024-01-20'",
+    "written_episodes": f"select {_FILE} where event_type in ('view', 'error') and ts < '2024-01-15'",
+    "indexed_counts": "select (user_id % 10) || '.mcap' as file, event_type as topic, count(*) as n from events group by 1, 2",
+    "converted_files": """
+select n_nationkey || '.mcap' as file, 'schema' as kind, 'geo.Customer' as name, 'text' as encoding, n_name as detail from nation
+union all select n_nationkey || '.mcap', 'schema', 'geo.Nothing', 'text', 'unused' from nation
+union all select n_nationkey || '.mcap', 'channel', 'silent', 'text', n_name from nation
+union all select distinct c_nationkey || '.mcap', 'channel', c_mktsegment, 'utf8', c_mktsegment from customer
+union all select c_nationkey || '.mcap', 'message', c_mktsegment, 'geo.Customer', c_name from customer
+union all select s_nationkey || '.mcap', 'attachment', s_name, 'text/plain', s_name from supplier
+union all select n_nationkey || '.mcap', 'metadata', 'nation', '', n_nationkey::varchar from nation""",
+    "stream_files": 'select user_id as user_digit, sample_idx, round(click::float::double, 2) as click, round("view"::float::double, 2) as "view" from (' + _assemble(["click", "view"], user="user_id % 10") + ")",
     "assemble_2": _assemble(["click", "view"]),
     "assemble_3": _assemble(["click", "purchase", "view"]),
     "assemble_reverse": _assemble(["click", "view"], "ts desc, event_id desc"),

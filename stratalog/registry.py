@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog import recorded  # noqa: F401  registers its queries
+from stratalog import contained, recorded  # noqa: F401  they register their queries
 from stratalog.oracles import ORACLES
 from stratalog.queries import QUERIES
 

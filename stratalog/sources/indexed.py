@@ -24,6 +24,8 @@ from stratalog.sources import mcap_format as mf
 
 #: Bytes of a file whose chunks are read by one task, about, and of messages in a batch.
 RUN_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+#: Frames that a video announces but does not hold and that repeat its last one, at most.
+FRAME_TOLERANCE = 5
 #: What the index of files says; ``kind`` is channel, schema, chunk, attachment or metadata.
 INDEX = (
     "episode_id string, kind string, id int, name string, encoding string, schema_id int, schema_name string, metadata map<string,string>, data binary, n bigint, "
@@ -64,10 +66,13 @@ def index_rows(episode: str, ranges: mf.Ranges) -> Iterator[dict[str, Any]]:
     found = ranges.summary()
     schemas = {x.id: x for x in found if isinstance(x, mf.Schema)}
     channels = {x.id: x for x in found if isinstance(x, mf.Channel)}
-    counts: dict[int, int] = {}
-    for x in found:
-        if isinstance(x, mf.Statistics):
-            counts = x.channel_message_counts
+    counts: dict[int, int] | None = next((x.channel_message_counts for x in found if isinstance(x, mf.Statistics)), None)
+    if counts is None:  # a file that does not say has its messages counted
+        counts = {}
+        for x in found:
+            if isinstance(x, mf.ChunkIndex):
+                for channel, *_ in ranges.messages(x.offset, x.length, set(channels)):
+                    counts[channel] = counts.get(channel, 0) + 1
     for s in schemas.values():
         yield {"kind": "schema", "id": s.id, "name": s.name, "encoding": s.encoding, "data": s.data}
     name_of = lambda c: schemas[c.schema_id].name if c.schema_id in schemas else None
@@ -356,7 +361,7 @@ def convert(spark: SparkSession, paths: str | list[str], directory: str, codec:
     kept = named(index.where("kind = 'channel'").select("episode_id", F.col("name").alias("topic"), "schema_name", F.col("encoding").alias("message_encoding"), "metadata"))
     if codec is not None:
         video = items.where(F.col("media_type") == "video/mp4")
-        frames = decode_streams(video.select(F.struct("episode_id", "name").alias("stream"), "data"), codec, ensure_base_stamp=False)
+        frames = decode_streams(video.select(F.struct("episode_id", "name").alias("stream"), "data"), codec, tolerance=FRAME_TOLERANCE, ensure_base_stamp=False)
         frames = frames.select("stream.episode_id", "stream.name", "pts", "data")
         own, items = episodes.convert_videos(own, items, frames, image_format)
     return save(file_parts(own, kept, named(schemas(index)), items, named(metadata(index)), compression), directory)
