@@ -10,27 +10,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stratalog.functions.columns import guard
 from stratalog.operators.catalog import equal_counts, topic_counts
+from stratalog.operators.chains import latest, samples, segment_ends
 
 ORDER = ("log_time", "sequence")
 
 
-def fold_samples(codes: np.ndarray, n_topics: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each topic's value [samples, topics], rows of the open sample by topic or -1) for topic codes in order."""
-    rows: list[list[int]] = []
-    held, missing = [-1] * n_topics, n_topics
-    for i, c in enumerate(codes.tolist()):
-        missing -= held[c] < 0
-        held[c] = i
-        if not missing:
-            rows.append(held)
-            held, missing = [-1] * n_topics, n_topics
-    return np.array(rows, dtype=np.int64).reshape(-1, n_topics), np.array(held, dtype=np.int64)
+def topic_codes(topics: pa.ChunkedArray, names: list[str]) -> np.ndarray:
+    """The place of each topic among ``names``."""
+    return pc.index_in(topics.combine_chunks(), pa.array(names, topics.type)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def run_marks(keys: pa.Array) -> np.ndarray:
+    """Numbers that are equal for equal keys."""
+    return np.asarray(keys.dictionary_encode().indices.fill_null(-1)).astype(np.int64)
 
 
 def assemble(messages: DataFrame, topics: Iterable[str], reverse: bool = False, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
@@ -46,7 +45,6 @@ def assemble(messages: DataFrame, topics: Iterable[str], reverse: bool = False,
         raise ValueError("no topics requested")
     value_type = messages.schema["value"].dataType
     schema = StructType([messages.schema["episode_id"], StructField("sample_idx", LongType()), *(StructField(t, value_type) for t in names)])
-    code_of = {t: i for i, t in enumerate(names)}
     # The filter reaches the scan and only four narrow columns are shuffled, once, by episode.
     order = [F.col(c).desc() if reverse else F.col(c).asc() for c in ORDER]
     dealt = messages.where(F.col("topic").isin(names)).select("episode_id", "topic", *ORDER, "value").repartition("episode_id").sortWithinPartitions("episode_id", *order)
@@ -56,30 +54,25 @@ def assemble(messages: DataFrame, topics: Iterable[str], reverse: bool = False,
         open_episode, count = None, 0
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table if carry is None else pa.concat_tables([carry, table])
-            episodes = table.column("episode_id").combine_chunks()
-            if not len(episodes):
+            table = (table if carry is None else pa.concat_tables([carry, table])).combine_chunks()
+            if not table.num_rows:
                 continue
-            codes = np.fromiter((code_of[t] for t in table.column("topic").to_pylist()), dtype=np.int64, count=len(episodes))
-            ids = episodes.dictionary_encode()
-            marks = np.asarray(ids.indices.fill_null(-1))
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(marks)) + 1, [len(marks)]))
-            picked, index, owner = [], [], []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                episode = episodes[int(a)].as_py()
-                if episode != open_episode:
-                    open_episode, count = episode, 0
-                rows, held = fold_samples(codes[a:b], len(names))
-                picked.append(rows + a)
-                index.append(np.arange(count, count + len(rows)))
-                owner.append(np.full(len(rows), a))
-                count += len(rows)
-            rest = np.sort(held[held >= 0]) + a
-            carry = table.take(pa.array(rest)).combine_chunks()
-            rows = np.concatenate(picked)
-            if len(rows):
+            episodes = table.column("episode_id").combine_chunks()
+            codes = topic_codes(table.column("topic"), names)
+            starts, ends = segment_ends(run_marks(episodes))
+            full, rows = samples(codes, len(names), ends, starts)
+            run = np.searchsorted(starts, full, side="right") - 1
+            of_run = np.bincount(run, minlength=len(starts))
+            before = np.cumsum(of_run) - of_run
+            base = count if episodes[0].as_py() == open_episode else 0
+            index = np.arange(len(full)) - before[run] + np.where(run == 0, base, 0)
+            open_episode, count = episodes[len(episodes) - 1].as_py(), int(of_run[-1]) + (base if len(starts) == 1 else 0)
+            left = full[-1] + 1 if of_run[-1] else starts[-1]
+            rest = latest(codes, len(names), np.array([len(codes) - 1]))[0]
+            carry = table.take(pa.array(np.sort(rest[rest >= left])))
+            if len(full):
                 values = table.column("value").combine_chunks()
-                cols = [episodes.take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(index)), *(values.take(pa.array(rows[:, i])) for i in range(len(names)))]
+                cols = [episodes.take(pa.array(full)), pa.array(index), *(values.take(pa.array(rows[:, i])) for i in range(len(names)))]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     found = dealt.select("episode_id", "topic", "value").mapInArrow(fold, schema)

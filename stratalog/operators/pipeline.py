@@ -1,7 +1,7 @@
 """The sample pipeline: number, shard, skip, filter, transform, shuffle; batches and positional access.
 
-Positions are counted over the order (episode, position in the episode). They come from windows inside episodes and a running sum
-over one row per episode, so no task sees the whole stream.
+Positions are counted over the order (episode, position in the episode). They come from windows inside episodes and from the sizes of the
+episodes before, a prefix sum over ranges of episodes, so no task sees the whole stream or all episodes.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,15 +17,43 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from stratalog.functions.columns import guard
 from stratalog.operators.catalog import hash_order
+from stratalog.sources.shared import shared_folder
+
+#: Episodes whose sizes are summed on the driver; ranges of episodes in which more are.
+COLLECTED_EPISODES, RANGES = 100_000, 128
+
+
+def offsets(sizes: DataFrame, episode: str) -> DataFrame:
+    """(episode, _before): how many rows lie in the episodes before, from (episode, _n).
+
+    Up to COLLECTED_EPISODES sizes are summed where they are collected. More are written once, cut into ranges by a sample of names, and
+    summed in each range; only the ranges' totals are collected. No task sees all episodes.
+    """
+    spark = sizes.sparkSession
+    few = sizes.select(episode, "_n").limit(COLLECTED_EPISODES + 1).collect()  # takes partitions until it has enough
+    if few and len(few) <= COLLECTED_EPISODES:
+        table = pa.table([pa.array([r[0] for r in few]), pa.array([r[1] for r in few])], [episode, "_n"]).sort_by(episode)
+        n = table.column("_n").to_numpy()
+        table = pa.table([table.column(episode), pa.array(np.cumsum(n) - n)], [episode, "_before"])
+        return F.broadcast(spark.createDataFrame(table, StructType([sizes.schema[episode], StructField("_before", LongType())])))
+    path = shared_folder(spark, "sizes")
+    sizes.write.parquet(path)
+    kept = spark.read.schema(sizes.schema).parquet(path)
+    names = [r[0] for r in kept.where(F.col(episode).isNotNull()).orderBy(F.xxhash64(episode)).limit(8 * RANGES).orderBy(episode).select(episode).collect()]
+    cuts = F.array(*map(F.lit, names[7::8])).cast(f"array<{sizes.schema[episode].dataType.simpleString()}>")
+    placed = kept.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col(episode))))
+    totals = {r[0]: r[1] for r in placed.groupBy("_range").agg(F.sum("_n")).collect()}  # RANGES + 1 rows
+    order = sorted(totals)
+    start = F.create_map(*(F.lit(x).cast("bigint") for i, r in enumerate(order) for x in (r, sum(totals[o] for o in order[:i]))))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy(episode).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.select(episode, (inside + F.element_at(start, F.col("_range").cast("bigint"))).alias("_before"))
 
 
 def number(samples: DataFrame, order: list[str], episode: str = "episode_id") -> DataFrame:
-    """``samples`` with pos, the position from 0 in order of (episode, ``order``)."""
+    """``samples`` with pos, the position from 0 in order of (episode, ``order``); the sizes of episodes are counted at once."""
     inside = F.row_number().over(Window.partitionBy(episode).orderBy(*order)).cast("bigint") - 1
-    sizes = samples.groupBy(episode).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(episode).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(episode, before.alias("_before"))
-    return samples.withColumn("_in", inside).join(offsets, episode).withColumn("pos", F.col("_in") + F.col("_before")).drop("_in", "_before")
+    sizes = samples.where(F.col(episode).isNotNull()).groupBy(episode).agg(F.count(F.lit(1)).alias("_n"))
+    return samples.withColumn("_in", inside).join(offsets(sizes, episode), episode).withColumn("pos", F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
 def shard(numbered: DataFrame, world_size: int = 1, rank: int = 0, num_workers: int = 1, worker_id: int = 0) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stratalog.functions.columns import NS, guard
+from stratalog.operators.assemble import run_marks
+from stratalog.operators.chains import repaired
 
 
 def repair_step(time_base: int = NS) -> int:
@@ -21,8 +23,8 @@ def repair_step(time_base: int = NS) -> int:
 def monotonic(stamps: DataFrame, delta: int) -> DataFrame:
     """``stamps`` (episode_id, idx, stamp) with fixed: the stamp where it exceeds the fixed one before, else that plus delta.
 
-    Written with k, the number of rows before, fixed - k * delta is not a running maximum for delta over 1, so the fold is
-    sequential: it streams over sorted partitions and holds one number.
+    Written with k, the number of rows before, fixed - k * delta is not a running maximum for delta over 1: a row that keeps its stamp
+    decides which one is next to keep its own. The fold streams over sorted partitions, follows these chains and holds one number.
     """
     if delta < 1:
         raise ValueError("delta is 1 or more")
@@ -30,13 +32,14 @@ def monotonic(stamps: DataFrame, delta: int) -> DataFrame:
     dealt = stamps.select("episode_id", "idx", "stamp").repartition("episode_id").sortWithinPartitions("episode_id", "idx")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        episode, last, begun = None, 0, False
+        episode, last = None, None
         for batch in batches:
-            out = np.empty(batch.num_rows, dtype=np.int64)
-            for i, (e, t) in enumerate(zip(batch.column("episode_id").to_pylist(), batch.column("stamp").to_pylist(), strict=True)):
-                last = t if not begun or e != episode or t > last else last + delta
-                episode, begun = e, True
-                out[i] = last
+            if not batch.num_rows:
+                continue
+            episodes = batch.column("episode_id")
+            stamps = batch.column("stamp").to_numpy(zero_copy_only=False).astype(np.int64)
+            out = repaired(stamps, delta, run_marks(episodes), last if episodes[0].as_py() == episode else None)
+            episode, last = episodes[batch.num_rows - 1].as_py(), int(out[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], schema.names)
 
     return dealt.mapInArrow(fold, schema)

@@ -71,10 +71,12 @@ union all select root, file, pos from c where root not in ('ASIA', 'EUROPE')""",
     "catalog_size": f"select root, count(*) as n_files from ({_FILES}) group by 1",
     "extension_filter": f"select root || '/' || file as path from ({_FILES}) where file like '%.mcap'",
     "slice_index_table": """
-select 'int' as name, i::bigint as pos, i::varchar as idx from range(0, 4) t(i)
-union all select 'pair', i - 5, i::varchar from range(5, 8) t(i)
-union all select 'suffix', i - 5, i || '_x' from range(5, 7) t(i)
-union all select 'list', pos::bigint, idx from (values (0, '1'), (1, '2'), (2, '3'), (3, '8'), (4, '9'), (5, '12')) v(pos, idx)""",
+select name, pos, idx, n_name || '.mcap' as file from (
+  select 'int' as name, i::bigint as pos, i::varchar as idx from range(0, 4) t(i)
+  union all select 'pair', i - 5, i::varchar from range(5, 8) t(i)
+  union all select 'suffix', i - 5, i || '_x' from range(5, 7) t(i)
+  union all select 'list', pos::bigint, idx from (values (0, '1'), (1, '2'), (2, '3'), (3, '8'), (4, '9'), (5, '12')) v(pos, idx))
+left join nation on n_nationkey::varchar = idx""",
     "shard": f"select episode_id, sample_id, (pos - 5) // 6 as pos from ({_SAMPLES}) where pos % 6 = 5",
     "resume": f"select episode_id, sample_id, pos // 2 - 100 as pos from ({_SAMPLES}) where pos % 2 = 0 and pos // 2 >= 100",
     "pipeline_full": f"""
@@ -109,6 +111,7 @@ t as (select user_id, {_NS} as t, event_id as target_id from events where event_
 a as (select t.*, f.pts as np, f.event_id as ne from t asof left join f on t.user_id = f.user_id and t.t <= f.pts),
 b as (select a.*, f.pts as pp, f.event_id as pe from a asof left join f on a.user_id = f.user_id and a.t >= f.pts)
 select user_id, target_id, case when np is not null and pp is not null and t - pp < np - t then pe else coalesce(ne, -1) end as event_id from b""",
+    "assemble_long": "select * exclude (user_id) from (" + _assemble(["click", "purchase", "view"], user="'all'") + ")",
     "monotonic_ms": f"""
 with recursive s as ({_STAMPS}),
 r as (select user_id, idx, rn, stamp as fixed from s where rn = 1
@@ -134,9 +137,9 @@ union all select l_orderkey, l_linenumber, l_partkey, 'l_discount', l_discount f
 union all select l_orderkey, l_linenumber, l_partkey, 'l_tax', l_tax from lineitem""",
     "message_builders": f"select event_id as sequence, event_type as topic, 'foxglove.CompressedImage' as schema_name, {_NS} + 1 as log_time, 'jpeg' as format, {_NS} // 1000000000 as sec, {_NS} % 1000000000 as nsec from events",
     "encoding_lookup": """
-select encoding, channels::bigint as channels, itemsize::bigint as itemsize, dtype from (values ('rgb8', 3, 1, 'uint8'), ('bgr8', 3, 1, 'uint8'), ('8UC3', 3, 1, 'uint8'), ('rgba8', 4, 1, 'uint8'),
-  ('bgra8', 4, 1, 'uint8'), ('mono8', 1, 1, 'uint8'), ('8UC1', 1, 1, 'uint8'), ('mono16', 1, 2, 'uint16'), ('16UC1', 1, 2, 'uint16'), ('32FC1', 1, 4, 'float32')) v(encoding, channels, itemsize, dtype)""",
-    "encoding_inference": "select dtype, dims::bigint as dims, encoding from (values ('uint8', 2, '8UC1'), ('uint8', 3, '8UC3'), ('uint16', 2, '16UC1'), ('float32', 2, '32FC1')) v(dtype, dims, encoding)",
+select p_partkey, encoding, channels::bigint as channels, itemsize::bigint as itemsize, dtype from part join (values (0, 'rgb8', 3, 1, 'uint8'), (1, 'bgr8', 3, 1, 'uint8'), (2, '8UC3', 3, 1, 'uint8'), (3, 'rgba8', 4, 1, 'uint8'),
+  (4, 'bgra8', 4, 1, 'uint8'), (5, 'mono8', 1, 1, 'uint8'), (6, '8UC1', 1, 1, 'uint8'), (7, 'mono16', 1, 2, 'uint16'), (8, '16UC1', 1, 2, 'uint16'), (9, '32FC1', 1, 4, 'float32')) v(i, encoding, channels, itemsize, dtype) on i = p_partkey % 10""",
+    "encoding_inference": "select p_partkey, dtype, dims::bigint as dims, encoding from part join (values (0, 'uint8', 2, '8UC1'), (1, 'uint8', 3, '8UC3'), (2, 'uint16', 2, '16UC1'), (3, 'float32', 2, '32FC1')) v(i, dtype, dims, encoding) on i = p_partkey % 4",
     "raw_image_check": "select p_partkey, ((p_size % 5 + 1) * (p_size % 3 + 1) * 3)::bigint as n_bytes, 3::bigint as channels, 'uint8' as dtype from part",
     "pixel_sums": "select p_partkey, ((p_size % 5 + 1) * (p_size % 3 + 1) * 3 * ascii('x'))::bigint as total from part",
     "convert_union": f"""
@@ -157,7 +160,12 @@ select p_partkey, (p_size % 5 + 1)::bigint as width, (p_size % 3 + 1)::bigint as
     "episode_dataset": f"select pos, sample_idx, c_custkey, round(c_acctbal::float::double, 1) as balance from ({_CUSTOMERS})",
     "dataset_shard": f"select (pos - 1) // 2 - 3 as pos, c_custkey from ({_CUSTOMERS}) where pos % 2 = 1 and (pos - 1) // 2 >= 3",
     "dataset_lengths": f"select count(*) as n_samples, count(distinct c_nationkey) as n_episodes, min_by(c_custkey, pos) as first_key, max_by(c_custkey, pos) as last_key from ({_CUSTOMERS})",
-    "slices_config": "select name, root, pos::bigint as pos, idx from (values ('list', '', 0, '2'), ('list', '', 1, '3'), ('list', '', 2, '7'), ('dict', 'a', 0, '0'), ('dict', 'a', 1, '1'), ('dict', 'b', 0, '0'), ('dict', 'b', 1, '9')) v(name, root, pos, idx)",
+    "slices_config": f"""
+with f as (select root, file, row_number() over (partition by root order by file) - 1 as i, count(*) over (partition by root) as n from ({_FILES})),
+c(name, root, pos, i) as (values ('list', null, 0, 2), ('list', null, 1, 3), ('list', null, 2, 0), ('dict', 'ASIA', 0, 0), ('dict', 'ASIA', 1, 1), ('dict', 'EUROPE', 0, 0), ('dict', 'EUROPE', 1, 3))
+select name, f.root, pos::bigint as pos, file from c join f on f.i = c.i and (c.root is null or c.root = f.root)
+union all select name, root, i, file from f, (values ('none'), ('number')) v(name)
+union all select 'dict', root, i, file from f where root not in ('ASIA', 'EUROPE')""",
     "wall_clock": "select 1::bigint as n_values, true as later",
     "stream_assembly": _assemble(["click", "view"]),
     "stream_monotonic": f"""
@@ -172,5 +180,6 @@ from (select event_type, value, (case when max(value) over w = min(value) over w
 group by event_type, s""",
     "sliding_last_n": "select event_type, event_id, value from events qualify row_number() over (partition by event_type order by event_id desc) <= 200",
     "sliding_count": "select event_id, round(avg(round(value * 100)::bigint) over w, 6) as mean, count(*) over w as held from events window w as (partition by user_id order by event_id rows 9 preceding)",
-    "series_shape": "select 'Field_' || i as field, 100::bigint as steps, 500::bigint as points from range(1, 5) t(i)",
+    "series_shape": "select r_name, 'Field_' || (r_regionkey + 1) as field, 100::bigint as steps, 500::bigint as points from region",
 }
+ORACLES["monotonic_long"] = ORACLES["monotonic_ms"]

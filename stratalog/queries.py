@@ -13,6 +13,7 @@ from stratalog.functions import payload as pay
 from stratalog.operators import assemble as asm
 from stratalog.operators import catalog as cat
 from stratalog.operators import pipeline as pipe
+from stratalog.operators import segments as seg
 from stratalog.operators import series, zipping
 from stratalog.operators import stamps as st
 from stratalog.plans.dataset import attachment_items
@@ -140,7 +141,9 @@ def extension_filter(spark: SparkSession, d: str) -> DataFrame:
 def slice_index_table(spark: SparkSession, d: str) -> DataFrame:
     cases = {"int": 4, "pair": (5, 8), "suffix": (5, 7, "_x"), "list": [(1, 4), (8, 10), 12], "empty": ()}
     rows = [(name, pos, str(i)) for name, case in cases.items() for pos, i in enumerate(slice_indexes(case))]
-    return spark.createDataFrame(rows, "name string, pos bigint, idx string")
+    named = spark.createDataFrame(rows, "name string, pos bigint, idx string")
+    n = m.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("idx"), F.concat("n_name", F.lit(".mcap")).alias("file"))
+    return n.join(F.broadcast(named), "idx", "right").select("name", "pos", "idx", "file")
 
 
 # ---- the pipeline
@@ -263,6 +266,18 @@ def monotonic_ms(spark: SparkSession, d: str) -> DataFrame:
     return _user(st.monotonic(m.stamps(spark, d), st.repair_step(1_000_000))).select("user_id", "idx", "fixed")
 
 
+@query
+def monotonic_long(spark: SparkSession, d: str) -> DataFrame:
+    """The same repair with each episode in as many tasks as it needs."""
+    return _user(seg.monotonic_long(m.stamps(spark, d), st.repair_step(1_000_000))).select("user_id", "idx", "fixed")
+
+
+@query
+def assemble_long(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one episode, assembled in many tasks."""
+    return seg.assemble_long(m.msg_log(spark, d).withColumn("episode_id", F.lit("all")), ["click", "view", "purchase"]).drop("episode_id")
+
+
 @query
 def monotonic_unit(spark: SparkSession, d: str) -> DataFrame:
     return _user(st.monotonic_unit(m.stamps(spark, d))).select("user_id", "idx", "fixed")
@@ -343,14 +358,17 @@ def message_builders(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def encoding_lookup(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in pay.ENCODINGS], "encoding string")
-    return names.select("encoding", pay.encoding_shape(F.col("encoding")).alias("s")).select("encoding", F.col("s.channels").cast("bigint").alias("channels"), F.col("s.itemsize").cast("bigint").alias("itemsize"), "s.dtype")
+    names = F.array(*map(F.lit, pay.ENCODINGS))
+    p = m.table(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(pay.ENCODINGS)).cast("int")).alias("encoding"))
+    return p.select("p_partkey", "encoding", pay.encoding_shape(F.col("encoding")).alias("s")).select("p_partkey", "encoding", F.col("s.channels").cast("bigint").alias("channels"), F.col("s.itemsize").cast("bigint").alias("itemsize"), "s.dtype")
 
 
 @query
 def encoding_inference(spark: SparkSession, d: str) -> DataFrame:
-    cases = spark.createDataFrame([("uint8", 2), ("uint8", 3), ("uint16", 2), ("float32", 2)], "dtype string, dims bigint")
-    return cases.select("dtype", "dims", pay.infer_encoding(F.col("dtype"), F.col("dims")).alias("encoding"))
+    kinds = F.array(*map(F.lit, ("uint8", "uint8", "uint16", "float32")))
+    case = (F.col("p_partkey") % 4).cast("int")
+    cases = m.table(spark, d, "part").select("p_partkey", F.get(kinds, case).alias("dtype"), F.when(case == 1, 3).otherwise(2).cast("bigint").alias("dims"))
+    return cases.select("p_partkey", "dtype", "dims", pay.infer_encoding(F.col("dtype"), F.col("dims")).alias("encoding"))
 
 
 @query
@@ -441,4 +459,7 @@ def sliding_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def series_shape(spark: SparkSession, d: str) -> DataFrame:
-    return series.sample_series(spark).groupBy("field").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.size("values")).cast("bigint").alias("points"))
+    """A synthetic series per region, named after it."""
+    r = m.table(spark, d, "region").select(F.concat(F.lit("Field_"), F.col("r_regionkey") + 1).alias("field"), "r_name")
+    made = series.sample_series(spark, fields=r.count()).groupBy("field").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.size("values")).cast("bigint").alias("points"))
+    return r.join(made, "field").select("r_name", "field", "steps", "points")

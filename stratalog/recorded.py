@@ -10,7 +10,7 @@ from stratalog.functions import columns as col
 from stratalog.functions import payload as pay
 from stratalog.operators import stamps as st
 from stratalog.plans.dataset import DatasetConfig, EpisodeDataset, Levels
-from stratalog.plans.slices import resolve_slices
+from stratalog.plans.slices import pick, resolve_slices
 from stratalog.queries import query
 from stratalog.sources import episodes as src
 from stratalog.sources.shared import shared_folder
@@ -117,11 +117,16 @@ def dataset_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def slices_config(spark: SparkSession, d: str) -> DataFrame:
-    """Slice settings by root, as a list for all roots, and absent."""
-    cases = {"list": [(2, 4), 7], "none": None, "number": 5}
-    rows = [(name, "", pos, str(i)) for name, case in cases.items() for pos, i in enumerate(resolve_slices(case) or [])]
-    rows += [("dict", root, pos, str(i)) for root, own in resolve_slices({"a": 2, "b": [(0, 1), 9]}).items() for pos, i in enumerate(own)]
-    return spark.createDataFrame(rows, "name string, root string, pos bigint, idx string")
+    """Slice settings by root, as a list for all roots, and absent, and the files of each region that they pick."""
+    cases = {"list": [(2, 4), 0], "none": None, "number": 5, "dict": {"ASIA": 2, "EUROPE": [(0, 1), 3], "NOWHERE": 1}}
+    files = m.episode_files(spark, d).groupBy("root").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()  # a row a root
+    rows = []
+    for name, case in cases.items():
+        own = resolve_slices(case)
+        for root, listed in files:
+            picked = own.get(root, []) if isinstance(own, dict) else own or []
+            rows += [(name, root, pos, file) for pos, file in enumerate(pick(listed, picked))]
+    return spark.createDataFrame(rows, "name string, root string, pos bigint, file string")
 
 
 @query
