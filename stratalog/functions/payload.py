@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructField, StructType
 
+from stratalog.functions import tables
 from stratalog.functions.columns import NS, as_float_vector, guard, split_stamp
 from stratalog.functions.flatbuf import Field, decode_table, encode_table
 
@@ -63,19 +64,35 @@ def encode_compressed_image(data: bytes, stamp_ns: int, image_format: str = "jpe
     return encode_table(COMPRESSED_IMAGE, {"timestamp": divmod(stamp_ns, NS), "frame_id": frame_id, "data": data, "format": image_format})
 
 
-def _raw_image_row(data: bytes) -> dict:
-    t = decode_table(RAW_IMAGE, data)
-    decode_raw_image(t["width"], t["height"], t["step"], t["encoding"], t["data"] or b"")  # checks the geometry
-    channels, _, kind = ENCODINGS[t["encoding"]]
-    return {"width": t["width"], "height": t["height"], "channels": channels, "dtype": kind, "encoding": t["encoding"], "frame_id": t["frame_id"], "data": t["data"]}
+def _float_arrays(column: pa.Array) -> pa.Array:
+    return tables.decode(FLOAT_ARRAY, column)["values"]
 
 
-def _compressed_image_row(data: bytes) -> dict:
-    t = decode_table(COMPRESSED_IMAGE, data)
-    if t["format"] != "jpeg":
-        raise ValueError(f"expected a jpeg image, not {t['format']}")
-    sec, nsec = t["timestamp"] or (None, None)
-    return {"format": t["format"], "frame_id": t["frame_id"], "sec": sec, "nsec": nsec, "data": t["data"]}
+def _raw_images(column: pa.Array) -> pa.Array:
+    """Rows of raw-image tables as _RAW_TYPE; unknown encodings and geometries that do not fit their bytes raise."""
+    t = tables.decode(RAW_IMAGE, column)
+    valid = column.is_valid()
+    names = pa.array(list(ENCODINGS), pa.string())
+    code = pc.index_in(t["encoding"], names)
+    if pc.any(pc.and_(valid, code.is_null())).as_py():
+        raise NotImplementedError(f"unsupported encoding: {t['encoding'].filter(pc.and_(valid, code.is_null()))[0].as_py()}")
+    channels, size = (np.array([shape[i] for shape in ENCODINGS.values()], dtype=np.int64)[np.asarray(code.fill_null(0))] for i in (0, 1))
+    width, height, step = (np.asarray(t[c].fill_null(0)) for c in ("width", "height", "step"))
+    held = np.asarray(pc.binary_length(t["data"]).fill_null(0)).astype(np.int64)
+    bad = np.asarray(valid) & ((step // (channels * size) != width) | (held != width * height * channels * size))
+    if bad.any():
+        i = int(np.argmax(bad))
+        raise ValueError(f"rows of {step[i]} bytes and {held[i]} bytes of data do not hold {width[i]} x {height[i]} pixels")
+    kinds = pa.array([kind for _, _, kind in ENCODINGS.values()], pa.string()).take(code)
+    columns = [t["width"], t["height"], pa.array(channels.astype(np.int32)), kinds, t["encoding"], t["frame_id"], t["data"]]
+    return pa.StructArray.from_arrays(columns, ["width", "height", "channels", "dtype", "encoding", "frame_id", "data"], mask=pc.invert(valid))
+
+
+def _compressed_images(column: pa.Array) -> pa.Array:
+    """Rows of compressed-image tables as _COMPRESSED_TYPE, of any format: its name says what the bytes are."""
+    t = tables.decode(COMPRESSED_IMAGE, column)
+    columns = [t["format"], t["frame_id"], t["timestamp"].field("sec"), t["timestamp"].field("nsec"), t["data"]]
+    return pa.StructArray.from_arrays(columns, ["format", "frame_id", "sec", "nsec", "data"], mask=column.is_null())
 
 
 def payload_type(schema_name: str) -> str:
@@ -92,7 +109,7 @@ def decode_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
-    readers = {"FloatArray": decode_float_array, "RawImage": _raw_image_row, "CompressedImage": _compressed_image_row}
+    readers = {"FloatArray": _float_arrays, "RawImage": _raw_images, "CompressedImage": _compressed_images}
     fields = [StructField(f.name, _parse_datatype_string(payload_type(schemas[f.name]))) if f.name in schemas else f for f in df.schema]
     kinds = {f.name: to_arrow_type(f.dataType) for f in fields if f.name in schemas}
 
@@ -102,8 +119,7 @@ def decode_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
             for f in fields:
                 col = batch.column(f.name)
                 if f.name in schemas:
-                    read = readers[schemas[f.name].rpartition(".")[2]]
-                    col = pa.array([None if b is None else read(b) for b in col.to_pylist()], kinds[f.name])
+                    col = readers[schemas[f.name].rpartition(".")[2]](col).cast(kinds[f.name])
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
@@ -115,8 +131,11 @@ def encode_compressed_images(df: DataFrame, data: str, stamp: str, image_format:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables = [None if b is None else encode_compressed_image(b, t or 0, image_format, frame_id) for b, t in zip(batch.column(data).to_pylist(), batch.column(stamp).to_pylist(), strict=True)]
-            yield batch.set_column(batch.schema.get_field_index(data), data, pa.array(tables, pa.binary()))
+            own, n = batch.column(data), batch.num_rows
+            ns = np.asarray(batch.column(stamp).fill_null(0)).astype(np.int64)
+            time = pa.StructArray.from_arrays([pa.array(ns // NS), pa.array(ns % NS)], ["sec", "nsec"])
+            made = tables.encode(COMPRESSED_IMAGE, {"timestamp": time, "frame_id": pa.repeat(frame_id, n), "data": own.fill_null(b""), "format": pa.repeat(image_format, n)}, n)
+            yield batch.set_column(batch.schema.get_field_index(data), data, pc.if_else(own.is_valid(), made, pa.scalar(None, pa.binary())))
 
     return df.mapInArrow(encode, df.schema)
 
@@ -128,20 +147,21 @@ def encode_raw_images(df: DataFrame, image: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables = [None if row is None else encode_table(RAW_IMAGE, {f: row[f] for f in fields}) for row in batch.column(image).to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index(image), image, pa.array(tables, pa.binary()))
+            own = batch.column(image)
+            made = tables.encode(RAW_IMAGE, {f: pc.struct_field(own, f) for f in fields}, batch.num_rows)
+            yield batch.set_column(batch.schema.get_field_index(image), image, pc.if_else(own.is_valid(), made, pa.scalar(None, pa.binary())))
 
     return df.mapInArrow(encode, schema)
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def decode_float_arrays(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else decode_float_array(b))
+@F.arrow_udf(ArrayType(FloatType()))
+def decode_float_arrays(data: pa.Array) -> pa.Array:
+    return _float_arrays(data)
 
 
-@F.pandas_udf(BinaryType())
-def encode_float_arrays(values: pd.Series) -> pd.Series:
-    return values.map(encode_float_array)
+@F.arrow_udf(BinaryType())
+def encode_float_arrays(values: pa.Array) -> pa.Array:
+    return tables.encode(FLOAT_ARRAY, {"values": values}, len(values))
 
 
 def encoding_shape(encoding: Column) -> Column:
@@ -188,16 +208,40 @@ def decode_raw_image(width: int, height: int, step: int, encoding: str, data: by
 
 
 def pixel_rows(images: DataFrame) -> DataFrame:
-    """Decode raw images to their pixels: a DataFrame of the input's columns with ``pixels`` array<double>, row-major."""
+    """Decode raw images to their pixels: a DataFrame of the input's columns with ``pixels`` array<double>, row-major.
+
+    Unknown encodings and padded rows raise. Images of one encoding are decoded together.
+    """
     names = [c for c in images.columns if c != "data"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in images.dtypes if n != "data") + ", pixels array<double>"
+    schema = StructType([*(images.schema[n] for n in names), StructField("pixels", ArrayType(DoubleType()))])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pixels = [decode_raw_image(r.width, r.height, r.step, r.encoding, r.data).ravel().astype(float).tolist() for r in batch.itertuples()]
-            yield batch[names].assign(pixels=pixels)
-
-    return images.mapInPandas(decode, schema)
+            n = batch.num_rows
+            code = np.asarray(pc.index_in(batch.column("encoding"), pa.array(list(ENCODINGS), pa.string())).fill_null(-1))
+            if n and code.min() < 0:
+                raise NotImplementedError(f"unsupported encoding: {batch.column('encoding')[int(np.argmin(code))].as_py()}")
+            parts, order = [], []
+            for c in np.unique(code).tolist():
+                rows = np.flatnonzero(code == c)
+                channels, size, kind = list(ENCODINGS.values())[c]
+                own = batch.take(pa.array(rows))
+                raw = own.column("data").cast(pa.large_binary())
+                held = np.asarray(pc.binary_length(raw)).astype(np.int64)
+                width, height, step = (np.asarray(own.column(x)).astype(np.int64) for x in ("width", "height", "step"))
+                if ((step // (channels * size) != width) | (held != width * height * channels * size)).any():
+                    raise ValueError("image rows do not hold their pixels")
+                data = raw.buffers()[2]
+                flat = np.frombuffer(data, dtype=np.dtype(kind).newbyteorder("<"))[: int(held.sum()) // size] if data is not None and data.size else np.zeros(0)
+                offsets = np.concatenate([[0], np.cumsum(held // size)]).astype(np.int32)
+                parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.float64))))
+                order.append(rows)
+            if parts:
+                back = np.empty(n, dtype=np.int64)
+                back[np.concatenate(order)] = np.arange(n)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.concat_arrays(parts).take(pa.array(back))], schema.names)
+
+    return images.mapInArrow(decode, schema)
 
 
 def compressed_image(topic: Column, data: Column, publish_time: Column, log_time: Column, image_format: str = "jpeg", frame_id: str = "") -> Column:

@@ -140,6 +140,10 @@ union all select l_orderkey, l_linenumber, l_partkey, 'l_tax', l_tax from lineit
 select p_partkey, encoding, channels::bigint as channels, itemsize::bigint as itemsize, dtype from part join (values (0, 'rgb8', 3, 1, 'uint8'), (1, 'bgr8', 3, 1, 'uint8'), (2, '8UC3', 3, 1, 'uint8'), (3, 'rgba8', 4, 1, 'uint8'),
   (4, 'bgra8', 4, 1, 'uint8'), (5, 'mono8', 1, 1, 'uint8'), (6, '8UC1', 1, 1, 'uint8'), (7, 'mono16', 1, 2, 'uint16'), (8, '16UC1', 1, 2, 'uint16'), (9, '32FC1', 1, 4, 'float32')) v(i, encoding, channels, itemsize, dtype) on i = p_partkey % 10""",
     "encoding_inference": "select p_partkey, dtype, dims::bigint as dims, encoding from part join (values (0, 'uint8', 2, '8UC1'), (1, 'uint8', 3, '8UC3'), (2, 'uint16', 2, '16UC1'), (3, 'float32', 2, '32FC1')) v(i, dtype, dims, encoding) on i = p_partkey % 4",
+    "all_encodings": """
+select p_partkey, encoding, ((p_size % 5 + 1) * (p_size % 3 + 1) * channels)::bigint as n, ((p_size % 5 + 1) * (p_size % 3 + 1) * channels * pixel)::bigint as total
+from part join (values (0, 'rgb8', 3, 120), (1, 'bgr8', 3, 120), (2, '8UC3', 3, 120), (3, 'rgba8', 4, 120), (4, 'bgra8', 4, 120), (5, 'mono8', 1, 120), (6, '8UC1', 1, 120), (7, 'mono16', 1, 376), (8, '16UC1', 1, 376), (9, '32FC1', 1, 1)) v(i, encoding, channels, pixel)
+on i = p_partkey % 10""",
     "raw_image_check": "select p_partkey, ((p_size % 5 + 1) * (p_size % 3 + 1) * 3)::bigint as n_bytes, 3::bigint as channels, 'uint8' as dtype from part",
     "pixel_sums": "select p_partkey, ((p_size % 5 + 1) * (p_size % 3 + 1) * 3 * ascii('x'))::bigint as total from part",
     "convert_union": f"""

@@ -385,6 +385,21 @@ def pixel_sums(spark: SparkSession, d: str) -> DataFrame:
     return pay.pixel_rows(images).select("p_partkey", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("total"))
 
 
+@query
+def all_encodings(spark: SparkSession, d: str) -> DataFrame:
+    """Raw images of all ten encodings in one column, as payload bytes and back to pixels."""
+    names = F.array(*map(F.lit, pay.ENCODINGS))
+    p = m.table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5 + 1).cast("bigint").alias("width"), (F.col("p_size") % 3 + 1).cast("bigint").alias("height"), F.get(names, (F.col("p_partkey") % len(pay.ENCODINGS)).cast("int")).alias("encoding"))
+    p = p.select("*", pay.encoding_shape(F.col("encoding")).alias("s"))
+    pixel = F.when(F.col("s.itemsize") == 1, "78").when(F.col("s.itemsize") == 2, "7801").otherwise("0000803F")
+    data = F.unhex(F.repeat(pixel, (F.col("width") * F.col("height") * F.col("s.channels")).cast("int")))
+    image = F.struct(F.lit("").alias("frame_id"), "width", "height", "encoding", (F.col("width") * F.col("s.channels") * F.col("s.itemsize")).alias("step"), data.alias("data"))
+    read = pay.decode_columns(pay.encode_raw_images(p.select("p_partkey", image.alias("image")), "image"), {"image": "foxglove.RawImage"})
+    back = read.select("p_partkey", "image.*").select("p_partkey", "width", "height", "encoding", "data", pay.encoding_shape(F.col("encoding")).alias("s"))
+    rows = pay.pixel_rows(back.select("p_partkey", "width", "height", "encoding", (F.col("width") * F.col("s.channels") * F.col("s.itemsize")).alias("step"), "data"))
+    return rows.select("p_partkey", "encoding", F.size("pixels").cast("bigint").alias("n"), F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("total"))
+
+
 # ---- conversion and containers
 
 
