@@ -88,9 +88,13 @@ def _raw_images(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(columns, ["width", "height", "channels", "dtype", "encoding", "frame_id", "data"], mask=pc.invert(valid))
 
 
-def _compressed_images(column: pa.Array) -> pa.Array:
-    """Rows of compressed-image tables as _COMPRESSED_TYPE, of any format: its name says what the bytes are."""
+def _compressed_images(column: pa.Array, formats: tuple[str, ...] | None = None) -> pa.Array:
+    """Rows of compressed-image tables as _COMPRESSED_TYPE; a format that is not among ``formats`` raises (None: any will do)."""
     t = tables.decode(COMPRESSED_IMAGE, column)
+    if formats is not None:
+        odd = pc.and_(column.is_valid(), pc.invert(pc.is_in(t["format"], pa.array(formats, pa.string()))))
+        if pc.any(odd).as_py():
+            raise ValueError(f"expected a {' or '.join(formats)} image, not {t['format'].filter(odd)[0].as_py()}")
     columns = [t["format"], t["frame_id"], t["timestamp"].field("sec"), t["timestamp"].field("nsec"), t["data"]]
     return pa.StructArray.from_arrays(columns, ["format", "frame_id", "sec", "nsec", "data"], mask=column.is_null())
 
@@ -104,12 +108,15 @@ def payload_type(schema_name: str) -> str:
     return kinds[short]
 
 
-def decode_columns(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
-    """``df`` with each named binary column decoded by its schema, in one pass over Arrow batches."""
+def decode_columns(df: DataFrame, schemas: dict[str, str], formats: tuple[str, ...] | None = ("jpeg",)) -> DataFrame:
+    """``df`` with each named binary column decoded by its schema, in one pass over Arrow batches.
+
+    Compressed images of other ``formats`` raise; with None any passes, its name beside its bytes.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
-    readers = {"FloatArray": _float_arrays, "RawImage": _raw_images, "CompressedImage": _compressed_images}
+    readers = {"FloatArray": _float_arrays, "RawImage": _raw_images, "CompressedImage": lambda column: _compressed_images(column, formats)}
     fields = [StructField(f.name, _parse_datatype_string(payload_type(schemas[f.name]))) if f.name in schemas else f for f in df.schema]
     kinds = {f.name: to_arrow_type(f.dataType) for f in fields if f.name in schemas}
 
