@@ -10,7 +10,7 @@ from stratalog.functions import payload as pay
 from stratalog.queries import query
 from stratalog.sources import datasource, indexed
 from stratalog.sources.shared import shared_folder
-from stratalog.streaming import assembly as live
+from stratalog.streaming import stateful
 
 #: 2024-01-15 and 2024-01-20, in nanoseconds.
 _MIDDLE, _LATER = 1705276800000000000, 1705708800000000000
@@ -86,7 +86,7 @@ def converted_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files that arrive in three slices of time, streamed through assembly in a micro-batch each, over a restart from the checkpoint."""
+    """Files that arrive in three slices of time, streamed through assembly in a micro-batch each, over restarts from the checkpoint."""
     datasource.register(spark)
     root, out, log = (shared_folder(spark, f"arriving{x}") for x in ("", "-out", "-log"))
     rows = _event_rows(spark, d, ("click", "view"))
@@ -94,21 +94,12 @@ def stream_files(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("episode_id", F.concat(slice_of.cast("string"), F.lit("-"), "episode_id"))
     kind = "user_digit string, sample_idx bigint, click double, view double"
 
-    def begin():  # noqa: ANN202
+    for n in range(3):
+        indexed.save(indexed.file_parts(rows.where(slice_of == n)), root)
         read = spark.readStream.format("episodes").load(root)
         name = F.regexp_extract("episode_id", r"-(\d)\.mcap$", 1).alias("episode_id")
         values = read.select(name, "topic", "log_time", "sequence", pay.decode_float_arrays("data")[0].cast("double").alias("value"))
-        made = live.assemble_stream(values, ["click", "view"])
-        return made.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").start()
-
-    running = None
-    for n in range(3):
-        indexed.save(indexed.file_parts(rows.where(slice_of == n)), root)
-        if running is not None and n == 2:  # starts again between two batches
-            running.stop()
-            running = None
-        running = running or begin()
-        running.processAllAvailable()
-    running.stop()
+        made = stateful.assemble(values, ["click", "view"])
+        made.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     read = spark.read.schema(kind.replace("user_digit", "episode_id")).parquet(out)
     return read.select(F.col("episode_id").cast("bigint").alias("user_digit"), "sample_idx", F.round("click", 2).alias("click"), F.round("view", 2).alias("view"))

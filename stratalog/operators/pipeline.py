@@ -6,6 +6,7 @@ episodes before, a prefix sum over ranges of episodes, so no task sees the whole
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Callable, Iterator
 
@@ -78,7 +79,7 @@ def block_shuffle(numbered: DataFrame, block: int, seed: int, key: str) -> DataF
     return numbered.withColumn("_block", of_block).withColumn("out_pos", inside + F.col("_block") * block).drop("_block")
 
 
-def buffer_order(n: int, size: int, rng: random.Random) -> Iterator[int]:
+def buffer_order(n: int, size: int, rng: random.Random | Counter) -> Iterator[int]:
     """The order in which a bounded shuffle buffer emits positions 0..n-1."""
     held: list[int] = []
     for i in range(n):
@@ -89,7 +90,27 @@ def buffer_order(n: int, size: int, rng: random.Random) -> Iterator[int]:
     yield from held
 
 
-def bounded_shuffle(samples: DataFrame, size: int, seed: int, order: list[str], episode: str = "episode_id") -> DataFrame:
+class Counter:
+    """Choices of a shuffle buffer by a hash of (seed, episode, step): they can be repeated anywhere, from any step on."""
+
+    def __init__(self, seed: int, episode: object, step: int = 0) -> None:
+        self._name, self.step = f"{seed}:{episode}", step
+
+    def randrange(self, n: int) -> int:
+        self.step += 1
+        return int(hashlib.md5(f"{self._name}:{self.step - 1}".encode()).hexdigest()[:8], 16) % n
+
+    def shuffle(self, held: list) -> None:
+        """Take one after the other, by choice."""
+        held[:] = [held.pop(self.randrange(len(held))) for _ in range(len(held))]
+
+
+def counted_shuffle(samples: DataFrame, size: int, seed: int, order: list[str], episode: str = "episode_id") -> DataFrame:
+    """bounded_shuffle() with choices by Counter, which SQL and streams can repeat."""
+    return bounded_shuffle(samples, size, seed, order, episode, Counter)
+
+
+def bounded_shuffle(samples: DataFrame, size: int, seed: int, order: list[str], episode: str = "episode_id", choices: type | None = None) -> DataFrame:
     """out_pos of each row under a shuffle buffer of ``size`` rows per episode, seeded by (seed, episode).
 
     A row never comes out more than size - 1 places early; size 1 changes nothing, 0 or less means no shuffle. The fold streams
@@ -106,7 +127,7 @@ def bounded_shuffle(samples: DataFrame, size: int, seed: int, order: list[str],
         for batch in batches:
             for name, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held, first = [], 0
-                for i in buffer_order(n, size, random.Random(f"{seed}:{name}")):
+                for i in buffer_order(n, size, choices(seed, name) if choices else random.Random(f"{seed}:{name}")):
                     held.append(i)
                     if len(held) == 65_536:
                         yield _block(name, held, first)

@@ -177,6 +177,7 @@ with recursive s as ({_STAMPS}),
 r as (select user_id, idx, rn, stamp as fixed from s where rn = 1
   union all select s.user_id, s.idx, s.rn, case when s.stamp > r.fixed then s.stamp else r.fixed + 1000 end from r join s on s.user_id = r.user_id and s.rn = r.rn + 1)
 select user_id, idx, fixed from r""",
+    "stream_latest": "select event_type, event_id, value from events qualify row_number() over (partition by event_type order by event_id desc) <= 200",
     "channel_ids": "select user_id as episode_id, event_type as topic, row_number() over (partition by user_id order by min(ts), event_type) as channel_id from events group by 1, 2",
     "field_range": """
 select event_type, case when event_type = 'error' then 0.0::double else round(min(value) - s * 0.1, 6) end as low, case when event_type = 'error' then 5.0::double else round(max(value) + s * 0.1, 6) end as high
@@ -187,3 +188,14 @@ group by event_type, s""",
     "series_shape": "select r_name, 'Field_' || (r_regionkey + 1) as field, 100::bigint as steps, 500::bigint as points from region",
 }
 ORACLES["monotonic_long"] = ORACLES["monotonic_ms"]
+
+_SHUFFLED = """
+with recursive e as (select user_id, list(event_id order by event_id) as ids, count(*) as n from events group by 1),
+r as (
+  select user_id, 0::bigint as step, 0::bigint as read, []::bigint[] as held, null::bigint as event_id, ids, n from e
+  union all
+  select user_id, step + 1, filled, list_filter(now, lambda x, i: i <> chosen + 1), now[chosen + 1], ids, n from (
+    select *, ('0x' || substr(md5('42:' || user_id || ':' || step), 1, 8))::bigint % len(now) as chosen from (
+      select *, held || ids[read + 1:filled] as now from (select *, least(n, step + 16) as filled from r where step < n))))
+select user_id, event_id, step - 1 as out_pos from r where step > 0"""
+ORACLES["counted_shuffle"] = ORACLES["stream_shuffle"] = _SHUFFLED

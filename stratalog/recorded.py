@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from stratalog import model as m
 from stratalog.functions import columns as col
 from stratalog.functions import payload as pay
+from stratalog.operators import pipeline as pipe
 from stratalog.operators import stamps as st
 from stratalog.plans.dataset import DatasetConfig, EpisodeDataset, Levels
 from stratalog.plans.slices import pick, resolve_slices
 from stratalog.queries import query
 from stratalog.sources import episodes as src
 from stratalog.sources.shared import shared_folder
-from stratalog.streaming import assembly as live
+from stratalog.streaming import stateful
 
 # ---- records of container files
 
@@ -139,25 +144,91 @@ def wall_clock(spark: SparkSession, d: str) -> DataFrame:
 # ---- streams
 
 
-def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """What a stream yields from all there is, appended to a table in the shared folder."""
+#: The last days of the first two of three slices in which events arrive.
+_ARRIVALS = ("2024-01-11", "2024-01-21")
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, at: str, start: Callable[[DataFrame], Any]) -> None:
+    """Rows that arrive in three slices by the time in column ``at``, a micro-batch each; the stream starts again for each.
+
+    ``start`` makes a writer of the stream of rows.
+    """
+    root = shared_folder(spark, "arriving")
+    day = F.date_format(at, "yyyy-MM-dd")
+    slice_of = sum((day > last).cast("int") for last in _ARRIVALS)
+    for n in range(len(_ARRIVALS) + 1):
+        rows.where(slice_of == n).drop(at).write.parquet(f"{root}/{n}")
+        # The stream does not run while a slice is written: it would see files of it one by one.
+        stream = spark.readStream.schema(rows.drop(at).schema).option("recursiveFileLookup", "true").parquet(root)
+        start(stream).trigger(availableNow=True).start().awaitTermination()
+
+
+def _drained(spark: SparkSession, rows: DataFrame, at: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an operator makes of a stream, appended to a table in the shared folder."""
     out, log = shared_folder(spark, "stream"), shared_folder(spark, "stream-log")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    schema = []
+
+    def start(stream: DataFrame) -> Any:  # noqa: ANN401
+        made = operator(stream)
+        schema[:] = [made.schema]
+        return made.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append")
+
+    _arriving(spark, rows, at, start)
+    return spark.read.schema(schema[0]).parquet(out)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    # A pattern, as a stream's source is a folder or a pattern; all files come in one micro-batch, in which an episode is sorted.
-    return spark.readStream.schema(m.table(spark, d, "events").schema).parquet(f"{d}/{{events.parquet}}")
+    """events with when they arrive."""
+    return m.table(spark, d, "events").withColumn("arrives", F.col("ts").cast("timestamp"))
+
+
+def _when(df: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    return df.join(events.select(F.col("event_id").alias(key), "arrives"), key)
+
+
+def _by_thirds(df: DataFrame, order: WindowSpec) -> DataFrame:
+    """Rows of which each episode's first third arrives first."""
+    days = F.array(F.lit("2024-01-01"), F.lit("2024-01-15"), F.lit("2024-01-30"))
+    return df.withColumn("arrives", F.to_timestamp(F.element_at(days, F.ntile(3).over(order))))
 
 
 @query
 def stream_assembly(spark: SparkSession, d: str) -> DataFrame:
-    found = live.assemble_stream(m.messages_of(_events(spark, d)), ["click", "view"])
-    return _drained(spark, found).withColumnRenamed("episode_id", "user_id")
+    """Vectors assembled over three micro-batches and restarts."""
+    events = _events(spark, d)
+    rows = _when(m.messages_of(events).withColumn("value", F.array("value", F.lit(0.0))), events, "sequence")
+    found = _drained(spark, rows, "arrives", lambda s: stateful.assemble(s, ["click", "view"]))
+    return found.select(F.col("episode_id").alias("user_id"), "sample_idx", F.col("click")[0].alias("click"), F.col("view")[0].alias("view"))
 
 
 @query
 def stream_monotonic(spark: SparkSession, d: str) -> DataFrame:
-    found = live.monotonic_stream(m.stamps_of(_events(spark, d)), st.repair_step(1_000_000))
-    return _drained(spark, found).select(F.col("episode_id").alias("user_id"), "idx", "fixed")
+    """Stamps repaired over three micro-batches and restarts; each brings a third of every user's stamps."""
+    rows = _by_thirds(m.stamps(spark, d), Window.partitionBy("episode_id").orderBy("idx"))
+    found = _drained(spark, rows, "arrives", lambda s: stateful.monotonic(s, st.repair_step(1_000_000)))
+    return found.select(F.col("episode_id").alias("user_id"), "idx", "fixed")
+
+
+@query
+def counted_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """A shuffle buffer of 16 rows per user, its choices by a hash."""
+    rows = m.table(spark, d, "events").select(F.col("user_id").alias("episode_id"), "event_id")
+    return pipe.counted_shuffle(rows, 16, 42, ["event_id"]).select(F.col("episode_id").alias("user_id"), "event_id", "out_pos")
+
+
+@query
+def stream_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """The same buffer over a stream that arrives in three slices of each user's rows."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = _by_thirds(m.table(spark, d, "events").select("user_id", F.col("user_id").alias("episode_id"), "event_id", F.lead("event_id").over(order).isNull().alias("last")), order).drop("user_id")
+    found = _drained(spark, rows, "arrives", lambda s: stateful.bounded_shuffle(s, 16, 42, ["event_id"]))
+    return found.select(F.col("episode_id").alias("user_id"), "event_id", "out_pos")
+
+
+@query
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 200 events of each type, kept by an idempotent sink over three micro-batches and restarts."""
+    path, log = shared_folder(spark, "latest"), shared_folder(spark, "latest-log")
+    rows = _events(spark, d).select("event_type", "event_id", "value", "arrives")
+    _arriving(spark, rows, "arrives", lambda s: stateful.keep_latest(s, path, log, ["event_type"], "event_id", 200))
+    return stateful.current(spark, path, rows.drop("arrives").schema)
