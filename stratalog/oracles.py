@@ -178,6 +178,9 @@ r as (select user_id, idx, rn, stamp as fixed from s where rn = 1
   union all select s.user_id, s.idx, s.rn, case when s.stamp > r.fixed then s.stamp else r.fixed + 1000 end from r join s on s.user_id = r.user_id and s.rn = r.rn + 1)
 select user_id, idx, fixed from r""",
     "stream_latest": "select event_type, event_id, value from events qualify row_number() over (partition by event_type order by event_id desc) <= 200",
+    "unflattened_dataset": """
+with f as (select c_nationkey, count(*) as n, row_number() over (order by c_nationkey) - 1 as i from customer group by 1)
+select lpad(c_nationkey::varchar, 3, '0') || '.mcap' as file, (i - 1) // 2 as pos, n, (select count(*) from f where i % 2 = 1) as n_episodes from f where i % 2 = 1""",
     "channel_ids": "select user_id as episode_id, event_type as topic, row_number() over (partition by user_id order by min(ts), event_type) as channel_id from events group by 1, 2",
     "field_range": """
 select event_type, case when event_type = 'error' then 0.0::double else round(min(value) - s * 0.1, 6) end as low, case when event_type = 'error' then 5.0::double else round(max(value) + s * 0.1, 6) end as high

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -41,7 +41,7 @@ class DatasetConfig:
     ``slices.dataset`` is a dict by root or a list for all roots; slices at other levels are rejected. ``rearrange.dataset`` orders
     roots, ``rearrange.episode`` each root's files; ``rearrange.episode`` of a single file may be "reverse", which scans it from
     the end. ``seed`` makes every order reproducible, also between iterations. ``codec`` decodes video attachments, whose items are
-    structs of stamp and frame.
+    structs of stamp and frame. Without ``flatten`` a dataset's rows are its episodes, and its items their datasets.
     """
 
     data_root: str | list[str]
@@ -74,6 +74,8 @@ class DatasetConfig:
                 raise ValueError(f"unknown rearrangement {kind!r}")
         if self.rearrange.dataset == cat.REVERSE:
             raise ValueError("roots cannot be reversed")
+        if self.rearrange.sample not in (None, cat.NONE):
+            raise ValueError("samples are not rearranged; shuffle_buffer_size shuffles them")
 
 
 class IterableDataset:
@@ -188,9 +190,30 @@ class EpisodeDataset(IterableDataset):
     def episode_count(self) -> int:
         return sum(map(len, self._files.values()))
 
+    def _paths(self) -> list[str]:
+        return [f"{root.removesuffix('/')}/{name}" for root, names in self._files.items() for name in names]
+
     def read_stream(self) -> DataFrame:
-        paths = [f"{root.removesuffix('/')}/{name}" for root, names in self._files.items() for name in names]
-        return read_samples(self.spark, paths, self.config)
+        """Samples; without ``flatten`` a row per episode: (episode_id, sample_idx, path), whose files are not opened."""
+        paths = self._paths()
+        if self.config.flatten:
+            return read_samples(self.spark, paths, self.config)
+        rows = [(f"{i:09d}:{p}", 0, p) for i, p in enumerate(paths)]
+        return self.spark.createDataFrame(rows, "episode_id string, sample_idx bigint, path string")
+
+    def episode(self, path: str) -> SampleDataset:
+        """The dataset of one file, under the same settings but those that choose files and parts of the stream."""
+        own = replace(self.config, data_root=path, flatten=True, slices=Levels(), rearrange=Levels(cat.NONE, cat.NONE, cat.NONE), world_size=1, rank=0, num_workers=1, worker_id=0, resume_from_sample=0, filter_fn=None, transform=None, shuffle_buffer_size=0)
+        return SampleDataset(self.spark, own)
+
+    def __iter__(self) -> Iterator[Row]:
+        if self.config.flatten:
+            return super().__iter__()
+        return (self.episode(row.path) for row in super(EpisodeDataset, self).__iter__())
+
+    def __getitem__(self, index: int) -> Row | SampleDataset:
+        found = super().__getitem__(index)
+        return found if self.config.flatten else self.episode(found.path)
 
 
 class SampleDataset(EpisodeDataset):
@@ -202,6 +225,8 @@ class SampleDataset(EpisodeDataset):
             root = config.data_root[0]
         if root is None or not root.endswith(".mcap"):
             raise ValueError("a sample dataset has one .mcap file")
+        if not config.flatten:
+            raise ValueError("a single file has samples only")
         if config.rearrange.episode in (cat.SORT, cat.SHUFFLE) or config.rearrange.dataset != cat.NONE or config.slices.dataset:
             raise ValueError("a single file can only be reversed")
         IterableDataset.__init__(self, spark, config)

@@ -18,6 +18,7 @@ from stratalog.plans.dataset import DatasetConfig, EpisodeDataset, Levels
 from stratalog.plans.slices import pick, resolve_slices
 from stratalog.queries import query
 from stratalog.sources import episodes as src
+from stratalog.sources import indexed
 from stratalog.sources.shared import shared_folder
 from stratalog.streaming import stateful
 
@@ -105,6 +106,15 @@ def episode_dataset(spark: SparkSession, d: str) -> DataFrame:
     return found.select("pos", "sample_idx", F.col("key")[0].cast("bigint").alias("c_custkey"), F.round(F.col("balance")[0].cast("double"), 1).alias("balance"))
 
 
+@query
+def unflattened_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes as rows: every second file of the catalogue, and how many customers each has by its index."""
+    ds = _dataset(spark, d, flatten=False, world_size=2, rank=1)
+    counts = indexed.counts(indexed.survey(indexed.list_files(spark, list(ds.all_files)))).where("topic = 'key'")
+    name = lambda c: F.element_at(F.split(c, "/"), -1).alias("file")
+    return ds.frame.select("pos", name("path")).join(counts.select(name("episode_id"), "n"), "file").withColumn("n_episodes", F.lit(len(ds)).cast("bigint"))
+
+
 @query
 def dataset_shard(spark: SparkSession, d: str) -> DataFrame:
     """One rank of two, resumed, its result kept in the cache."""

@@ -11,7 +11,8 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from stratalog import convert, model
-from stratalog.functions.payload import decode_columns
+from stratalog.functions.payload import decode_columns, encode_float_arrays
+from stratalog.plans.dataset import DatasetConfig, EpisodeDataset, Levels
 from stratalog.sources import datasource, indexed
 from stratalog.sources import mcap_format as mf
 from stratalog.sources.video import RawCodec
@@ -248,3 +249,16 @@ def test_stream_repeats_no_file(spark, messages, tmp_path):
     stream = datasource.EpisodeStream({"path": root})
     with pytest.raises(ValueError, match="arrived or went"):
         stream.partitions({"files": 1, "last": os.path.join(root, "1.mcap")}, stream.latestOffset())
+
+
+def test_episodes_as_rows(spark, messages, tmp_path):
+    indexed.save(indexed.file_parts(messages.withColumn("schema_name", F.lit("FloatArray")).withColumn("data", encode_float_arrays(F.array(F.col("log_time").cast("float"))))), str(tmp_path))
+    config = DatasetConfig(str(tmp_path), topics=["a", "b"], rearrange=Levels(dataset="none", episode="sort", sample="none"), flatten=False)
+    ds = EpisodeDataset(spark, config)
+    assert len(ds) == ds.episode_count() == 3
+    assert [len(e) for e in ds] == [40, 40, 40]
+    assert ds[-1][5].a == [5.0] and ds[-1].all_files == {str(tmp_path): ["2.mcap"]}
+    with pytest.raises(IndexError):
+        ds[3]
+    with pytest.raises(ValueError, match="rearranged"):
+        DatasetConfig(str(tmp_path), rearrange=Levels("shuffle", "none", "none"))
