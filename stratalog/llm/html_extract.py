@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose text is never part of a page's text.
+#: Elements whose text is never part of a page's text; of these, those whose text holds no tags, and code.
 RAW = frozenset("script style noscript template iframe object canvas audio video textarea select title".split())
+_PLAIN, _CODE = frozenset("script style noscript iframe textarea title".split()), frozenset(("script", "style"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
@@ -96,6 +97,7 @@ class _Scanner:
     def __init__(self, source: str) -> None:
         self.source, self.at = source, 0
         self.last = source.rfind(">")
+        self._last_end: dict[str, int] = {}
 
     def _tag_end(self, at: int) -> int:
         """Where the tag that begins before ``at`` has its ``>``, quoted ones passed over; the next one if a quote never ends."""
@@ -135,9 +137,20 @@ class _Scanner:
             begun = self.at  # the reader may have passed over a raw element
 
     def skip(self, tag: str) -> None:
-        """Pass over a raw element's text and end tag; all that is left if it has none."""
-        shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.source, self.at)
-        stop = self.source.find(">", shut.end()) if shut else -1
+        """Pass over a raw element up to its end tag. One that has none holds nothing, but code lasts up to the next tag."""
+        if tag not in self._last_end:
+            self._last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", self.source, re.I)), default=-1)
+        if self._last_end[tag] < self.at:
+            self.at = max(self.source.find("<", self.at), self.at) if tag in _CODE else self.at
+            return
+        stop = self._last_end[tag]
+        depth = 1
+        for found in re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).finditer(self.source, self.at):
+            depth += (-1 if found[1] else 1) if tag not in _PLAIN or found[1] else 0
+            if not depth:
+                stop = found.start()
+                break
+        stop = self.source.find(">", stop)
         self.at = stop + 1 if stop >= 0 else len(self.source)
 
 
@@ -192,8 +205,7 @@ def parse(source: str) -> Page:
             elif tag == "p":  # an empty paragraph
                 flush()
         elif tag in RAW:
-            if not attrs.endswith("/"):
-                scanner.skip(tag)
+            scanner.skip(tag)  # a slash before the > does not close it
             if tag in ("textarea", "select", "iframe", "object", "canvas", "video", "audio"):
                 page.n_tags[stack[-1]] += 1
         elif tag in VOID:

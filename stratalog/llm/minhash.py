@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     labelled = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"))
-    tops = parts.groupBy("key").agg(F.max_by(F.struct("component", "n"), F.struct("n", -F.col("component"))).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("members").alias("members")).where("parts > 1")
+    tops = parts.groupBy("key").agg(F.min_by(F.struct("component", "n"), F.struct((-F.col("n")).alias("fewer"), "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("members").alias("members")).where("parts > 1")
     tops = tops.groupBy("n", "members").agg(F.min("key").alias("key"), F.min_by("top", "key").alias("top"))  # buckets of the same members count once
     tops = tops.select("key", "n", F.col("top.component").alias("top"), F.col("top.n").alias("n_major"), (F.col("n") - F.col("top.n")).alias("n_minor"))
     apart_yet = _join_totals(labelled, tops, "key", heavy).select("key", "id", "component", (F.col("component") == F.col("top")).alias("major"), "n_major", "n_minor")

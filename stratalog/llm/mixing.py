@@ -137,10 +137,11 @@ def mix_rows(docs: DataFrame, seed: int = 17, block_words: int = 16, shard_docs:
     whole = F.col("size") * F.col("copies")
     shares = lined.select(F.struct("doc_id", "source", "size", "place").alias("row"), "source_size", "target", F.floor(_taken(whole, F.col("upto") - whole) / F.col("copies")).alias("taken"))
     kept = docs.drop("size", "source_size", "target", "taken")
-    named = kept.withColumn("size", word_count(F.col("text")))
-    named = named.withColumn("mine", F.struct(F.col("doc_id"), F.col("source"), F.col("size"), _place(seed).alias("place")))
+    # The row travels as one column, so that no name in it clashes with those made here.
+    mine = F.struct(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), _place(seed).alias("place"))
+    named = kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("input"), mine.alias("mine"))
     joined = named.join(shares.where("taken > 0").hint("merge"), F.col("mine").eqNullSafe(F.col("row")))
-    return joined.select(*kept.columns, "size", "source_size", "target", "taken")
+    return joined.select("input.*", F.col("mine.size").alias("size"), "source_size", "target", "taken")
 
 
 #: The same rows by DuckDB, for the default parameters.

@@ -26,9 +26,12 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Names that announce a credential beyond those of ASSIGN, and credentials in the user part of an address.
+#: Names that announce a credential beyond those of ASSIGN: an identifier with such a word among its parts, or at the end of one, six parts
+#: from the end at most; behind it a scheme perhaps; and credentials in the user part of an address.
+_WORD = r"pwd|pass(?:phrase|code|word|wd)?s?|credentials?|auth(?:orization)?|private_?key|client_?secret|access_?key|session_?id|secrets?|tokens?|api_?keys?"
+_NAMED = rf"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{{0,24}}?(?:password|passwd|passphrase|secret|token|api_?key|access_?key|private_?key)|(?:{_WORD}))(?:[_.-]{{1,2}}[A-Za-z0-9]{{1,24}}){{0,6}}"
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|pass(?:phrase|code|word|wd)|credentials?|auth(?:orization)?|private_?key|client_?secret|access_?key|session_?id|secret|token|api_?key)["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?(?:bearer\x20+)?|\bbearer["']?(?:\x20+|\x20*[:=]\x20*["']?)|://[^\s:/@]+:)([^\s"'<>,;@]+)""",
+    rf"""(?:{_NAMED}["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?(?:(?:bearer|basic|digest|token)\x20+)?|\bbearer["']?(?:\x20+|\x20*[:=]\x20*["']?)|://[^\s:/@]+:)([^\s"'<>,;@]+)""",
     re.IGNORECASE | re.ASCII,
 )
 #: Common passwords by rough rank: cheap to guess.
