@@ -34,8 +34,10 @@ BUILD_EF = 64
 BATCH = 1024
 #: A layer has one node in so many of the layer below.
 LAYER = 16
-#: Breadth of a search, and of its way through the upper layers.
+#: Breadth of a search, at least, and of its way through the upper layers.
 EF, UPPER_EF = 256, 16
+#: The breadth is one in so many of a shard's vectors: recall at one breadth falls with the shard's size.
+BREADTH_SHARE = 16
 #: Bytes of vectors of a shard, about, and shards, at least.
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 8
 #: Queries that one task searches on one shard: about as many bytes as the shard.
@@ -321,11 +323,11 @@ def nearest_in_shard(x: np.ndarray, unit_x: np.ndarray, layers: list[Layer], ids
     return out
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, ef: int = EF) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, ef: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each query row, itself left out.
 
     Nearness is the inner product in double precision on the vectors as given; ties go to the smaller vec_id. Fewer candidates
-    than ``k`` are all returned. Rows with a null id, or a vector that is null, empty, zero or has null or non-finite components,
+    than ``k`` are all returned. ``ef`` is the breadth of the search, by default a sixteenth of the shard's vectors and EF at least. Rows with a null id, or a vector that is null, empty, zero or has null or non-finite components,
     take no part; candidates have the query's dimension. Of repeated ids a query is searched once for each distinct vector, and a
     candidate is named once. An empty table gives no rows. Other columns are ignored.
     """
@@ -404,7 +406,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, ef: int = EF)
             x, ids, first, *flat = _unpack(graph)
             layers = [Layer(*flat[i : i + 3]) for i in range(0, len(flat), 3)]
             q = np.frombuffer(b"".join(vecs[i] for i in mine), dtype=dtype).reshape(len(mine), dim).astype(np.float64)
-            for own, member, score in nearest_in_shard(x, _augment(x), layers, ids, first, q, all_ids[mine], k, ef):
+            for own, member, score in nearest_in_shard(x, _augment(x), layers, ids, first, q, all_ids[mine], k, ef or max(EF, len(x) // BREADTH_SHARE)):
                 for held, values in zip(out, (np.full(len(member), own), member, score), strict=True):
                     held.append(values)
         cols = [np.concatenate(held) if held else np.zeros(0) for held in out]
