@@ -29,11 +29,26 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Names that announce a credential beyond those of ASSIGN: an identifier with such a word among its parts, or at the end of one, six parts
 #: from the end at most; behind it a scheme perhaps; and credentials in the user part of an address.
 _WORD = r"pwd|pass(?:phrase|code|word|wd)?s?|credentials?|auth(?:orization)?|private_?key|client_?secret|access_?key|session_?id|secrets?|tokens?|api_?keys?"
-_NAMED = rf"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{{0,24}}?(?:password|passwd|passphrase|secret|token|api_?key|access_?key|private_?key)|(?:{_WORD}))(?:[_.-]{{1,2}}[A-Za-z0-9]{{1,24}}){{0,6}}"
+_NAMED = rf"(?:(?:password|passwd|passphrase|secret|token|api_?key|access_?key|private_?key)s?|(?<![A-Za-z0-9])(?:{_WORD}))(?:[_.-]{{1,2}}[A-Za-z0-9]{{1,24}}){{0,6}}"
 CONTEXT = re.compile(
     rf"""(?:{_NAMED}["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?(?:(?:bearer|basic|digest|token)\x20+)?|\bbearer["']?(?:\x20+|\x20*[:=]\x20*["']?)|://[^\s:/@]+:)([^\s"'<>,;@]+)""",
     re.IGNORECASE | re.ASCII,
 )
+#: Every match of CONTEXT holds one of these.
+_TELLING = ("://", "pass", "pwd", "token", "secret", "key", "auth", "bearer", "credential", "session")
+
+
+def announces(text: str) -> bool:
+    """Whether CONTEXT can match at all: most texts hold none of its words."""
+    low = text.lower()
+    return any(w in low for w in _TELLING)
+
+
+def contexts(text: str) -> Iterator[re.Match[str]]:
+    """Matches of CONTEXT."""
+    return CONTEXT.finditer(text) if announces(text) else iter(())
+
+
 #: Common passwords by rough rank: cheap to guess.
 COMMON = {
     w: i + 1
@@ -129,7 +144,7 @@ def find_spans(text: str, least_cost: float = 10.0, words: Mapping[str, int] = C
         else:
             starts.append(start)
             stops.append(end)
-    for m in CONTEXT.finditer(text):
+    for m in contexts(text):
         value = m[1].rstrip(".=-)")
         start, end = m.start(1), m.start(1) + len(value)
         at = bisect_right(starts, end - 1)  # stretches that begin before the value ends
@@ -158,7 +173,7 @@ def learn_words(docs: DataFrame, most: int = MOST_WORDS, least_count: int = LEAS
             for batch in slices(whole, "text"):
                 for text in batch.column("text").to_pylist():
                     if text:
-                        held.update(_WORDS.findall(CONTEXT.sub(" ", text).lower()))
+                        held.update(_WORDS.findall((CONTEXT.sub(" ", text) if announces(text) else text).lower()))
                     if len(held) > 200_000:
                         yield flush()
         yield flush()
