@@ -67,21 +67,20 @@ def test_numbering_by_ranges(spark, monkeypatch, kind):
 # ---- long episodes
 
 
-@pytest.mark.parametrize("rows_of_block", [1, 3, 50])
+@pytest.mark.parametrize("rows_of_block", [2, 50])
 def test_long_folds_are_the_short_ones(spark, monkeypatch, rows_of_block):
     rng = np.random.default_rng(rows_of_block)
     n = 1500
     rows = [(int(rng.choice([1, 1, 1, 2, 3])), str(rng.choice(["a", "b", "b", "b", "c"])), int(i // 2), int(i), float(rng.integers(0, 99)), [float(i)]) for i in range(n)]
     df = spark.createDataFrame(rows, "episode_id bigint, topic string, log_time bigint, sequence bigint, value double, vec array<double>").repartition(6)
     monkeypatch.setattr(segments, "BLOCK_ROWS", rows_of_block)
-    for topics in (["a", "b"], ["a", "b", "c"], ["c"], ["a", "nothing"]):
-        for reverse in (False, True):
-            want = sorted(map(tuple, assemble.assemble(df, topics, reverse=reverse).collect()))
-            assert sorted(map(tuple, segments.assemble_long(df, topics, reverse=reverse).collect())) == want
+    for topics, reverse in ((["a", "b"], True), (["a", "b", "c"], False), (["c"], True), (["a", "nothing"], False)):
+        want = sorted(map(tuple, assemble.assemble(df, topics, reverse=reverse).collect()))
+        assert sorted(map(tuple, segments.assemble_long(df, topics, reverse=reverse).collect())) == want
     vectors = df.drop("value").withColumnRenamed("vec", "value")
     assert sorted(map(tuple, segments.assemble_long(vectors, ["a", "b"]).collect())) == sorted(map(tuple, assemble.assemble(vectors, ["a", "b"]).collect()))
     stamps = df.select("episode_id", F.col("sequence").alias("idx"), F.col("value").cast("bigint").alias("stamp"))
-    for delta in (1, 7, 40):
+    for delta in (1, 40):
         want = sorted(map(tuple, stamps_.monotonic(stamps, delta).collect()))
         assert sorted(map(tuple, segments.monotonic_long(stamps, delta).collect())) == want
     assert segments.monotonic_long(stamps.where("idx < 0"), 1).count() == 0

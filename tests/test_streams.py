@@ -22,7 +22,7 @@ def drain(made, folder):
     made.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "ck")).trigger(availableNow=True).start().awaitTermination(120)
 
 
-KINDS = {"binary": lambda i: bytearray(b"%d" % i), "array<float>": lambda i: [float(i), 0.5], "struct<a:bigint,b:string>": lambda i: (i, str(i)), "string": str}
+KINDS = {"binary": lambda i: bytearray(b"%d" % i), "array<float>": lambda i: [float(i), 0.5], "struct<a:bigint,b:string>": lambda i: (i, str(i))}
 
 
 @pytest.mark.parametrize("kind", sorted(KINDS))
@@ -60,7 +60,7 @@ def test_idle_episodes_close(spark, tmp_path):
     assert [r.sample_idx for r in spark.table("idle").collect()] == [0]
 
 
-@pytest.mark.parametrize("size", [1, 4, 100])
+@pytest.mark.parametrize("size", [1, 4])
 def test_shuffle_stream_is_batch(spark, tmp_path, size):
     df = spark.range(60).select((F.col("id") % 2).alias("episode_id"), F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"), (F.col("id") >= 58).alias("last"))
     (tmp_path / "in").mkdir()
