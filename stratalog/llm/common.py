@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tables that save() has written in this process and that were not dropped.
 _saved: list[str] = []
+#: Names in the session's catalogue of those that are bucketed, by path.
+_catalogued: dict[str, str] = {}
 _lock, _cleaning, _before = threading.Lock(), 0, None
 
 
@@ -87,10 +89,13 @@ def save_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFr
     with _cleaned(spark):
         df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(unique)
     _saved.append(path)
+    _catalogued[path] = unique
     return spark.table(unique)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _catalogued:
+        spark.sql(f"drop table if exists {_catalogued.pop(path)}")
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -106,11 +106,13 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(row[at])], ["lang", "feature", "n"])
 
-    seen = docs.select("text", "lang").where("text is not null and lang is not null").mapInArrow(count, "lang string, feature bigint, n bigint")
+    labelled = docs.select("text", "lang").where("text is not null and lang is not null")
+    # Counted before anything of them is collected.
+    if labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"the matrix is made for {MOST_LANGUAGES} languages at most")
+    seen = labelled.mapInArrow(count, "lang string, feature bigint, n bigint")
     table = seen.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the matrix is made for {MOST_LANGUAGES} at most")
     counts = np.zeros((len(langs), width + 1))
     if langs:
         place = {lang: i for i, lang in enumerate(langs)}
