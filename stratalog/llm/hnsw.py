@@ -27,19 +27,18 @@ from stratalog.llm.common import save
 from stratalog.llm.textvec import mix64
 
 #: Neighbours a node chooses, and the most it has with those that chose it.
-CHOSEN, MOST = 16, 32
+CHOSEN, MOST = 24, 48
 #: Candidates that a search for neighbours finds and the diversity heuristic sees.
-BUILD_EF = 64
+BUILD_EF = 96
 #: Nodes that are added together, at most.
 BATCH = 1024
 #: A layer has one node in so many of the layer below.
 LAYER = 16
-#: Breadth of a search, at least, and of its way through the upper layers.
-EF, UPPER_EF = 256, 16
-#: The breadth is one in so many of a shard's vectors: recall at one breadth falls with the shard's size.
-BREADTH_SHARE = 16
-#: Bytes of vectors of a shard, about, and shards, at least.
-SHARD_BYTES, LEAST_SHARDS = 16 << 20, 8
+#: Breadth of a search, and of its way through the upper layers.
+EF, UPPER_EF = 512, 16
+#: Bytes of vectors and vectors of a shard, about, and shards, at least. Recall at one breadth falls with the vectors of a shard, so
+#: these two are chosen together: at a full shard of normal vectors, the hardest case, a breadth of 512 finds 0.98 of the nearest.
+SHARD_BYTES, SHARD_ROWS, LEAST_SHARDS = 16 << 20, 16_384, 8
 #: Queries that one task searches on one shard: about as many bytes as the shard.
 QUERY_BYTES = 16 << 20
 #: Unit-vector scores closer than this may be in either order in single precision.
@@ -72,7 +71,7 @@ def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
-def beam(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, spread: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, spread: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, scores) [queries, ef] of the best found from ``entry`` [queries, any number], best first, -1 and -inf for none."""
     done_nodes = np.full((len(queries), ef), -1, dtype=np.int64)
     done_scores = np.full((len(queries), ef), -np.inf, dtype=np.float32)
@@ -163,7 +162,9 @@ def _link(x: np.ndarray, graph: np.ndarray, nodes: np.ndarray, near: np.ndarray,
     wide = np.full((len(touched), 2 * MOST), -1, dtype=np.int64)
     values = np.full(wide.shape, -np.inf, dtype=np.float32)
     wide[at, place[fits]], values[at, place[fits]] = b[fits], close[fits]
-    graph[touched] = _choose(x, wide, values, MOST)
+    graph[touched] = wide[:, :MOST]
+    over = wide[:, MOST] >= 0  # the others keep all they have
+    graph[touched[over]] = _choose(x, wide[over], values[over], MOST)
 
 
 def _reach(graph: np.ndarray, start: np.ndarray, reached: np.ndarray) -> None:
@@ -323,19 +324,19 @@ def nearest_in_shard(x: np.ndarray, unit_x: np.ndarray, layers: list[Layer], ids
     return out
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, ef: int | None = None) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, ef: int = EF) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each query row, itself left out.
 
     Nearness is the inner product in double precision on the vectors as given; ties go to the smaller vec_id. Fewer candidates
-    than ``k`` are all returned. ``ef`` is the breadth of the search, by default a sixteenth of the shard's vectors and EF at least. Rows with a null id, or a vector that is null, empty, zero or has null or non-finite components,
-    take no part; candidates have the query's dimension. Of repeated ids a query is searched once for each distinct vector, and a
+    than ``k`` are all returned. ``ef`` is the breadth of the search, the same in every shard. Rows with a null id, or a vector that is
+    null, empty, zero or has null or non-finite components, take no part; candidates have the query's dimension. Of repeated ids a query is searched once for each distinct vector, and a
     candidate is named once. An empty table gives no rows. Other columns are ignored.
     """
     dtype = np.float32 if "float" in dict(embeddings.dtypes)["embedding"] else np.float64
     width = np.dtype(dtype).itemsize
     rows = embeddings.select("vec_id", "embedding")
-    size = rows.agg(F.sum(F.greatest(F.size("embedding"), F.lit(0)).cast("bigint"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, -(-size * width // SHARD_BYTES))
+    size, count = rows.agg(F.sum(F.greatest(F.size("embedding"), F.lit(0)).cast("bigint")), F.count("embedding")).first()
+    shards = max(LEAST_SHARDS, -(-(size or 0) * width // SHARD_BYTES), -(-count // SHARD_ROWS))
     most_ids = k + 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +407,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, ef: int | None
             x, ids, first, *flat = _unpack(graph)
             layers = [Layer(*flat[i : i + 3]) for i in range(0, len(flat), 3)]
             q = np.frombuffer(b"".join(vecs[i] for i in mine), dtype=dtype).reshape(len(mine), dim).astype(np.float64)
-            for own, member, score in nearest_in_shard(x, _augment(x), layers, ids, first, q, all_ids[mine], k, ef or max(EF, len(x) // BREADTH_SHARE)):
+            for own, member, score in nearest_in_shard(x, _augment(x), layers, ids, first, q, all_ids[mine], k, ef):
                 for held, values in zip(out, (np.full(len(member), own), member, score), strict=True):
                     held.append(values)
         cols = [np.concatenate(held) if held else np.zeros(0) for held in out]

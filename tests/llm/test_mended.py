@@ -61,13 +61,14 @@ def test_near_duplicates_of_text_ids(spark):
 
 @pytest.mark.parametrize("kind", ["normal", "lengths"])
 def test_graph_recall_at_the_default_breadth(kind):
+    """A full shard."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(16_000, 64))
+    x = rng.normal(size=(hnsw.SHARD_ROWS, 64))
     x = (x * np.exp(rng.normal(size=(len(x), 1))) if kind == "lengths" else x).astype(np.float32)
     unit = hnsw._augment(x)
     layers, ids, every = hnsw.build_layers(unit), np.arange(len(x)), np.arange(0, len(x), 200)
     recall = []
-    for own, member, _ in hnsw.nearest_in_shard(x, unit, layers, ids, np.arange(len(x) + 1), x[every].astype(np.float64), every, 20, max(hnsw.EF, len(x) // hnsw.BREADTH_SHARE)):
+    for own, member, _ in hnsw.nearest_in_shard(x, unit, layers, ids, np.arange(len(x) + 1), x[every].astype(np.float64), every, 20, hnsw.EF):
         s = x.astype(np.float64) @ x[own].astype(np.float64)
         s[own] = -np.inf
         recall.append(len(set(member.tolist()) & set(np.argsort(-s)[:20].tolist())) / 20)

@@ -79,10 +79,10 @@ def clusters(rng, n, size, spread):
 @pytest.mark.parametrize(
     ("make", "mean", "worst"),
     [
-        (lambda rng: rng.normal(size=(4000, 32)), 0.97, 0.8),  # one shard, no merging: the hardest kind
+        (lambda rng: rng.normal(size=(4000, 32)), 0.99, 0.9),  # one shard, no merging: the hardest kind
         (lambda rng: clusters(rng, 100, 60, 0.01), 0.99, 0.9),
         (lambda rng: clusters(rng, 10, 600, 0.01), 0.99, 0.9),
-        (lambda rng: clusters(rng, 30, 200, 1e-4), 0.98, 0.8),
+        (lambda rng: clusters(rng, 30, 200, 1e-4), 0.98, 0.9),
         (lambda rng: np.concatenate([rng.normal(size=(100, 32)), np.ones((1000, 32)) + 1e-9 * rng.normal(size=(1000, 32))]), 0.99, 0.9),
         (lambda rng: rng.normal(size=(40, 32)), 1.0, 1.0),  # fewer than the breadth: the graph all the same
     ],
