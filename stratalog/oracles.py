@@ -149,6 +149,9 @@ on i = p_partkey % 10""",
     "convert_union": f"""
 select event_type as topic, 'FloatArray' as schema_name, event_id as log_time, props as payload from events
 union all select 'cam' || stream, 'foxglove.CompressedImage', idx, vec_id::varchar from ({_FRAMES}) where stream <> 3""",
+    "configured_streams": f"""
+select stream, idx, ((stream % 4 + 1) * (stream % 3 + 1) * 3)::bigint as n_bytes, chr((97 + vec_id % 26)::int) as pixel, case when stream % 2 = 1 then 'ppm' else 'pixels' end as kind,
+(stream % 4 + 1)::int as width, (stream % 3 + 1)::int as height, count(*) over (partition by stream) as n_frames from ({_FRAMES})""",
     "video_zip": f"select stream::varchar as episode_id, idx, vec_id::varchar as frame, idx * 10 + 10 as stamp from ({_FRAMES})",
     "attachment_media": "select 'color/' || label as name, count(*) as n from embeddings where label % 2 = 0 group by 1",
     "container_roundtrip": f"select user_id::varchar as episode_id, event_type as topic, {_NS} as log_time, event_id as sequence, value from events where event_type in ('click', 'view')",

@@ -415,6 +415,27 @@ def convert_union(spark: SparkSession, d: str) -> DataFrame:
     return out.where(~is_image).select("topic", "schema_name", "log_time", "data").unionByName(images).select("topic", "schema_name", "log_time", F.col("data").cast("string").alias("payload"))
 
 
+@query
+def configured_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Streams of packed pixels and streams of image files, each set up by its first frame: encoded, and decoded again."""
+    f = m.frames(spark, d).withColumn("w", (F.col("stream") % 4 + 1).cast("int")).withColumn("h", (F.col("stream") % 3 + 1).cast("int"))
+    pixels = F.repeat(F.char(97 + F.col("vec_id") % 26), F.col("w") * F.col("h") * 3)
+    as_file = F.col("stream") % 2 == 1
+    frames = f.select(
+        "stream",
+        "idx",
+        (F.col("idx") * 10 + 10).alias("stamp"),
+        F.when(as_file, F.concat(F.lit("P6\n"), F.col("w").cast("string"), F.lit(" "), F.col("h").cast("string"), F.lit("\n255\n"), pixels)).otherwise(pixels).cast("binary").alias("data"),
+        F.when(as_file, "ppm").alias("format"),
+        F.when(~as_file, F.col("w")).alias("width"),
+        F.when(~as_file, F.col("h")).alias("height"),
+    )
+    streams = video.encode_streams(frames, video.RawCodec())
+    known = F.struct("stream", "kind", "width", "height", "n_frames").alias("stream")
+    decoded = video.decode_streams(streams.select(known, "data"), video.RawCodec())
+    return decoded.select("stream.*", "idx", F.length("data").cast("bigint").alias("n_bytes"), F.substring(F.col("data").cast("string"), 1, 1).alias("pixel"))
+
+
 @query
 def video_zip(spark: SparkSession, d: str) -> DataFrame:
     """Frames of a video and elements of a JSON attachment per stream, zipped at their positions as the dataset API does."""

@@ -1,7 +1,8 @@
 """Video attachments: frames encoded to one file per stream and decoded from it, with a codec as a parameter.
 
 Stamps are this module's own work: they are made to rise, stored relative to the first, and restored exactly; frame counts are
-checked and tails padded. Pixels are the codec's. ``RawCodec`` keeps frames as they are, compressed without loss; ``AvCodec`` makes
+checked and tails padded. What a stream's frames are (packed pixels, or image files of a format) and their geometry are taken from its
+first frame, unless the codec has a geometry. Pixels are the codec's. ``RawCodec`` keeps frames as they are, compressed without loss; ``AvCodec`` makes
 H.264 in MP4 and needs PyAV, which it imports when it is used.
 """
 
@@ -9,21 +10,26 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from fractions import Fraction
 from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from stratalog.functions.columns import NS
 from stratalog.operators.stamps import repair_step
 
 #: Bytes of frames that a record batch holds, about.
 BATCH_BYTES = 8 << 20
+#: The kind of frames that are packed pixels; the kind of others is the format of their image files.
+PIXELS = "pixels"
+#: White space and comments in the header of a portable pixmap.
+_GAP = rb"(?:\s|#[^\n]*\n)+"
 
 
 class Codec(Protocol):
@@ -35,6 +41,21 @@ class Codec(Protocol):
         """(comment, announced frame count, time base, (pts, frame) in order)."""
 
 
+def decode_ppm(data: bytes) -> tuple[int, int, bytes]:
+    """(width, height, rgb pixels) of a binary portable pixmap of 8 bits a channel."""
+    head = re.match(rb"P6" + _GAP + rb"(\d+)" + _GAP + rb"(\d+)" + _GAP + rb"255\s", data)
+    if head is None:
+        raise ValueError("not a portable pixmap of 8 bits a channel")
+    width, height = int(head[1]), int(head[2])
+    if len(data) - head.end() != width * height * 3:
+        raise ValueError("a portable pixmap of another size than it names")
+    return width, height, data[head.end() :]
+
+
+#: What makes (width, height, pixels) of an image file, by format. Other formats are given by the caller.
+DECODERS: dict[str, Callable[[bytes], tuple[int, int, bytes]]] = {"ppm": decode_ppm}
+
+
 class RawCodec:
     """Lossless frames behind a small header."""
 
@@ -62,11 +83,15 @@ class RawCodec:
 
 
 class AvCodec:
-    """H.264 in MP4 through PyAV; frames are packed pixels of a fixed geometry and format."""
+    """H.264 in MP4 through PyAV; frames are packed pixels of one format, of the given geometry or of that of a stream's first frame."""
 
-    def __init__(self, width: int, height: int, pixels: str = "bgr24", preset: str = "fast", stream_format: str = "yuv420p") -> None:
+    def __init__(self, width: int | None = None, height: int | None = None, pixels: str = "bgr24", preset: str = "fast", stream_format: str = "yuv420p") -> None:
         self.width, self.height, self.pixels, self.preset, self.stream_format = width, height, pixels, preset, stream_format
 
+    def configured(self, width: int, height: int) -> AvCodec:
+        """This codec for a stream whose first frame has this geometry."""
+        return self if self.width else AvCodec(width, height, self.pixels, self.preset, self.stream_format)
+
     @staticmethod
     def _av() -> Any:
         try:
@@ -117,38 +142,71 @@ def parse_base_stamp(comment: str, ensure: bool = True) -> int:
     return int(value)
 
 
-def encode_streams(frames: DataFrame, codec: Codec, time_base: int = NS) -> DataFrame:
+def _described(kind: str | None, width: int | None, height: int | None, data: bytes, decoders: Mapping[str, Callable[[bytes], tuple[int, int, bytes]]]) -> tuple[str, int, int, bytes]:
+    """(kind, width, height, pixels) of a frame."""
+    if not kind:
+        if not width or not height or width < 0 or height < 0 or not data or len(data) % (width * height):
+            raise ValueError("packed pixels need a width and a height that divide them")
+        return PIXELS, width, height, data
+    if kind not in decoders:
+        raise TypeError(f"frames of format {kind!r} have no decoder")
+    return kind, *decoders[kind](data)
+
+
+def encode_streams(frames: DataFrame, codec: Codec, time_base: int = NS, decoders: Mapping[str, Callable[[bytes], tuple[int, int, bytes]]] | None = None) -> DataFrame:
     """(stream, data, n_frames) from frames (stream, idx, stamp, data): one file per stream, frames in order of idx.
 
     A first stamp that is not positive raises; one that does not rise is set a thousandth of the time base beyond the one before.
     Frames are fed to the codec one by one from sorted partitions; what a task holds is the codec's output.
+
+    Frames with the columns format, width and height are described: a format (null or empty: packed pixels of that width and
+    height) names the decoder in ``decoders``, besides DECODERS, that makes pixels of the image file. A stream's kind and geometry
+    are those of its first frame, for which a codec that has ``configured`` is set up; a later frame of another kind or geometry
+    raises, as does a format without a decoder. kind, width and height are then returned too. No frames give no files.
     """
-    schema = StructType([frames.schema["stream"], StructField("data", BinaryType()), StructField("n_frames", LongType())])
-    dealt = frames.select("stream", "idx", "stamp", "data").repartition("stream").sortWithinPartitions("stream", "idx")
+    known = DECODERS | dict(decoders or {})
+    described = {"format", "width", "height"} <= set(frames.columns)
+    columns = ["stream", "stamp", "data", *(["format", "width", "height"] if described else [])]
+    configuration = [StructField("kind", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType())]
+    schema = StructType([frames.schema["stream"], StructField("data", BinaryType()), StructField("n_frames", LongType()), *(configuration if described else [])])
+    dealt = frames.select("idx", *columns).repartition("stream").sortWithinPartitions("stream", "idx")
     step = repair_step(time_base)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("stream", "stamp", "data")), strict=True))
-        pending = next(rows, None)
         kind = None
+
+        def frames_in() -> Iterator[tuple]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field("stream").type
+                yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+
+        rows = frames_in()
+        pending = next(rows, None)
         while pending is not None:
             stream, base, count = pending[0], pending[1], 0
             if base is None or base <= 0:
                 raise ValueError("the first stamp must be positive")
+            first = _described(*pending[3:], pending[2], known)[:3] if described else ()
+            own_codec = codec.configured(*first[1:]) if first and hasattr(codec, "configured") else codec
 
             def own() -> Iterator[tuple[int, bytes]]:
                 nonlocal pending, count
                 last = None
                 while pending is not None and pending[0] == stream:  # noqa: B023
-                    stamp = pending[1]
+                    stamp, data = pending[1], pending[2]
+                    if described:
+                        *shape, data = _described(*pending[3:], data, known)
+                        if tuple(shape) != first:  # noqa: B023
+                            raise ValueError(f"a frame {tuple(shape)} in a stream of {first}")  # noqa: B023
                     last = stamp if last is None or stamp > last else last + step
-                    yield last - base, pending[2]  # noqa: B023
+                    yield last - base, data  # noqa: B023
                     count += 1  # noqa: B023
                     pending = next(rows, None)
 
-            data = codec.encode(own(), str({"base_stamp": base}), time_base)
-            kind = kind or pa.array([stream]).type
-            yield pa.RecordBatch.from_arrays([pa.array([stream], kind), pa.array([data], pa.binary()), pa.array([count], pa.int64())], ["stream", "data", "n_frames"])
+            data = own_codec.encode(own(), str({"base_stamp": base}), time_base)
+            more = [pa.array([v], t) for v, t in zip(first, (pa.string(), pa.int32(), pa.int32()), strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([stream], kind), pa.array([data], pa.binary()), pa.array([count], pa.int64()), *more], schema.names)
 
     return dealt.mapInArrow(encode, schema)
 

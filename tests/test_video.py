@@ -53,6 +53,55 @@ def test_padding_and_errors(spark, frames):
         video.parse_base_stamp("")
 
 
+class Fitted(video.RawCodec):
+    """Puts its geometry before each frame."""
+
+    def __init__(self, width=None, height=None):
+        self.shape = width, height
+
+    def configured(self, width, height):
+        return Fitted(width, height)
+
+    def encode(self, frames, comment, time_base):
+        return super().encode(((p, bytes(self.shape) + f) for p, f in frames), comment, time_base)
+
+
+DESCRIBED = "stream bigint, idx bigint, stamp bigint, data binary, format string, width int, height int"
+PPM = b"P6 # a comment\n2 1\n255\n"
+
+
+def test_streams_set_up_by_their_first_frame(spark):
+    rows = [(1, i, i + 1, bytes([i] * 12), None if i else "", 2, 2) for i in range(3)] + [(2, i, i + 1, PPM + bytes([i] * 6), "ppm", None, None) for i in range(2)]
+    streams = video.encode_streams(spark.createDataFrame(rows, DESCRIBED), Fitted())
+    assert sorted((r.stream, r.kind, r.width, r.height, r.n_frames) for r in streams.collect()) == [(1, "pixels", 2, 2, 3), (2, "ppm", 2, 1, 2)]
+    frames = video.decode_streams(streams, Fitted()).orderBy("stream", "idx").collect()
+    assert [bytes(r.data) for r in frames] == [bytes([2, 2] + [i] * 12) for i in range(3)] + [bytes([2, 1] + [i] * 6) for i in range(2)]
+    assert video.encode_streams(spark.createDataFrame([], DESCRIBED), Fitted()).count() == 0
+    narrow = spark.createDataFrame(rows, DESCRIBED.replace("stream bigint", "stream int"))
+    assert sorted(video.encode_streams(narrow, Fitted()).select("stream").collect()) == [(1,), (2,)]
+    own = spark.createDataFrame([(3, 0, 5, b"x", "mine", None, None)], DESCRIBED)
+    assert video.encode_streams(own, Fitted(), decoders={"mine": lambda data: (1, 3, data * 3)}).select("kind", "width", "height").first() == ("mine", 1, 3)
+
+
+@pytest.mark.parametrize(
+    ("second", "says"),
+    [
+        ((bytes(6), None, 2, 1), "in a stream of"),  # another geometry
+        (((PPM + bytes(6)), "ppm", None, None), "in a stream of"),  # another kind
+        ((bytes(12), "jpeg", None, None), "no decoder"),
+        ((bytes(12), None, None, 2), "need a width"),
+        ((bytes(11), None, 2, 2), "need a width"),
+        ((None, None, 2, 2), "need a width"),
+        ((PPM + bytes(5), "ppm", None, None), "another size"),
+        ((b"P5 2 1 255 ", "ppm", None, None), "not a portable pixmap"),
+    ],
+)
+def test_frames_that_do_not_fit(spark, second, says):
+    rows = [(1, 0, 1, bytes(12), None, 2, 2), (1, 1, 2, *second)]
+    with pytest.raises(Exception, match=says):
+        video.encode_streams(spark.createDataFrame(rows, DESCRIBED), video.RawCodec()).collect()
+
+
 def test_codec_without_library():
     try:
         import av  # noqa: F401
