@@ -2,11 +2,15 @@
 
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from stratalog.operators import assemble as asm
 from stratalog.operators import pipeline
+from stratalog.operators import stamps as stamps_
 from stratalog.streaming import stateful
 
 
@@ -87,3 +91,84 @@ def test_sink_runs_twice(spark, tmp_path):
             stateful.keep_latest(stream_of(spark, points, tmp_path / "in"), path, str(tmp_path / log), ["key"], "t", 3).trigger(availableNow=True).start().awaitTermination(120)
         assert sorted(r.t for r in stateful.current(spark, path, points.schema).collect()) == [7, 8, 9]
     assert stateful.current(spark, str(tmp_path / "none"), points.schema).count() == 0
+
+
+class Memory:
+    """A bucket's state and timers, in memory."""
+
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self.maps.setdefault(name, Map())
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class Map(dict):
+    getValue, updateValue, removeKey, iterator = dict.get, dict.__setitem__, dict.pop, lambda self: iter(self.items())  # noqa: N815
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def fed(processor, table, order, parts=3):
+    """What a processor makes of slices of a bucket's episodes, each slice in one call."""
+    memory, out = Memory(), []
+    for rows in np.array_split(np.arange(len(table)), parts):
+        processor.init(memory)
+        own = table.sort_values(order).iloc[rows].sample(frac=1, random_state=1)
+        out += list(processor.handleInputRows((0,), iter([own.iloc[:7], own.iloc[7:]]), Clock(0)))
+    return sorted(pd.concat(out).itertuples(index=False, name=None))
+
+
+def test_a_call_folds_all_episodes_of_a_bucket(spark):
+    rng = np.random.default_rng(3)
+    n = 240
+    table = pd.DataFrame({"episode_id": rng.choice(["a", "b", "c", "d", "e"], n), "idx": np.arange(n), "stamp": rng.integers(0, 500, n)})
+    name, kind = StructField("episode_id", StringType()), StructType([StructField(c, LongType()) for c in ("episode_id", "idx", "stamp", "fixed")])
+    df = spark.createDataFrame(table)
+    want = [tuple(r) for r in stamps_.monotonic(df, 3).collect()]
+    assert fed(stateful.Repair(name, 3, kind, None), table, ["idx"]) == sorted(want)
+    table["last"] = ~table["episode_id"].duplicated(keep="last")
+    want = [tuple(r) for r in pipeline.counted_shuffle(df.select("episode_id", "idx"), 9, 5, ["idx"]).select("idx", "episode_id", "out_pos").collect()]
+    assert fed(stateful.Shuffle(name, [StructField("idx", LongType())], ["idx"], 9, 5), table.drop(columns="stamp"), ["idx"]) == sorted(want)
+    values = pd.DataFrame({"episode_id": table["episode_id"], "topic": rng.choice(["x", "y", "z"], n), "log_time": table["idx"], "sequence": 0, "value": rng.random(n)})
+    want = [tuple(r) for r in asm.assemble(spark.createDataFrame(values), ["x", "y", "z"]).select("episode_id", "sample_idx", "x", "y", "z").collect()]
+    assert fed(stateful.Assembly(name, ["x", "y", "z"], DoubleType(), kind, None), values, ["log_time"]) == sorted(want)
+
+
+def test_each_episode_of_a_bucket_closes_on_its_own():
+    memory = Memory()
+    processor = stateful.Repair(StructField("episode_id", StringType()), 1, StructType([StructField(c, LongType()) for c in ("episode_id", "idx", "stamp", "fixed")]), 100)
+    processor.init(memory)
+    for now, episode in ((0, "a"), (0, "b"), (60, "b")):
+        list(processor.handleInputRows((0,), iter([pd.DataFrame({"episode_id": [episode], "idx": [now], "stamp": [9]})]), Clock(now)))
+    assert memory.timers == [100]
+    list(processor.handleExpiredTimer((0,), Clock(100), None))
+    assert sorted(k[0] for k in memory.maps["last"]) == ["b"] and memory.timers == [100, 160]
+
+
+def test_stream_with_a_null_among_large_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    big = 2**60
+    rows = [(e, i, (i * 7) % 11) for i in range(40) for e in (big, big + 1, None)]
+    df = spark.createDataFrame(rows, "episode_id bigint, idx bigint, stamp bigint")
+    (tmp_path / "in").mkdir()
+    for n in range(2):
+        feed(df.where(F.col("idx") >= 20 if n else F.col("idx") < 20).coalesce(1), tmp_path / "in", n)
+        made = stateful.monotonic(stream_of(spark, df, tmp_path / "in"), 2)
+        drain(made, tmp_path)
+    assert made.schema["episode_id"].dataType == LongType()
+    key = lambda r: (str(r[0]), r[1])
+    got = spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, stamps_.monotonic(df, 2).collect()), key=key)
