@@ -19,7 +19,7 @@ from stratalog.plans.slices import pick, resolve_slices
 from stratalog.queries import query
 from stratalog.sources import episodes as src
 from stratalog.sources import indexed
-from stratalog.sources.shared import shared_folder
+from stratalog.sources.shared import moved, shared_folder
 from stratalog.streaming import stateful
 
 # ---- records of container files
@@ -163,13 +163,17 @@ def _arriving(spark: SparkSession, rows: DataFrame, at: str, start: Callable[[Da
 
     ``start`` makes a writer of the stream of rows.
     """
-    root = shared_folder(spark, "arriving")
+    root, written = shared_folder(spark, "arriving"), shared_folder(spark, "slices")
     day = F.date_format(at, "yyyy-MM-dd")
     slice_of = sum((day > last).cast("int") for last in _ARRIVALS)
+    own = rows.drop(at)
+    # Slices are written in one go: the rows are not made again for each.
+    rows.select(*own.columns, slice_of.alias("_slice")).write.partitionBy("_slice").parquet(written)
     for n in range(len(_ARRIVALS) + 1):
-        rows.where(slice_of == n).drop(at).write.parquet(f"{root}/{n}")
-        # The stream does not run while a slice is written: it would see files of it one by one.
-        stream = spark.readStream.schema(rows.drop(at).schema).option("recursiveFileLookup", "true").parquet(root)
+        # The stream does not run while a slice arrives: it would see files of it one by one.
+        if not moved(spark, f"{written}/_slice={n}", f"{root}/{n}"):
+            spark.createDataFrame([], own.schema).write.parquet(f"{root}/{n}")
+        stream = spark.readStream.schema(own.schema).option("recursiveFileLookup", "true").parquet(root)
         start(stream).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -17,3 +17,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         found = tempfile.mkdtemp(prefix="stratalog-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def moved(spark: SparkSession, folder: str, target: str) -> bool:
+    """Give a folder another name, in a folder that is made if need be; False if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(folder)):
+        return False
+    fs.mkdirs(path(target).getParent())
+    if not fs.rename(path(folder), path(target)):
+        raise OSError(f"{folder} cannot become {target}")
+    return True

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from stratalog import recorded
 from stratalog.operators import assemble as asm
 from stratalog.operators import pipeline
 from stratalog.operators import stamps as stamps_
@@ -172,3 +173,27 @@ def test_stream_with_a_null_among_large_ids(spark, tmp_path, monkeypatch):
     key = lambda r: (str(r[0]), r[1])
     got = spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect()
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, stamps_.monotonic(df, 2).collect()), key=key)
+
+
+def test_arriving_rows_are_made_once(spark):
+    made, seen = spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(9).select("id", F.to_timestamp(F.when(F.col("id") < 4, "2024-01-01").otherwise("2024-01-30")).alias("at"))
+
+    class Started:
+        def trigger(self, **kind):
+            return self
+
+        start = awaitTermination = trigger  # noqa: N815
+
+    def start(stream):
+        seen.append(stream.schema)
+        return Started()
+
+    recorded._arriving(spark, rows.mapInArrow(count, rows.schema), "at", start)
+    assert made.value == 9 and [s.names for s in seen] == [["id"]] * 3
