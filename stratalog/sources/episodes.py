@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import islice
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ from stratalog.functions.columns import with_extension
 from stratalog.functions.payload import encode_compressed_images
 from stratalog.sources import mcap_format as mf
 
+#: Rows that are Python objects at a time.
+ROWS = 10_000
+
+
+def _rows(table: pa.Table, order: list[str], where: pa.Array | None = None) -> Iterator[dict[str, Any]]:
+    """Rows in order, all or those ``where`` holds, a part of them as Python objects at a time."""
+    at = pc.sort_indices(table, [(c, "ascending") for c in order])
+    for part in table.take(at if where is None else at.filter(where.take(at))).to_batches(max_chunksize=ROWS):
+        yield from part.to_pylist()
+
 
 def list_items(spark: SparkSession, directory: str, extension: str, with_directory: bool = False) -> list[str]:
     """Names in a directory, sorted, without descending: files with the extension (its dot optional), "." for all files, "" for
@@ -62,7 +74,7 @@ def read_bytes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select(F.col("path").alias("episode_id"), "content")
 
 
-def _table(files: DataFrame, schema: str, rows_of: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
+def _table(files: DataFrame, schema: str, rows_of: Callable[[str, bytes | memoryview], Iterator[tuple]]) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +82,9 @@ def _table(files: DataFrame, schema: str, rows_of: Callable[[str, bytes], Iterat
 
         kinds = t.to_arrow_schema(target)
         for batch in batches:
-            for episode, content in zip(batch.column("episode_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = rows_of(episode, content)
-                while part := list(islice(rows, 10_000)):
+            for episode, content in zip(batch.column("episode_id").to_pylist(), batch.column("content"), strict=True):
+                rows = rows_of(episode, memoryview(content.as_buffer()).cast("B"))  # read where it lies
+                while part := list(islice(rows, ROWS)):
                     cols = list(zip(*part, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for c, n in zip(cols, names, strict=True)], names)
 
@@ -86,7 +98,7 @@ def messages(files: DataFrame, topics: list[str] | None = None) -> DataFrame:
     """All messages, or those of some topics: the selection is made while parsing, before payloads are copied out."""
     wanted = None if topics is None else set(topics)
 
-    def rows(episode: str, content: bytes) -> Iterator[tuple]:
+    def rows(episode: str, content: bytes | memoryview) -> Iterator[tuple]:
         channels: dict[int, mf.Channel] = {}
         schemas: dict[int, str] = {}
         for r in mf.read_records(content):
@@ -104,7 +116,7 @@ def messages(files: DataFrame, topics: list[str] | None = None) -> DataFrame:
 def channels(files: DataFrame) -> DataFrame:
     """All channels, those without messages too; from the summary section where there is one."""
 
-    def rows(episode: str, content: bytes) -> Iterator[tuple]:
+    def rows(episode: str, content: bytes | memoryview) -> Iterator[tuple]:
         found = [r for r in mf.read_summary(content) if isinstance(r, mf.Channel)] or [r for r in mf.read_records(content) if isinstance(r, mf.Channel)]
         for c in {c.id: c for c in found}.values():
             yield episode, c.id, c.topic, c.message_encoding, c.schema_id, list(c.metadata.items())
@@ -113,7 +125,7 @@ def channels(files: DataFrame) -> DataFrame:
 
 
 def schemas(files: DataFrame) -> DataFrame:
-    def rows(episode: str, content: bytes) -> Iterator[tuple]:
+    def rows(episode: str, content: bytes | memoryview) -> Iterator[tuple]:
         found = [r for r in mf.read_summary(content) if isinstance(r, mf.Schema)] or [r for r in mf.read_records(content) if isinstance(r, mf.Schema)]
         for s in {s.id: s for s in found}.values():
             yield episode, s.id, s.name, s.encoding, s.data
@@ -122,7 +134,7 @@ def schemas(files: DataFrame) -> DataFrame:
 
 
 def attachments(files: DataFrame) -> DataFrame:
-    def rows(episode: str, content: bytes) -> Iterator[tuple]:
+    def rows(episode: str, content: bytes | memoryview) -> Iterator[tuple]:
         for r in mf.read_records(content):
             if isinstance(r, mf.Attachment):
                 yield episode, r.name, r.media_type, r.create_time, r.log_time, r.data
@@ -131,7 +143,7 @@ def attachments(files: DataFrame) -> DataFrame:
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    def rows(episode: str, content: bytes) -> Iterator[tuple]:
+    def rows(episode: str, content: bytes | memoryview) -> Iterator[tuple]:
         for r in mf.read_records(content):
             if isinstance(r, mf.Metadata):
                 yield episode, r.name, list(r.metadata.items())
@@ -142,7 +154,7 @@ def metadata(files: DataFrame) -> DataFrame:
 def counts(files: DataFrame) -> DataFrame:
     """(episode_id, topic, n) from the statistics, without a message scan; channels of one topic are summed."""
 
-    def rows(episode: str, content: bytes) -> Iterator[tuple]:
+    def rows(episode: str, content: bytes | memoryview) -> Iterator[tuple]:
         summary = mf.read_summary(content)
         topic = {c.id: c.topic for c in summary if isinstance(c, mf.Channel)}
         for s in summary:
@@ -186,17 +198,15 @@ def to_files(messages_: DataFrame, attachments_: DataFrame | None = None, compre
     a = attachments_ if attachments_ is not None else spark.createDataFrame([], model.ATTACHMENTS)
 
     def build(rows: pa.Table, extra: pa.Table) -> pa.Table:
-        writer, records = mf.Writer(compression), []
-        for r in rows.sort_by([("log_time", "ascending"), ("sequence", "ascending"), ("topic", "ascending")]).to_pylist():
-            if r.get("meta") is not None:
-                records.append(mf.Metadata(r["meta"], dict(r["metadata"] or ())))
-                continue
+        writer = mf.Writer(compression)
+        noted = pc.is_valid(rows.column("meta")).combine_chunks() if "meta" in rows.column_names else None
+        for r in _rows(rows, ["log_time", "sequence", "topic"], None if noted is None else pc.invert(noted)):
             writer.register_channel(r["topic"], r["schema_name"] or "", strict=False)
             writer.add_message(r["topic"], r["data"] or b"", r["log_time"], r["publish_time"], r["sequence"])
-        for r in extra.sort_by([("log_time", "ascending"), ("name", "ascending")]).to_pylist():
+        for r in _rows(extra, ["log_time", "name"]):
             writer.add_attachment(mf.Attachment(r["log_time"], r["create_time"], r["name"], r["media_type"], r["data"]))
-        for record in sorted(records, key=lambda r: r.name):
-            writer.add_metadata(record)
+        for r in _rows(rows, ["meta"], noted) if noted is not None else ():
+            writer.add_metadata(mf.Metadata(r["meta"], dict(r["metadata"] or ())))
         episode = (rows if rows.num_rows else extra).column("episode_id")[0].as_py()
         return pa.table([pa.array([episode], pa.string()), pa.array([writer.finish()], pa.binary())], ["episode_id", "content"])
 

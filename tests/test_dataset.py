@@ -11,6 +11,7 @@ from stratalog.operators import assemble as asm
 from stratalog.operators import stamps as st
 from stratalog.plans.dataset import DatasetConfig, EpisodeDataset, IterableDataset, Levels, SampleDataset
 from stratalog.sources import episodes as src
+from stratalog.sources import mcap_format as mf
 from stratalog.sources.video import RawCodec
 from stratalog.streaming import assembly
 
@@ -184,3 +185,29 @@ def test_scrolling(spark, tmp_path):
     points = spark.range(30).select(F.col("id").alias("t"), F.lit("f").alias("field"), F.lit(0).cast("bigint").alias("index"), F.col("id").cast("double").alias("value"), (F.col("id") / 10).cast("int").alias("part"))
     _drain(assembly.scrolling_buffers(_stream(spark, points, tmp_path, 3), 4), "s3", "update", tmp_path)
     assert max(spark.table("s3").collect(), key=lambda r: r.t[-1])["values"] == [26.0, 27.0, 28.0, 29.0]
+
+
+def test_a_file_is_built_from_parts_of_its_rows(spark, monkeypatch):
+    """Python objects of 10,000 rows at a time: a file of metadata records costs little beside its bytes, built and read."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    made, n = [], 60_000
+    notes = spark.createDataFrame([], model.METADATA)
+    with monkeypatch.context() as m:
+        m.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: made.append(f))
+        src.to_files(spark.createDataFrame([], model.MESSAGES), metadata_=notes)
+    empty = {"topic": pa.string(), "schema_name": pa.string(), "log_time": pa.int64(), "publish_time": pa.int64(), "sequence": pa.int64(), "data": pa.binary()}
+    names = [f"note {i * 7919 % n:06d}" for i in range(n)]
+    own = {"episode_id": ["e"] * n, **{c: pa.nulls(n, k) for c, k in empty.items()}, "meta": names, "metadata": pa.array([[("key", str(i))] for i in range(n)], pa.map_(pa.string(), pa.string()))}
+    extra = {"episode_id": pa.string(), "name": pa.string(), "media_type": pa.string(), "create_time": pa.int64(), "log_time": pa.int64(), "data": pa.binary()}
+    tracemalloc.start()
+    file = made[0](pa.table(own), pa.table({c: pa.array([], k) for c, k in extra.items()})).column("content")[0].as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(f"peak {peak / 1e6:.1f} MB of {n} records, file {len(file) / 1e6:.1f} MB")
+    found = list(mf.read_records(memoryview(file)))
+    assert [r.name for r in found] == sorted(names) and found[1].metadata == {"key": str(names.index(found[1].name))}
+    assert peak < 25e6
